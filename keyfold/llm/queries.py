@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, shared_path
-from . import encoding, mixing, seen
+from . import encoding, garbled, mixing, seen
 
 QUERIES, SQL = {}, {}
 
@@ -75,3 +75,14 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
+
+
+@query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find(load(spark, d, "documents")).records.select("doc_id")
+
+
+@query()
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    return garbled.restore(docs, garbled.find(docs))
