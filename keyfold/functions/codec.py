@@ -31,6 +31,7 @@ MANIFEST_MAGIC = b"LSMMAN01"
 MANIFEST_VERSION = 3
 MOST_RECORD_BYTES = 64 << 20
 REGION_PREFIX = b"data/"
+BATCH_PUT, BATCH_DELETE = 1, 2
 
 
 # -- numbers and checksums ------------------------------------------------------
@@ -179,7 +180,7 @@ def write_batch(seq: int, ops: Iterable[tuple[int, bytes, bytes | None]]) -> byt
     for op, key, value in ops:
         if op not in (DELETE, PUT):
             raise InvalidArgument("unknown operation")
-        out += [bytes([op]), fixed32(len(key)), bytes(key)]
+        out += [bytes([BATCH_PUT if op == PUT else BATCH_DELETE]), fixed32(len(key)), bytes(key)]
         if op == PUT:
             value = b"" if value is None else bytes(value)
             out += [fixed32(len(value)), value]
@@ -197,9 +198,10 @@ def parse_write_batch(raw: bytes) -> list[tuple[int, int, bytes, bytes | None]]:
         raise Corruption("write batch has no operations or a sequence out of range")
     out = []
     for i in range(count):
-        op, key = r.u8(), r.sized()
-        if op not in (DELETE, PUT):
+        kind, key = r.u8(), r.sized()
+        if kind not in (BATCH_PUT, BATCH_DELETE):
             raise Corruption("write batch has an unknown operation")
+        op = PUT if kind == BATCH_PUT else DELETE
         out.append((seq + i, op, key, r.sized() if op == PUT else None))
     if r.rest:
         raise Corruption("write batch has bytes after its last operation")
