@@ -119,7 +119,9 @@ def _candidates(vocabulary: DataFrame, letters) -> DataFrame:
                 ["word", "context", "n", "chain", "restored", "weight", "own_letters", "letters"],
             )
 
-    return vocabulary.mapInArrow(
+    # The vocabulary is small in bytes but costly by row: spread it over all tasks.
+    tasks = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return vocabulary.repartition(tasks, "word", "context").mapInArrow(
         run, "word string, context string, n bigint, chain string, restored string, weight double, own_letters double, letters double"
     )
 
