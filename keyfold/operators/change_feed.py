@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -55,8 +56,8 @@ class DeleteVectorTable:
         self.log = CommitLog(spark, path)
 
     # -- layout ---------------------------------------------------------------
-    def _parts(self, kind: str, versions: Sequence[int]) -> DataFrame:
-        return self.spark.read.parquet(*(f"{self.path}/{kind}/v{v}" for v in versions))
+    def _parts(self, kind: str, names: Sequence[str]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{kind}/{n}" for n in names))
 
     @property
     def _identity(self) -> list[str]:
@@ -70,30 +71,31 @@ class DeleteVectorTable:
     def apply(self, changes: DataFrame) -> int:
         """Apply one batch; returns the version that holds it."""
         version = self.log.current() + 1
-        earlier = self.log.read(version - 1)["batches"] if version > 1 else []
+        before = self.log.read(version - 1) if version > 1 else {"batches": [], "vector": None}
+        earlier = before["batches"]
+        name = f"v{version}-{uuid.uuid4().hex}"  # a batch that failed leaves files that no version names
         need = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (self.group, self.order, self.rank, self.place)))
         images = changes.select(*self._identity, *self.values).filter(need).dropDuplicates(self._identity)
-        images.sortWithinPartitions(self.group, self.order, self.place).write.parquet(f"{self.path}/images/v{version}")
+        images.sortWithinPartitions(self.group, self.order, self.place).write.parquet(f"{self.path}/images/{name}")
 
         # Key-to-position index of the new images: columns of the key and the place in the log only.
-        added = self._parts("images", [version]).select(
+        added = self._parts("images", [name]).select(
             *self._identity,
-            F.lit(version).alias("v"),
-            F.xxhash64(F.lit(version), F.col("_metadata.file_name")).alias("file"),
+            F.xxhash64(F.lit(name), F.col("_metadata.file_name")).alias("file"),
             F.col("_metadata.row_index").alias("row"),
         )
-        added.write.parquet(f"{self.path}/index/v{version}")
-        added = self._parts("index", [version])
+        added.write.parquet(f"{self.path}/index/{name}")
+        added = self._parts("index", [name])
         if added.isEmpty():
             return version - 1
-        index = self._parts("index", [*earlier, version])
+        index = self._parts("index", [*earlier, name])
         touched = self._touched(added, index) if earlier else index
         dead = self._dead_rows(touched, index)
         word = F.expr("row div 64").alias("word")
         mask = F.expr("bit_or(shiftleft(1L, cast(row % 64 as int)))")
         vector = dead.groupBy("file", word).agg(mask.alias("dead"))
         if earlier:
-            old = self._parts("vectors", [version - 1])
+            old = self._parts("vectors", [before["vector"]])
             reset = touched.groupBy("file", word).agg(mask.alias("reset"))
             zero = F.lit(0).cast("bigint")
             vector = (
@@ -104,8 +106,8 @@ class DeleteVectorTable:
                     F.coalesce("old", zero).bitwiseAND(F.bitwise_not(F.coalesce("reset", zero))).bitwiseOR(F.coalesce("dead", zero)).alias("dead"),
                 )
             )
-        vector.write.parquet(f"{self.path}/vectors/v{version}")
-        self.log.commit(version, {"batches": [*earlier, version]})
+        vector.write.parquet(f"{self.path}/vectors/{name}")
+        self.log.commit(version, {"batches": [*earlier, name], "vector": name})
         return version
 
     def _touched(self, added: DataFrame, index: DataFrame) -> DataFrame:
@@ -138,7 +140,8 @@ class DeleteVectorTable:
         version = self.log.current() if version is None else version
         if version == 0:
             raise LookupError("nothing was applied yet")
-        batches = self.log.read(version)["batches"]
+        content = self.log.read(version)
+        batches = content["batches"]
         scans = [
             self._parts("images", [b]).select(
                 *self._identity,
@@ -149,7 +152,7 @@ class DeleteVectorTable:
             for b in batches
         ]
         images = reduce(DataFrame.unionByName, scans).withColumn("word", F.expr("row div 64"))
-        vectors = self._parts("vectors", [version]).filter(F.col("dead") != 0)
+        vectors = self._parts("vectors", [content["vector"]]).filter(F.col("dead") != 0)
         if vectors.count() <= BROADCAST_ROWS:
             vectors = F.broadcast(vectors)
         bit = F.expr("shiftright(dead, cast(row % 64 as int)) & 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -41,7 +42,7 @@ class IncrementalState:
         if version == 0:
             return None
         parts = self.log.read(version)["parts"]
-        rows = self.spark.read.parquet(*(f"{self.path}/state/v{v}" for v in parts))
+        rows = self.spark.read.parquet(*(f"{self.path}/state/{n}" for n in parts))
         if len(parts) == 1:
             return rows.select(*self.keys, "__h1", "__h2")
         newest = rows.groupBy(*self.keys).agg(F.max(F.struct("__v", "__h1", "__h2")).alias("s"))
@@ -67,11 +68,12 @@ class IncrementalState:
         """Record rows that came from ``pending`` as processed; returns the new version."""
         version = self.log.current() + 1
         earlier = self.log.read(version - 1)["parts"] if version > 1 else []
+        name = f"v{version}-{uuid.uuid4().hex}"  # a run that failed leaves files that no version names
         rows = processed if "__h1" in processed.columns else self._hashed(processed)
         rows.groupBy(*self.keys).agg(F.max(F.struct("__h1", "__h2")).alias("s")).select(
             *self.keys, F.lit(version).alias("__v"), F.col("s.__h1").alias("__h1"), F.col("s.__h2").alias("__h2")
-        ).write.parquet(f"{self.path}/state/v{version}")
-        self.log.commit(version, {"parts": [*earlier, version]})
+        ).write.parquet(f"{self.path}/state/{name}")
+        self.log.commit(version, {"parts": [*earlier, name]})
         return version
 
 
