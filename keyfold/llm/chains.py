@@ -106,7 +106,7 @@ def candidates(word: str) -> list[tuple[str, str | None, float]]:
                 plain = raw.decode("ascii")
                 if 2 * len(_PLAIN.findall(plain)) > len(plain):
                     out.append((e, plain, UTF16_WEIGHT * len(wide_word)))
-    foreign = len(word) >= 3 and not _LETTER.search(word)
+    foreign = len(word) >= 3 and not _LETTER.search(word) and any(c.isalpha() for c in word)
     for wrong in BYTE + WIDE:
         raw = _bytes(word, wrong)
         if raw is None:

@@ -24,8 +24,8 @@ POOL = 50.0
 GAIN = 1.0
 #: A candidate whose letters are that much less likely than the word's is not pursued.
 HOPELESS = 6.0
-#: Probability of a context for a symbol that is new in it.
-NEW_CONTEXT = 1e-3
+#: Times that a symbol is taken to have come in a context where it never came.
+NEW_CONTEXT = 0.5
 
 _NO_SOURCE = "\x00"
 
@@ -101,15 +101,16 @@ def _candidates(vocabulary: DataFrame, letters) -> DataFrame:
         score = _Letters(letters.value)
         for batch in batches:
             out: list[tuple] = []
-            known: dict[str, float] = {}
             for w, c, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = score(w)
+                own, lettered = score(w), any(x.isalpha() for x in w)
+                known: dict[str, float] = {}
                 for chain, restored, weight in chains.candidates(w):
                     if restored is None:
                         out.append((w, c, n, chain, None, weight, own, 0.0))
                         continue
                     if restored not in known:
-                        known[restored] = score(restored) if not chain.startswith("utf-16") else own
+                        # Letters tell nothing of a word without any, nor of plain text.
+                        known[restored] = score(restored) if lettered and not chain.startswith("utf-16") else own
                     if known[restored] + weight > own - HOPELESS:
                         out.append((w, c, n, chain, restored, weight, own, known[restored]))
             cols = list(zip(*out, strict=True)) or [()] * 8
@@ -130,14 +131,14 @@ def _gains(candidates: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """Log ratio of a restored word's probability to the garbled one's, where it is evidence.
 
     A word's probability mixes its count, of which the garbled word itself is one,
-    with that of its letters.
+    with that of its letters; a symbol's is its count in its context alone.
     """
     own = counts.select("word", "context", F.col("held").alias("own_held"))
     other = counts.select(F.col("word").alias("restored"), "context", "held")
 
     def p(held, letters):
-        context = F.when(F.col("context") == "", 1.0).otherwise(NEW_CONTEXT)
-        return F.log(F.lit(0.9 / max(total, 1)) * F.greatest(held, F.lit(0.0)) + 0.1 * context * F.exp(letters) + F.lit(1e-300))
+        new = F.when(F.col("context") == "", 0.1 * F.exp(letters)).otherwise(NEW_CONTEXT / max(total, 1))
+        return F.log(F.lit(0.9 / max(total, 1)) * F.greatest(held, F.lit(0.0)) + new + F.lit(1e-300))
 
     gain = (
         F.when(F.col("restored").isNull(), F.col("weight")).otherwise(

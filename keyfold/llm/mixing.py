@@ -13,7 +13,7 @@ BLOCK_ROWS = 200_000
 UNIT = 1 << 31
 
 
-def _plan(sizes: DataFrame, targets: DataFrame, source_col: str, size_col: str) -> DataFrame:
+def _plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per listed source: available size and expected copies of each of its documents.
 
     The total is as large as the scarcest source allows: with all documents of
@@ -21,8 +21,8 @@ def _plan(sizes: DataFrame, targets: DataFrame, source_col: str, size_col: str)
     available * max_repeats / share. Sources that can't contribute (nothing
     there, no share, no repeats) leave their share to the others in proportion.
     """
-    have = sizes.groupBy(source_col).agg(F.sum(size_col).alias("available"), F.count(F.lit(1)).alias("docs"))
-    t = targets.select(F.col(source_col), "target_share", "max_repeats").join(have, source_col, "left").withColumns(
+    have = sizes.groupBy("source").agg(F.sum("size").alias("available"), F.count(F.lit(1)).alias("docs"))
+    t = targets.join(have, "source", "left").withColumns(
         {"available": F.coalesce("available", F.lit(0)), "docs": F.coalesce("docs", F.lit(0))}
     )
     usable = (F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
@@ -49,49 +49,57 @@ def mix(
     prefix sum is its rank times them, and the rank comes from block offsets plus
     the place in a block of bounded size, however large the source.
 
-    Every input row comes out, with 0 copies if its size is 0 or NULL or its
+    Every input row comes out with all its columns (a ``copies`` of its own being
+    replaced), with 0 copies if its size is 0 or NULL or its
     source is NULL, unlisted or unusable. ``sizes`` is read several times and
     should be a stored table. ``targets`` has one row per source. No row of any
     kind gives empty results.
     """
-    plan, _ = lookup(_plan(sizes.filter(F.col(size_col) > 0), targets, source_col, size_col), "mix-plan")
+    t = targets.select(F.col(source_col).alias("source"), "target_share", "max_repeats")
+    all_rows = sizes.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"),
+        F.struct(*(c for c in sizes.columns if c != "copies")).alias("row"),
+    )
+    plan, _ = lookup(_plan(all_rows.filter("size > 0"), t), "mix-plan")
+    usable = plan.filter("expected > 0").select("source", "expected")
     blocks = max(1, sizes.count() // BLOCK_ROWS)
-    used = sizes.filter(F.col(size_col) > 0).withColumns(
+    used = all_rows.filter("size > 0").withColumns(
         {
-            "__class": F.floor(F.log2(F.col(size_col).cast("double")) * 8),
-            "__hash": F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(blocks)),
+            "class": F.floor(F.log2(F.col("size").cast("double")) * 8),
+            "hash": F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(blocks)),
         }
-    ).join(plan.filter("expected > 0").select(source_col, "expected"), source_col)
-    block = [source_col, "__class", "__hash"]
-    before = Window.partitionBy(source_col).orderBy("__class", "__hash").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = used.groupBy(*block).agg(F.count(F.lit(1)).alias("__n")).select(
-        *block, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
+    ).join(usable, "source")
+    block = ["source", "class", "hash"]
+    before = Window.partitionBy("source").orderBy("class", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = used.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).select(
+        *block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    place = F.row_number().over(Window.partitionBy(*block).orderBy(size_col, id_col))
-    ranked = used.withColumn("__place", place).join(offsets, block).withColumn("__rank", F.col("__offset") + F.col("__place"))
+    place = F.row_number().over(Window.partitionBy(*block).orderBy("size", "id"))
+    ranked = used.withColumn("place", place).join(offsets, block).withColumn("rank", F.col("offset") + F.col("place"))
     whole = F.floor("expected")
     step = F.round((F.col("expected") - whole) * UNIT).cast("bigint")
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.col(source_col)), F.lit(UNIT))
-    crossed = F.pmod(F.col("__rank") % UNIT * step + offset, F.lit(UNIT)) < step
-    unused = sizes.filter(~(F.coalesce(F.col(size_col), F.lit(0)) > 0)).unionByName(
-        sizes.filter(F.col(size_col) > 0).join(plan.filter("expected > 0").select(source_col), source_col, "left_anti").select(sizes.columns)
-    ).withColumn("copies", F.lit(0).cast("bigint"))
-    documents = ranked.select(*sizes.columns, (whole + crossed.cast("bigint")).alias("copies")).unionByName(unused)
-
-    taken = documents.filter("copies > 0").groupBy(source_col).agg(
-        F.sum(F.col("copies") * F.col(size_col)).alias("used_size"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("docs_used")
+    start = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(UNIT))
+    crossed = F.pmod(F.col("rank") % UNIT * step + start, F.lit(UNIT)) < step
+    chosen = ranked.select("row", "source", "size", (whole + crossed.cast("bigint")).alias("copies"))
+    zero = F.lit(0).cast("bigint")
+    sized = F.coalesce(F.col("size") > 0, F.lit(False))
+    unused = all_rows.filter(~sized).select("row", "source", "size", zero.alias("copies")).unionByName(
+        all_rows.filter(sized).join(usable.select("source"), "source", "left_anti").select("row", "source", "size", zero.alias("copies"))
+    )
+    taken = chosen.filter("copies > 0").groupBy("source").agg(
+        F.sum(F.col("copies") * F.col("size")).alias("used_size"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("docs_used")
     )
-    return documents, _report(plan, taken, source_col)
+    return chosen.unionByName(unused).select("row.*", "copies"), _report(plan, taken).withColumnRenamed("source", source_col)
 
 
-def _report(plan: DataFrame, taken: DataFrame, source_col: str) -> DataFrame:
+def _report(plan: DataFrame, taken: DataFrame) -> DataFrame:
     """Shares of the mixed total per listed source."""
     everything = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = F.lit(0).cast("bigint")
-    rows = plan.join(taken, source_col, "left").withColumn("used_size", F.coalesce("used_size", zero))
+    rows = plan.join(taken, "source", "left").withColumn("used_size", F.coalesce("used_size", zero))
     total = F.sum("used_size").over(everything)  # a row per source: as small as the table of targets
     return rows.select(
-        source_col,
+        "source",
         "target_share",
         "max_repeats",
         "docs",
