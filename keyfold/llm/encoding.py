@@ -14,7 +14,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_root
+from ..session import materialise, shared_root
 from .lexicon import Lexicon
 from .pretokens import word_starts
 
@@ -118,9 +118,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
-    """The ``most`` words with the highest counts over all texts, among those seen twice."""
+    """The most frequent words over all texts, at most ``most`` and all seen twice or more.
+
+    Counts are combined in the tasks, then by word. Instead of a sort into one
+    task a histogram of the counts (some thousand rows) tells from which count on
+    there are at most ``most`` words; words of one count are taken or left together.
+    """
     counted = docs.select(text_col).filter(F.length(text_col) > 0).mapInArrow(_count_words, "word binary, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    words = materialise(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "word-counts")
+    # Counts up to 1024 exactly, larger ones in 64 classes per doubling.
+    level = F.when(F.col("n") <= 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024.0) * 64)).cast("bigint")
+    least, held = None, 0
+    for row in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        held += row["count"]
+        if held > most:
+            break
+        least = row.level
+    return words.filter(F.lit(False) if least is None else level >= least)
 
 
 def publish_lexicon(spark: SparkSession, words: list[bytes], vocabulary: str | None = None) -> str:

@@ -221,8 +221,8 @@ def find(
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
     table = np.zeros(2 * PAIRS, np.int64)
     pairs = vocabulary.select("word", "n").mapInArrow(_count_pairs, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for row in pairs.toLocalIterator():
-        table[row.bucket] = row.n
+    counted = pairs.toArrow()  # a row per bucket at most
+    table[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     letters = spark.sparkContext.broadcast(table)
     candidates = materialise(_candidates(vocabulary, letters), "garbled-candidates")
 

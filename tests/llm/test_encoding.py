@@ -117,3 +117,8 @@ def test_rows_of_all_kinds(spark, truth):
 def test_frequent_words_count_all_texts(spark):
     df = spark.createDataFrame([("a a b",), ("b a c",), (None,), ("",)], "text string").repartition(3)
     assert [(bytes(r.word), r.n) for r in encoding.frequent_words(df).collect()] == [(b" a", 2)]
+    more = spark.createDataFrame([(" x" * 5 + " y" * 3 + " z" * 3 + " w" * 2,)] * 2 + [(" h" * 3000,)], "text string")
+    count = lambda most: sorted((bytes(r.word).decode(), r.n) for r in encoding.frequent_words(more, most=most).collect())
+    assert count(9) == [(" h", 3000), (" w", 4), (" x", 10), (" y", 6), (" z", 6)]
+    assert count(3) == count(2) == [(" h", 3000), (" x", 10)]
+    assert count(0) == []
