@@ -55,15 +55,26 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, *, partition_by: str | None = None) -> DataFrame:
+#: Intermediate tables of this process, until they are dropped.
+_INTERMEDIATE: list[str] = []
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a table in the shared folder: lost executors cost a re-read only."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    writer = df.write.mode("error")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    df.write.mode("error").parquet(path)
+    _INTERMEDIATE.append(path)
+    return spark.read.parquet(path)
+
+
+def drop_intermediate(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; results that were not stored can't be read after that."""
+    dropped = 0
+    while _INTERMEDIATE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_INTERMEDIATE.pop())
+        dropped += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return dropped
 
 
 def lookup(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
