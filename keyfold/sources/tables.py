@@ -25,6 +25,12 @@ def read_tables(spark: SparkSession, folder: str, verify: bool = False, numbers:
     if numbers is not None:
         files = files.filter(F.col("number").isin(numbers))
 
+    return decode_tables(files, verify)
+
+
+def decode_tables(files: DataFrame, verify: bool = False) -> DataFrame:
+    """Rows of encoded tables (number, content)."""
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["number", "key", "seq", "op", "value"]
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int8(), pa.binary()]

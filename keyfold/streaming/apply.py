@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.mvcc import newest
 from ..operators.raftlog import SNAPSHOT_EVERY
 from ..store import Store
 
@@ -65,3 +66,22 @@ def due_snapshots(entries: DataFrame, every: int = SNAPSHOT_EVERY) -> DataFrame:
     agg = entries.groupBy("region_id").agg(F.min("idx").alias("__low"), F.max("idx").alias("applied"))
     n: Column = F.col("applied") - F.col("__low") + 1
     return agg.select("region_id", "applied", F.floor(n / every).alias("due"))
+
+
+def final_updates(updates: DataFrame, key_cols: Sequence[str], path: str) -> DataFrame:
+    """Run an update-mode stream over all that is there and return the last update per key.
+
+    Each micro-batch overwrites a folder of its own, so one that is run again
+    after a failure counts once.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/updates/batch={number}")
+
+    (
+        updates.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    spark = updates.sparkSession
+    seen = spark.read.parquet(f"{path}/updates").drop("batch")
+    return newest(seen, key_cols, "__batch").drop("__batch")
