@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +100,14 @@ def collect_garbage(
     return above.unionByName(base)
 
 
+def drop_base_tombstones(versions: DataFrame, deeper: DataFrame, key_cols: Sequence[str], droppable: Column) -> DataFrame:
+    """Versions without those ``droppable`` deletions whose key no deeper level holds, decided by its keys themselves."""
+    keep = ~F.coalesce(droppable, F.lit(False))
+    held = deeper.select(*(F.col(k).alias(f"__d{i}") for i, k in enumerate(key_cols))).distinct()
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__d{i}")) for i, k in enumerate(key_cols)))
+    return versions.filter(keep).unionByName(versions.filter(~keep).join(held, on, "left_semi"))
+
+
 def covered(rows: DataFrame, ranges: DataFrame, key_col: str) -> DataFrame:
     """Rows with ``__covered``: whether a disjoint range (smallest, largest), both inclusive, holds the key."""
     kind = dict(ranges.dtypes)["largest"]

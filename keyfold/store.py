@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import levels, merge, mvcc
 from .operators import regions as region_ops
-from .schema import DELETE, MUTATION, PUT, AlreadyExists, Corruption, InvalidArgument, NotFound, StorageIOError
+from .schema import DELETE, LEVELS, MUTATION, PUT, AlreadyExists, Corruption, InvalidArgument, NotFound, StorageIOError
 from .sources.commits import CommitLog, VersionConflict
 
 KEYS = ["region_id", "cf", "key"]
@@ -52,6 +52,9 @@ class WriteBatch:
 class Store:
     """Sorted Parquet files in three levels, and a log of numbered manifests.
 
+    A manifest has an entry per file with its range of keys, so that reads and
+    compactions touch overlapping files only.
+
     A write appends files to level 0 and commits a manifest that names them; a
     reader works on the immutable files of one manifest up to one sequence. A
     failed job commits nothing. There is one writer at a time: of two that
@@ -90,44 +93,54 @@ class Store:
     def last_sequence(self) -> int:
         return self.manifest["last_seq"]
 
-    def _dir(self, number: int) -> str:
-        return f"{self.path}/data/{number:06d}.sst"
-
-    def _listed(self) -> list[int]:
-        Path = self.spark._jvm.org.apache.hadoop.fs.Path
-        root = Path(f"{self.path}/data")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = (s.getPath().getName() for s in fs.listStatus(root))
-        return sorted(int(n[:-4]) for n in names if n.endswith(".sst") and n[:-4].isdigit())
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _listed(self) -> dict[str, int]:
+        """Size of every data file, by its name within ``data``."""
+        root, fs = self._fs()
+        out: dict[str, int] = {}
+        if fs.exists(root):
+            files = fs.listFiles(root, True)
+            while files.hasNext():
+                f = files.next()
+                if f.getPath().getName().endswith(".parquet"):
+                    out[f"{f.getPath().getParent().getName()}/{f.getPath().getName()}"] = f.getLen()
+        return out
 
     def _verify(self) -> None:
-        lost = {f["number"] for f in self.manifest["files"]} - set(self._listed())
-        if lost:
-            raise Corruption(f"files are missing: {sorted(lost)}")
+        """All files of the manifest are there with the recorded size."""
+        listed = self._listed()
+        wrong = [f["name"] for f in self.manifest["files"] if listed.get(f["name"]) != f["file_size"]]
+        if wrong:
+            raise Corruption(f"files are missing or have another size: {wrong[:5]}")
 
     def _rows(self, files: Iterable[dict]) -> DataFrame:
-        paths = [self._dir(f["number"]) for f in files]
+        paths = [f"{self.path}/data/{f['name']}" for f in files]
         if not paths:
             return self.spark.createDataFrame([], MUTATION)
         return self.spark.read.schema(MUTATION).parquet(*paths)
 
-    def _write_file(self, rows: DataFrame, number: int, level: int) -> dict:
-        """One sorted set of Parquet files with a Bloom filter on the key; counted after it is written."""
+    def _write_files(self, rows: DataFrame, number: int, level: int) -> list[dict]:
+        """Sorted Parquet files with a Bloom filter on the key, and what the manifest tells of each.
+
+        Rows are range-partitioned by key, so files of one write share no key.
+        """
+        folder = f"{number:06d}.sst"
         (
-            rows.select(*MUTATION.fieldNames())
-            .sortWithinPartitions("region_id", "cf", "key", F.col("seq").desc())
-            .write.option("parquet.bloom.filter.enabled#key", "true").parquet(self._dir(number))
+            rows.select(*MUTATION.fieldNames()).repartitionByRange(*KEYS)
+            .sortWithinPartitions(*KEYS, F.col("seq").desc())
+            .write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/data/{folder}")
+        )
+        key = F.struct(*KEYS)
+        stats = self.spark.read.schema(MUTATION).parquet(f"{self.path}/data/{folder}").groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("file_size")).agg(
+            F.count(F.lit(1)).alias("rows"), F.max("seq").alias("high"), F.min(key).alias("smallest"), F.max(key).alias("largest")
         )
-        s = self.spark.read.schema(MUTATION).parquet(self._dir(number)).agg(
-            F.count(F.lit(1)).alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"),
-            F.sum(F.length("key") + F.coalesce(F.length("value"), F.lit(0)) + 8).alias("bytes"),
-            F.min("key").alias("smallest"), F.max("key").alias("largest"),
-        ).first()
-        text = lambda b: None if b is None else bytes(b).hex()
-        return {"number": number, "level": level, "rows": s.n, "bytes": s.bytes or 0, "low": s.low, "high": s.high,
-                "smallest": text(s.smallest), "largest": text(s.largest)}
+        return sorted(
+            ({"name": f"{folder}/{r.name}", "file_size": r.file_size, "level": level, "rows": r.rows, "high": r.high, "smallest": _bound(r.smallest), "largest": _bound(r.largest)} for r in stats.toLocalIterator()),
+            key=lambda f: f["smallest"],
+        )
 
     def _commit(self, version: int, manifest: dict) -> None:
         try:
@@ -173,11 +186,10 @@ class Store:
             numbered = numbered.select(*(F.col(f.name).cast(f.dataType) for f in MUTATION))
         if numbered is None:
             return m["last_seq"]
-        f = self._write_file(numbered, m["next_file"], 0)
+        new = self._write_files(numbered, m["next_file"], 0)
         m["next_file"] += 1
-        if f["rows"]:
-            m["files"].append(f)
-            m["last_seq"] = f["high"]
+        m["files"] += new
+        m["last_seq"] = max([m["last_seq"], *(f["high"] for f in new)])
         if txn:
             m["applied"][txn[0]] = txn[1]
         self._commit(version + 1, m)
@@ -217,12 +229,19 @@ class Store:
         """Visible pairs (region_id, cf, key, seq, op, value)."""
         return mvcc.latest(self.versions(), KEYS, "seq", F.col("op") == DELETE, self._as_of(snapshot), ["op"])
 
-    def _of(self, region_id: int, cf: str) -> DataFrame:
-        return self.versions().filter((F.col("region_id") == region_id) & F.col("cf").eqNullSafe(F.lit(cf)))
+    def _of(self, region_id: int, cf: str | None, start: bytes = b"", end: bytes | None = None) -> DataFrame:
+        """Versions of one region and family from the files whose range may hold keys from start to end (inclusive)."""
+        low, high = _bound((region_id, cf, start)), None if end is None else _bound((region_id, cf, end))
+        top = _bound((region_id, cf, b""))[:3]
+        files = [
+            f for f in self.manifest["files"]
+            if f["largest"] >= low and (f["smallest"] <= high if high is not None else f["smallest"][:3] <= top)
+        ]
+        return self._rows(files).filter((F.col("region_id") == region_id) & F.col("cf").eqNullSafe(F.lit(cf)))
 
     def get(self, region_id: int, cf: str, key: bytes, snapshot: Snapshot | int | None = None) -> bytes | None:
         """The value, or None for an absent or deleted key (an empty value is b'')."""
-        row = mvcc.get(self._of(region_id, cf), KEYS, (region_id, cf, bytearray(key)), "seq", F.col("op") == DELETE, self._as_of(snapshot), ["op"]).first()
+        row = mvcc.get(self._of(region_id, cf, key, key), KEYS, (region_id, cf, bytearray(key)), "seq", F.col("op") == DELETE, self._as_of(snapshot), ["op"]).first()
         return None if row is None else bytes(row.value)
 
     def multi_get(self, keys: DataFrame, snapshot: Snapshot | int | None = None) -> DataFrame:
@@ -233,7 +252,7 @@ class Store:
         """(key, value) of one region and family in key order from an inclusive start."""
         if limit < 0:
             raise InvalidArgument("limit must not be negative")
-        rows = mvcc.scan(self._of(region_id, cf), KEYS, "seq", F.col("op") == DELETE, bytearray(start), limit, self._as_of(snapshot), ["op"])
+        rows = mvcc.scan(self._of(region_id, cf, start), KEYS, "seq", F.col("op") == DELETE, bytearray(start), limit, self._as_of(snapshot), ["op"])
         return rows.select("key", "value")
 
     def region_snapshot(self, region_id: int, snapshot: Snapshot | int | None = None) -> DataFrame:
@@ -243,49 +262,68 @@ class Store:
     def oldest_snapshot(self) -> int:
         return min((s.seq for s in self._live), default=self.last_sequence)
 
+    def _pick(self, files: list[dict], force: bool, l0_files: int, l1_bytes: int) -> tuple[int, list[dict], list[dict]] | None:
+        """(level, its inputs, files of the next level that they overlap), or None if nothing is due."""
+        by = {lv: sorted((f for f in files if f["level"] == lv), key=lambda f: f["smallest"]) for lv in range(LEVELS)}
+        writes = {f["name"].split("/")[0] for f in by[0]}
+        if len(writes) >= l0_files or (force and by[0]):
+            level, inputs = 0, by[0]
+        elif sum(f["file_size"] for f in by[1]) >= l1_bytes or (force and by[1]):
+            level, inputs = 1, by[1][:1]
+        else:
+            return None
+        low, high = min(f["smallest"] for f in inputs), max(f["largest"] for f in inputs)
+        return level, inputs, [f for f in by[level + 1] if f["smallest"] <= high and low <= f["largest"]]
+
     def compact(self, force: bool = False, l0_files: int = levels.L0_FILES, l1_bytes: int = levels.L1_BYTES) -> int | None:
-        """Merge a level into the next if it is due (or at all, with ``force``); returns the level merged."""
+        """Merge what is due into the next level (or the first there is, with ``force``); returns the level merged.
+
+        Due are all writes of level 0 from ``l0_files`` on, else the first file of
+        level 1 from ``l1_bytes`` on; only files of the next level that overlap are
+        rewritten. Versions that no snapshot sees go, and so do deletions whose
+        key no deeper level holds.
+        """
 
         def work() -> int | None:
             version = self.log.current()
             m = self.log.read(version)
-            by = {lv: [f for f in m["files"] if f["level"] == lv] for lv in range(3)}
-            if len(by[0]) >= l0_files or (force and by[0]):
-                level = 0
-            elif sum(f["bytes"] for f in by[1]) >= l1_bytes or (force and by[1]):
-                level = 1
-            else:
+            picked = self._pick(m["files"], force, l0_files, l1_bytes)
+            if picked is None:
                 return None
-            rows = self._rows(by[level] + by[level + 1])
+            level, inputs, overlap = picked
+            rows = self._rows(inputs + overlap)
             merge.require_unique(rows, [*KEYS, "seq", "op"])
-            lower = None
-            if level == 1 or not by[2]:
-                lower = self.spark.createDataFrame([], "smallest binary, largest binary")
-            else:
-                spans = [(bytearray.fromhex(f["smallest"]), bytearray.fromhex(f["largest"])) for f in by[2]]
-                lower = self.spark.createDataFrame(spans, "smallest binary, largest binary")
-            kept = levels.collect_garbage(rows, KEYS, "seq", "op", F.col("op") == DELETE, self.oldest_snapshot(), lower)
-            f = self._write_file(kept.repartitionByRange(*KEYS), m["next_file"], level + 1)
+            low, high = min(f["smallest"] for f in inputs + overlap), max(f["largest"] for f in inputs + overlap)
+            deeper = self._rows(f for f in m["files"] if f["level"] > level + 1 and f["smallest"] <= high and low <= f["largest"])
+            oldest, deleted = self.oldest_snapshot(), F.col("op") == DELETE
+            kept = levels.collect_garbage(rows, KEYS, "seq", "op", deleted, oldest)
+            kept = levels.drop_base_tombstones(kept, deeper, KEYS, deleted & (F.col("seq") <= oldest))
+            new = self._write_files(kept, m["next_file"], level + 1)
             m["next_file"] += 1
-            gone = {x["number"] for x in by[level] + by[level + 1]}
-            m["files"] = [x for x in m["files"] if x["number"] not in gone] + ([f] if f["rows"] else [])
+            gone = {f["name"] for f in inputs + overlap}
+            m["files"] = [f for f in m["files"] if f["name"] not in gone] + new
             self._commit(version + 1, m)
             return level
 
         return self._guarded(work)
 
-    def clean(self, keep_versions: int = 1) -> list[int]:
-        """Delete files that none of the newest ``keep_versions`` manifests names; returns their numbers."""
+    def clean(self, keep_versions: int = 1) -> list[str]:
+        """Delete data files that none of the newest ``keep_versions`` manifests names; returns their names."""
         versions = self.log.versions()[-max(1, keep_versions) :]
-        needed = {f["number"] for v in versions for f in self.log.read(v)["files"]}
-        gone = [n for n in self._listed() if n not in needed]
-        Path = self.spark._jvm.org.apache.hadoop.fs.Path
+        needed = {f["name"] for v in versions for f in self.log.read(v)["files"]}
+        gone = sorted(n for n in self._listed() if n not in needed)
+        _, fs = self._fs()
         for n in gone:
-            p = Path(self._dir(n))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/{n}"), False)
         return gone
 
 
+def _bound(key) -> list:
+    """A key (region, family, bytes) as a JSON list that sorts like the rows: NULL family first, bytes as hexadecimal."""
+    region_id, cf, raw = key
+    return [region_id, cf is not None, cf or "", bytes(raw).hex()]
+
+
 class MemoryStore:
     """The reading side of ``Store`` over any table of mutations, nothing being written."""
 

@@ -135,7 +135,27 @@ def test_failures_latch_and_lost_files(spark, store, monkeypatch):
         store.put(1, "c", b"k", b"w")
     again = Store(spark, store.path)
     assert again.get(1, "c", b"k") == b"v"
-    p = spark._jvm.org.apache.hadoop.fs.Path(again._dir(again.manifest["files"][0]["number"]))
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{again.path}/data/{again.manifest['files'][0]['name']}")
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     with pytest.raises(Corruption):
         Store(spark, store.path)
+
+
+def test_only_overlapping_files_are_read_and_rewritten(spark, store):
+    store.write(WriteBatch().put(1, "c", b"a", b"1").put(1, "c", b"b", b"1"))
+    while store.compact(force=True) is not None:
+        pass
+    deep = {f["name"] for f in store.manifest["files"]}
+    store.write(WriteBatch().put(1, "c", b"x", b"2").put(2, "c", b"a", b"2"))
+    assert store.compact(force=True) == 0
+    assert deep <= {f["name"] for f in store.manifest["files"]}
+    assert store.compact(force=True) == 1
+    assert deep <= {f["name"] for f in store.manifest["files"]}
+    assert len(store._of(1, "c", b"b", b"b").inputFiles()) == 1
+    assert len(store._of(3, "c").inputFiles()) == 0
+    store.delete(1, "c", b"a")
+    store.compact(force=True)
+    assert rows(store.versions().filter("op = 0"), "key") == [(b"a",)]  # the deeper level holds the key
+    while store.compact(force=True) is not None:
+        pass
+    assert rows(store.versions(), "region_id", "key") == [(1, b"b"), (1, b"x"), (2, b"a")]
