@@ -75,38 +75,35 @@ class DeleteVectorTable:
         earlier = before["batches"]
         name = f"v{version}-{uuid.uuid4().hex}"  # a batch that failed leaves files that no version names
         need = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (self.group, self.order, self.rank, self.place)))
-        images = changes.select(*self._identity, *self.values).filter(need).dropDuplicates(self._identity)
-        images.sortWithinPartitions(self.group, self.order, self.place).write.parquet(f"{self.path}/images/{name}")
+        # Repeated deliveries are appended too: all but one of them are dead rows.
+        changes.select(*self._identity, *self.values).filter(need).write.parquet(f"{self.path}/images/{name}")
 
         # Key-to-position index of the new images: columns of the key and the place in the log only.
-        added = self._parts("images", [name]).select(
+        self._parts("images", [name]).select(
             *self._identity,
             F.xxhash64(F.lit(name), F.col("_metadata.file_name")).alias("file"),
             F.col("_metadata.row_index").alias("row"),
-        )
-        added.write.parquet(f"{self.path}/index/{name}")
+        ).write.parquet(f"{self.path}/index/{name}")
         added = self._parts("index", [name])
         if added.isEmpty():
             return version - 1
         index = self._parts("index", [*earlier, name])
         touched = self._touched(added, index) if earlier else index
-        dead = self._dead_rows(touched, index)
+        alive = self._alive_rows(touched, index)
+        zero = F.lit(0).cast("bigint")
+        mask = F.expr("shiftleft(1L, cast(row % 64 as int))")
         word = F.expr("row div 64").alias("word")
-        mask = F.expr("bit_or(shiftleft(1L, cast(row % 64 as int)))")
-        vector = dead.groupBy("file", word).agg(mask.alias("dead"))
+        # Of each word the rows that are judged now, those of them that live, and the bits of the version before.
+        parts = [
+            touched.select("file", word, mask.alias("judged"), zero.alias("alive"), zero.alias("old")),
+            alive.select("file", word, zero.alias("judged"), mask.alias("alive"), zero.alias("old")),
+        ]
         if earlier:
             old = self._parts("vectors", [before["vector"]])
-            reset = touched.groupBy("file", word).agg(mask.alias("reset"))
-            zero = F.lit(0).cast("bigint")
-            vector = (
-                old.withColumnRenamed("dead", "old").join(reset, ["file", "word"], "full_outer").join(vector, ["file", "word"], "full_outer")
-                .select(
-                    "file",
-                    "word",
-                    F.coalesce("old", zero).bitwiseAND(F.bitwise_not(F.coalesce("reset", zero))).bitwiseOR(F.coalesce("dead", zero)).alias("dead"),
-                )
-            )
-        vector.write.parquet(f"{self.path}/vectors/{name}")
+            parts.append(old.select("file", "word", zero.alias("judged"), zero.alias("alive"), F.col("dead").alias("old")))
+        bits = reduce(DataFrame.unionByName, parts).groupBy("file", "word").agg(*(F.bit_or(c).alias(c) for c in ("judged", "alive", "old")))
+        dead = F.expr("(old & ~judged) | (judged & ~alive)")
+        bits.select("file", "word", dead.alias("dead")).filter("dead <> 0").write.parquet(f"{self.path}/vectors/{name}")
         self.log.commit(version, {"batches": [*earlier, name], "vector": name})
         return version
 
@@ -118,21 +115,19 @@ class DeleteVectorTable:
         on = reduce(lambda a, b: a & b, (index[c].eqNullSafe(keys[c]) for c in (self.group, *self.keys)))
         return index.join(keys, on, "left_semi")
 
-    def _dead_rows(self, touched: DataFrame, index: DataFrame) -> DataFrame:
-        """(file, row) of the touched rows that are not the newest image of a present key.
+    def _alive_rows(self, touched: DataFrame, index: DataFrame) -> DataFrame:
+        """(file, row) of the newest image of each touched key that is present.
 
         The newest change per key is an aggregate with a combine before the
-        shuffle, so one key with most changes stays harmless; losers are
-        found by position, which is unique.
+        shuffle, so one key with most changes stays harmless.
         """
         entry = [self.group, self.order]
-        top = index.groupBy(*entry).agg(F.max(self.rank).alias(self.rank))
-        holding = touched.filter(self._effective()).join(top, [*entry, self.rank])
+        top = index.groupBy(*entry).agg(F.max(self.rank).alias("__top"))
+        holding = touched.filter(self._effective()).join(top, entry).filter(F.col(self.rank) == F.col("__top"))
         newest = holding.groupBy(self.group, *self.keys).agg(
             F.max(F.struct(self.order, self.place, self.op, "file", "row")).alias("w")
         )
-        alive = newest.filter(F.col(f"w.{self.op}") == PUT).select(F.col("w.file").alias("file"), F.col("w.row").alias("row"))
-        return touched.select("file", "row").join(alive, ["file", "row"], "left_anti")
+        return newest.filter(F.col(f"w.{self.op}") == PUT).select(F.col("w.file").alias("file"), F.col("w.row").alias("row"))
 
     # -- read -----------------------------------------------------------------
     def read(self, version: int | None = None) -> DataFrame:
@@ -152,7 +147,7 @@ class DeleteVectorTable:
             for b in batches
         ]
         images = reduce(DataFrame.unionByName, scans).withColumn("word", F.expr("row div 64"))
-        vectors = self._parts("vectors", [content["vector"]]).filter(F.col("dead") != 0)
+        vectors = self._parts("vectors", [content["vector"]])
         if vectors.count() <= BROADCAST_ROWS:
             vectors = F.broadcast(vectors)
         bit = F.expr("shiftright(dead, cast(row % 64 as int)) & 1")
