@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Corruption
+from ..session import ship_package
 from . import merge, mvcc, regions
 
 # Fixed values of the compaction rules.
@@ -131,6 +132,7 @@ def split_outputs(versions: DataFrame, key_cols: Sequence[str], seq_col: str, op
     read as a stream, so one key with many versions needs no memory, but stays
     in one file as readers expect.
     """
+    ship_package(versions.sparkSession)
     keys = list(key_cols)
     n = parts or max(1, int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = (

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +58,29 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def write_shared(spark: SparkSession, name: str, content: bytes) -> str:
+    """Write one file into the shared folder; returns its path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(content))
+    out.close()
+    return str(path.toString())
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers wherever they run; once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_keyfold_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(write_shared(spark, f"{root.name}-{uuid.uuid4().hex}.zip", buffer.getvalue()))
+    sc._keyfold_shipped = True
+
+
 #: Intermediate tables of this process, until they are dropped.
 _INTERMEDIATE: list[str] = []
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..schema import TABLE_META
+from ..session import ship_package
 
 ROWS = "number bigint, key binary, seq bigint, op tinyint, value binary"
 
@@ -45,6 +46,7 @@ def decode_tables(files: DataFrame, verify: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+    ship_package(files.sparkSession)
     return files.mapInArrow(decode, ROWS)
 
 
@@ -75,6 +77,7 @@ def encode_tables(split: DataFrame) -> DataFrame:
         if rows:
             yield done()
 
+    ship_package(split.sparkSession)
     return split.select("file_no", "key", "seq", "op", "value").mapInArrow(
         encode, "file_no bigint, content binary, entries bigint, smallest binary, largest binary"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from .. import schema
 from ..functions import codec
 
 NAME = "keyfold_log"
@@ -133,15 +134,31 @@ class LogSource(DataSource):
         return LogWriter(self.options["path"], int(self.options.get("first", 1)))
 
 
+def _register(spark: SparkSession) -> None:
+    """Register the source with its code in it, so that workers need not import it."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    modules = [sys.modules[__name__], codec, schema]
+    for m in modules:
+        cloudpickle.register_pickle_by_value(m)
+    try:
+        spark.dataSource.register(LogSource)
+    finally:
+        for m in modules:
+            cloudpickle.unregister_pickle_by_value(m)
+
+
 def read_log(spark: SparkSession, folder: str, oldest: int = 1) -> DataFrame:
     """Operations of all log files of a folder."""
-    spark.dataSource.register(LogSource)
+    _register(spark)
     return spark.read.format(NAME).option("oldest", str(oldest)).load(folder)
 
 
 def write_log(ops: DataFrame, folder: str, first: int = 1, files: int = 1) -> None:
     """Write (batch_seq, pos, op, key, value) rows; batches stay whole, in ``files`` files by ranges of their sequence."""
-    ops.sparkSession.dataSource.register(LogSource)
+    _register(ops.sparkSession)
     rows = ops.select(F.lit(0).cast("bigint").alias("file"), F.lit(0).cast("bigint").alias("offset"), "batch_seq", (F.col("batch_seq") + F.col("pos")).alias("seq"),
                       F.col("pos").cast("int").alias("pos"), F.col("op").cast("tinyint").alias("op"), "key", "value")
     ordered = rows.repartitionByRange(files, "batch_seq").sortWithinPartitions("batch_seq", "pos")
