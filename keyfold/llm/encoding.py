@@ -14,7 +14,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, shared_root
+from ..session import materialise, ship_package, write_shared
 from .lexicon import Lexicon
 from .pretokens import word_starts
 
@@ -124,6 +124,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
     task a histogram of the counts (some thousand rows) tells from which count on
     there are at most ``most`` words; words of one count are taken or left together.
     """
+    ship_package(docs.sparkSession)
     counted = docs.select(text_col).filter(F.length(text_col) > 0).mapInArrow(_count_words, "word binary, n bigint")
     words = materialise(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "word-counts")
     # Counts up to 1024 exactly, larger ones in 64 classes per doubling.
@@ -142,11 +143,7 @@ def publish_lexicon(spark: SparkSession, words: list[bytes], vocabulary: str | N
     vocabulary = vocabulary or default_vocabulary()
     raw = Lexicon.build(words, merger(vocabulary)).to_bytes()
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{name}")
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-    out.write(bytearray(raw))
-    out.close()
-    spark.sparkContext.addFile(str(path.toString()))
+    spark.sparkContext.addFile(write_shared(spark, name, raw))
     return name
 
 
@@ -220,6 +217,7 @@ def _encoder(name: str, vocabulary: str) -> Encoder:
 
 
 def _prepared(docs: DataFrame, text_col: str, vocabulary: str | None, lexicon: str | None) -> tuple[str, str]:
+    ship_package(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     if lexicon is None:
         words = [bytes(r.word) for r in frequent_words(docs, text_col).select("word").collect()]

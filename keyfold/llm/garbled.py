@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import lookup, materialise
+from ..session import lookup, materialise, ship_package
 from . import chains
 
 #: Buckets of the hashed table of character pairs: the bound of what the driver collects.
@@ -216,6 +216,7 @@ def find(
     id are left out; repeated texts are judged each; an empty table gives none.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     tokens = materialise(_tokens(docs, id_col, source_col, list(text_cols)), "garbled-words")
     vocabulary = materialise(tokens.groupBy("word", "context").agg(F.sum("n").alias("n")), "garbled-vocabulary")
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
@@ -262,6 +263,7 @@ def restore(docs: DataFrame, garbled: Garbled, id_col: str = "doc_id", text_col:
     chain makes of them; clean words between them stay. ``complete`` is false if
     a word has lost characters for good.
     """
+    ship_package(docs.sparkSession)
     found = garbled.records.filter(F.col("field") == text_col)
     fixes = (
         found.join(garbled.words.withColumnRenamed("id", id_col), [id_col, "field"])
