@@ -31,7 +31,7 @@ UTF16_RUN = 6
 def words(text: str) -> Iterator[tuple[str, str, int, int]]:
     """(word, context, start, end) of every word outside ASCII that isn't quoted on purpose.
 
-    A lone symbol says little by itself; its context is the ASCII word before
+    A lone symbol or letter says little by itself; its context is the ASCII word before
     it on the line or, at the start of a line, the one after it. A word of a few
     characters that fills a pair of quotes is a quotation of itself and is left out.
     """
@@ -48,7 +48,7 @@ def words(text: str) -> Iterator[tuple[str, str, int, int]]:
                 if 0 < a and b < len(line) and b - a <= 8 and line[a - 1] == line[b] and line[b] in "\"'`":
                     continue
                 context = ""
-                if len(w) <= 3 and not _LETTER.search(w):
+                if len(w) == 1 or (len(w) <= 3 and not w.isalpha() and not _LETTER.search(w)):
                     left = _LEFT.search(line, max(0, a - 40), a)
                     right = None if left else _RIGHT.match(line, b, b + 40)
                     context = left[1] + "<" if left else ">" + right[1] if right else "-"
@@ -119,6 +119,13 @@ def candidates(word: str) -> list[tuple[str, str | None, float]]:
             restored = text
             weight += UTF8_WEIGHT * sum(c > "\x7f" for c in text)
             now = _bytes(text, wrong) if not text.isascii() else None
+        if restored is None and not raw.isascii():
+            # Some bytes were dropped or replaced: most of the rest must still be UTF-8.
+            text = raw.decode("utf-8", "replace")
+            lost = text.count("\ufffd")
+            good = sum(c > "\x7f" for c in text) - lost
+            if good > 2 * lost:
+                restored, weight = text, UTF8_WEIGHT * (good - 2 * lost)
         if restored is not None:
             out.append((f"utf-8<{wrong}", restored, weight))
         if wrong in WIDE:

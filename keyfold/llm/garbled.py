@@ -279,8 +279,9 @@ def restore(docs: DataFrame, garbled: Garbled, id_col: str = "doc_id", text_col:
                 new = {(x["word"], x["context"]): x["restored"] for x in known or []}
                 out, at, whole = [], 0, True
                 for w, c, a, b in chains.words(text):
-                    whole &= "\ufffd" not in w
-                    out += [text[at:a], new.get((w, c), w)]
+                    fixed_word = new.get((w, c), w)
+                    whole &= "\ufffd" not in fixed_word
+                    out += [text[at:a], fixed_word]
                     at = b
                 fixed.append("".join(out) + text[at:])
                 complete.append(whole)

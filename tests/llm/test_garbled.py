@@ -89,5 +89,7 @@ def test_chains_undo_repeated_decoding():
     twice = "é".encode().decode("cp1252").encode().decode("cp1252")
     assert ("utf-8<cp1252", "é") in [(c, r) for c, r, _ in chains.candidates(twice)]
     assert [c for c, _, _ in chains.candidates("a�b")][:1] == [chains.LOSSY]
+    dropped = "αφαιρεθεί".encode().decode("cp1252", "ignore")
+    assert ("utf-8<cp1252", "αφαι�εθεί") in [(c, r) for c, r, _ in chains.candidates(dropped)]
     assert not any(c.startswith("utf-16") for c, _, _ in chains.candidates("╔══════╗"))
     assert chains.candidates("x" * 100_000 + "é")
