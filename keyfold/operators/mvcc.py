@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import prefix_end
@@ -137,7 +137,6 @@ def bloom_prune(rows: DataFrame, keys: DataFrame, row_key: str, key: str) -> Dat
     return rows.join(wanted, F.col(row_key) == F.col("__k"), "left_semi")
 
 
-def empty_if_absent(col: Column, spark: SparkSession | None = None) -> Column:
+def empty_if_absent(col: Column) -> Column:
     """Compatibility with clients that can't tell a missing value from an empty one."""
-    del spark
     return F.coalesce(col, F.lit(bytearray(b"")))

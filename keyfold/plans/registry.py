@@ -1,4 +1,4 @@
-"""All queries; those of the optional ``llm`` subpackage only if it is there."""
+"""All core queries and their SQL."""
 
 from __future__ import annotations
 

@@ -120,3 +120,8 @@ def test_scan_pushes_key_bound(spark, duck):
     e = spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "event_id", "event_type", "value")
     plan = mvcc.scan(e, ["user_id"], "event_id", F.col("event_type") == "error", 5, 10)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(user_id,5)" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_empty_if_absent(spark):
+    df = spark.createDataFrame([(None,), (bytearray(b"x"),)], "v binary")
+    assert rows(df.select(mvcc.empty_if_absent(F.col("v")).alias("v"))) == [(b"",), (b"x",)]
