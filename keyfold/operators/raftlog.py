@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import merge, mvcc
+from . import merge, mvcc, skew
 
 SNAPSHOT_EVERY = 5
 
@@ -214,6 +214,52 @@ def snapshot_triggers(applied: DataFrame, order_col: str, every: int = SNAPSHOT_
     return numbered.filter(F.col("__n") % every == 0).withColumn("snap", F.floor(F.col("__n") / every)).drop("__n")
 
 
+#: Election timeout: 15 ticks of 10 ms, fixed values.
+ELECTION_US = 15 * 10_000
+
+_LEADER_SENDS = ("MsgApp", "MsgBeat", "MsgSnap")
+
+
+def step_check(messages: DataFrame) -> DataFrame:
+    """Messages with ``step``, how their receiver takes their term: 'stale', 'current' or 'newer'.
+
+    The receiver's term is the greatest it has got in an earlier message (by
+    ``msg_no``) of its region; it refuses stale ones and follows newer ones. A
+    message without receiver or term gives NULL.
+    """
+    known = skew.running_max(messages, ["region_id", "to_node"], "msg_no", "term", "__known")
+    step = F.when(F.col("term") < F.col("__known"), "stale").when(F.col("term") == F.col("__known"), "current").otherwise("newer")
+    return known.withColumn("step", F.when(F.col("to_node").isNotNull() & F.col("term").isNotNull(), step)).drop("__known")
+
+
+def election_timeouts(messages: DataFrame, timeout_us: int = ELECTION_US) -> DataFrame:
+    """Messages of a leader that came longer than the timeout after the one before, with the pause.
+
+    At these points the receiver (``to_node``) had cause to campaign.
+    """
+    heard = messages.filter(F.col("msg_type").isin(*_LEADER_SENDS) & F.col("to_node").isNotNull()).select(
+        "msg_no", "region_id", "to_node", F.unix_micros(F.col("received_at").cast("timestamp")).alias("__at")
+    )
+    last = skew.running_max(heard, ["region_id", "to_node"], "msg_no", "__at", "__last")
+    pause = F.col("__at") - F.col("__last")
+    return last.withColumn("pause_us", pause).filter(F.col("pause_us") > timeout_us).drop("__at", "__last")
+
+
+def roles(messages: DataFrame) -> DataFrame:
+    """(region_id, node, term, role) of every node that sent something, at the newest term it sent.
+
+    Who sent entries, heartbeats or a snapshot in a term was its leader; who
+    asked for votes only was a candidate; all others followed.
+    """
+    sent = messages.filter(F.col("from_node").isNotNull() & F.col("term").isNotNull())
+    per_term = sent.groupBy("region_id", F.col("from_node").alias("node"), "term").agg(
+        F.max(F.col("msg_type").isin(*_LEADER_SENDS).cast("int")).alias("__leads"),
+        F.max((F.col("msg_type") == "MsgVote").cast("int")).alias("__asks"),
+    )
+    role = F.when(F.col("__leads") == 1, "Leader").when(F.col("__asks") == 1, "Candidate").otherwise("Follower")
+    return mvcc.newest(per_term, ["region_id", "node"], "term").select("region_id", "node", "term", role.alias("role"))
+
+
 def classify(msg_type: Column) -> Column:
     """'local' for messages a node sends itself, 'response' or 'request'."""
     return F.when(msg_type.isin("MsgHup", "MsgTick", "MsgPropose"), "local").when(msg_type.endswith("Resp"), "response").otherwise("request")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,25 @@ def number_rows(blocks: DataFrame, key_col: str, order_col: str) -> DataFrame:
     )
 
 
+def running_max(rows: DataFrame, key_cols: Sequence[str], order_col: str, value_col: str, name: str) -> DataFrame:
+    """Rows with ``name``, the greatest value of the rows before them with the same key, NULL for a first row.
+
+    Rows are cut into stored blocks by ``order_col`` (unique, not NULL). A window
+    sees one key within one block; what came in earlier blocks is carried by a
+    scan over one row per key and block. NULL keys are keys of their own.
+    """
+    keys = list(key_cols)
+    names = [f"__k{i}" for i in range(len(keys))]
+    coded = rows.withColumns({n: F.struct(F.col(k)) for n, k in zip(names, keys, strict=True)})  # a struct is never NULL
+    blocks = ordered_blocks(coded, order_col)
+    per_block = blocks.groupBy("__block", *names).agg(F.max(value_col).alias("__max"))
+    earlier = Window.partitionBy(*names).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_block.select("__block", *names, F.max("__max").over(earlier).alias("__carry"))
+    inside = Window.partitionBy("__block", *names).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    near = blocks.withColumn("__near", F.max(value_col).over(inside))
+    return near.join(carry, ["__block", *names]).select(*rows.columns, F.greatest("__near", "__carry").alias(name))
+
+
 def ordered_key_stats(
     rows: DataFrame, key_col: str, order_col: str, value_col: str, time_col: str, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:

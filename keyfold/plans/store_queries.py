@@ -180,6 +180,37 @@ def raft_votes_of_messages(spark: SparkSession, d: str) -> DataFrame:
     return raftlog.vote_tally(newest.join(members, "region_id"), ["region_id", "term"], ~F.col("reject"), F.col("reject"), F.col("members"))
 
 
+_LEADER = "msg_type IN ('MsgApp', 'MsgBeat', 'MsgSnap')"
+
+
+@query("""
+WITH k AS (SELECT msg_no, to_node, term, max(term) OVER (PARTITION BY region_id, to_node ORDER BY msg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM raft_messages)
+SELECT msg_no, CASE WHEN to_node IS NULL OR term IS NULL THEN NULL WHEN term < known THEN 'stale' WHEN term = known THEN 'current' ELSE 'newer' END AS step FROM k
+""")
+def raft_step_check(spark: SparkSession, d: str) -> DataFrame:
+    messages = load(spark, d, "raft_messages").select("msg_no", "region_id", "to_node", "term")
+    return raftlog.step_check(messages).select("msg_no", "step")
+
+
+@query(f"""
+WITH h AS (SELECT msg_no, region_id, to_node, epoch_us(received_at) AS at_us FROM raft_messages WHERE {_LEADER} AND to_node IS NOT NULL),
+p AS (SELECT *, at_us - max(at_us) OVER (PARTITION BY region_id, to_node ORDER BY msg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pause_us FROM h)
+SELECT msg_no, region_id, to_node, pause_us FROM p WHERE pause_us > 150000
+""")
+def raft_election_timeouts(spark: SparkSession, d: str) -> DataFrame:
+    return raftlog.election_timeouts(load(spark, d, "raft_messages"))
+
+
+@query(f"""
+WITH t AS (SELECT region_id, from_node AS node, term, max(CASE WHEN {_LEADER} THEN 1 ELSE 0 END) AS leads, max(CASE WHEN msg_type = 'MsgVote' THEN 1 ELSE 0 END) AS asks
+  FROM raft_messages WHERE from_node IS NOT NULL AND term IS NOT NULL GROUP BY region_id, from_node, term),
+n AS (SELECT *, row_number() OVER (PARTITION BY region_id, node ORDER BY term DESC) AS rn FROM t)
+SELECT region_id, node, term, CASE WHEN leads = 1 THEN 'Leader' WHEN asks = 1 THEN 'Candidate' ELSE 'Follower' END AS role FROM n WHERE rn = 1
+""")
+def raft_roles(spark: SparkSession, d: str) -> DataFrame:
+    return raftlog.roles(load(spark, d, "raft_messages"))
+
+
 @query("""
 SELECT r.region_id AS named, m.region_id AS routed, count(*) AS n FROM requests r LEFT JOIN region_map m ON r.key >= m.start_key AND (octet_length(m.end_key) = 0 OR r.key < m.end_key)
 WHERE r.cmd_type IN (1, 2, 3) AND r.region_id IS DISTINCT FROM m.region_id GROUP BY r.region_id, m.region_id

@@ -113,3 +113,27 @@ def test_wait_for_apply(spark):
     applied = spark.createDataFrame([(0,), (1,), (9000,), (90000,)], "applied bigint")
     assert rows(reads.wait_for_apply(asked, applied, "idx", "applied"), "read_id", "served_at") == [(1, 1), (2, 9000)]
     assert reads.wait_for_apply(asked, applied.limit(0), "idx", "applied").count() == 0
+
+
+def test_steps_timeouts_and_roles(spark):
+    from keyfold.operators import skew
+
+    m = spark.createDataFrame(
+        [
+            (1, 1, 1, 2, 5, "MsgApp", 0), (2, 1, 3, 2, 4, "MsgVote", 10), (3, 1, 1, 2, 5, "MsgBeat", 100), (4, 1, 3, 2, 6, "MsgVote", 200),
+            (5, 1, 1, None, 9, "MsgApp", 300), (6, 2, 1, 2, 1, "MsgApp", 0), (7, 1, 2, 1, 5, "MsgAppResp", 400), (8, 1, 1, 2, None, "MsgBeat", 300),
+        ],
+        "msg_no bigint, region_id bigint, from_node bigint, to_node bigint, term bigint, msg_type string, ms bigint",
+    ).selectExpr("*", "timestamp_millis(ms) AS received_at", "1 AS __block0")
+    got = {r.msg_no: r.step for r in raftlog.step_check(m).collect()}
+    assert got == {1: "newer", 2: "stale", 3: "current", 4: "newer", 5: None, 6: "newer", 7: "newer", 8: None}
+    assert rows(raftlog.election_timeouts(m), "msg_no", "pause_us") == [(8, 200_000)]
+    assert rows(raftlog.roles(m)) == [(1, 1, 9, "Leader"), (1, 2, 5, "Follower"), (1, 3, 6, "Candidate"), (2, 1, 1, "Leader")]
+    assert raftlog.step_check(m.limit(0)).count() == 0
+    data = [(i, None if i % 5 == 0 else i % 3, (i * 37) % 101 if i % 7 else None) for i in range(500)]
+    df = spark.createDataFrame(data, "o bigint, k bigint, v bigint")
+    want = {}
+    for i, k, _ in data:
+        before = [v for j, q, v in data if j < i and q == k and v is not None]
+        want[i] = max(before, default=None)
+    assert {r.o: r.m for r in skew.running_max(df, ["k"], "o", "v", "m").collect()} == want
