@@ -26,6 +26,9 @@ _PLAIN = re.compile("[a-z ]")
 UTF8_WEIGHT, WIDE_WEIGHT, BYTE_WEIGHT, UTF16_WEIGHT, LOSSY_WEIGHT = 3.0, 0.7, 0.5, 4.0, 10.0
 #: Shortest run that is taken for misread UTF-16.
 UTF16_RUN = 6
+#: Nats that a lower-case letter or space of misread UTF-16 tells for it (any other character as much
+#: against it), a character that text holds and one that it seldom holds, and what a run with bytes outside ASCII costs.
+UTF16_PLAIN, UTF16_TEXT, UTF16_ODD, UTF16_COST = 0.85, 0.33, 2.3, 8.0
 
 
 def words(text: str) -> Iterator[tuple[str, str, int, int]]:
@@ -89,6 +92,29 @@ def _decoded(raw: bytes, encoding: str) -> str | None:
         return None
 
 
+def _utf16(word: str, encoding: str) -> tuple[str, float] | None:
+    """(text, weight) of a run that may be text whose bytes were read as UTF-16.
+
+    Bytes outside ASCII are UTF-8 or else cp1252. They lower the weight, but a
+    run is judged by the share of its characters that text usually holds.
+    """
+    raw = [x.encode(encoding, "ignore") for x in word.split("\ufffd")]
+    text = "\ufffd".encode().join(raw).decode("utf-8", "replace")
+    lost = text.count("\ufffd")
+    utf8 = sum(c > "\x7f" for c in text) - lost > 2 * lost
+    if not utf8:
+        text = "\ufffd".join(_decoded(x, "cp1252") or x.decode("latin-1") for x in raw)
+    n, plain = len(text), len(_PLAIN.findall(text))
+    usual = sum(" " <= c < "\x7f" or c in "\t\n\r" for c in text)
+    if usual == n:
+        return (text, UTF16_WEIGHT * len(word)) if 2 * plain > n else None
+    if utf8:
+        letters = sum(c > "\x7f" and c.isalpha() for c in text)
+        plain, usual = plain + letters, usual + letters
+    weight = UTF16_PLAIN * (2 * plain - n) + UTF16_TEXT * usual - UTF16_ODD * (n - usual) - UTF16_COST
+    return (text, weight) if 2 * plain > n and weight > 0 else None
+
+
 def candidates(word: str) -> list[tuple[str, str | None, float]]:
     """(chain, restored word, structural weight) of all ways in which ``word`` may be garbled.
 
@@ -101,11 +127,8 @@ def candidates(word: str) -> list[tuple[str, str | None, float]]:
     wide_word = word.rstrip("\ufffd")
     if len(wide_word) >= UTF16_RUN:
         for e in UTF16:
-            raw = wide_word.encode(e, "ignore")
-            if all(32 <= y < 127 or y in (9, 10, 13) for y in raw):
-                plain = raw.decode("ascii")
-                if 2 * len(_PLAIN.findall(plain)) > len(plain):
-                    out.append((e, plain, UTF16_WEIGHT * len(wide_word)))
+            if read := _utf16(wide_word, e):
+                out.append((e, *read))
     foreign = len(word) >= 3 and not _LETTER.search(word) and any(c.isalpha() for c in word)
     for wrong in BYTE + WIDE:
         raw = _bytes(word, wrong)

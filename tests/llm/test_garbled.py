@@ -93,3 +93,22 @@ def test_chains_undo_repeated_decoding():
     assert ("utf-8<cp1252", "αφαι�εθεί") in [(c, r) for c, r, _ in chains.candidates(dropped)]
     assert not any(c.startswith("utf-16") for c, _, _ in chains.candidates("╔══════╗"))
     assert chains.candidates("x" * 100_000 + "é")
+
+
+def test_utf16_with_bytes_outside_ascii():
+    text = "// Copyright \xa9 2012 the heron authors, see the file.\nint main;"
+    assert len(text) % 2 == 0
+    for raw in (text.encode("latin-1"), "# prüft ob der Schlüssel gültig ist und weiter".encode()):
+        for e in chains.UTF16:
+            read = {c: (r, w) for c, r, w in chains.candidates(raw[: len(raw) // 2 * 2].decode(e))}
+            assert read[e][0][:20] == (text if b"heron" in raw else "# prüft ob der Schlüssel")[:20]
+    clean, odd = ({c: w for c, _, w in chains.candidates(x.encode("latin-1").decode("utf-16-le"))} for x in (text.replace("\xa9", "c"), text))
+    assert 0 < odd["utf-16-le"] < clean["utf-16-le"]
+    assert not any(c.startswith("utf-16") for c, _, _ in chains.candidates("最大索引检查键是否已经写入旧版本"))
+
+
+def test_finds_utf16_with_a_byte_outside_ascii(spark):
+    text = "// Copyright \xa9 2012 the heron authors, see the file.\nint main;"
+    df = spark.createDataFrame([(1, text.encode("latin-1").decode("utf-16-le"), "a"), (2, text, "a")], "doc_id bigint, text string, source string")
+    got = garbled.restore(df, garbled.find(df)).collect()
+    assert [(r.doc_id, r.restored, r.complete) for r in got] == [(1, text, True)]
