@@ -4,6 +4,9 @@
 ``event_type`` is 'error') and a set of routed keys (``event_type``); ``orders`` is a
 replicated log (``idx`` o_orderkey, ``term`` its hundreds); ``nation`` is voter
 progress; ``lineitem`` holds write batches.
+
+Some SQL of SURVEY asks for a few ids or every n-th row; beside each such query
+stands one named ``..._all`` that does the same over the whole table.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import levels, merge, mvcc, raftlog, reads, regions
+from ..operators.asof import next_at_or_after
 from ..session import load
 
 QUERIES, SQL = {}, {}
@@ -74,6 +78,12 @@ def kv_multi_get(spark: SparkSession, d: str) -> DataFrame:
     return mvcc.multi_get(e, e.filter("user_id % 7 = 0"), KEY, ["value"], SEQ, _deleted(), as_of=300)
 
 
+@query(f"SELECT user_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM ({_NEWEST}) t WHERE rn = 1")
+def kv_multi_get_all(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    return mvcc.multi_get(e, e, KEY, ["value"], SEQ, _deleted())
+
+
 @query(f"SELECT user_id, value FROM ({_NEWEST} WHERE user_id >= 5) t WHERE rn = 1 AND event_type <> 'error'")
 def kv_scan(spark: SparkSession, d: str) -> DataFrame:
     return mvcc.scan(_events(spark, d), KEY, SEQ, _deleted(), start=5).select("user_id", "value")
@@ -97,6 +107,12 @@ def kv_batch_sequence(spark: SparkSession, d: str) -> DataFrame:
     return merge.running_number(ops, cols, first=1001).select("l_orderkey", "l_linenumber", "l_partkey", "seq")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) + 1000 AS bigint) AS seq FROM lineitem")
+def kv_batch_sequence_all(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return merge.running_number(load(spark, d, "lineitem").select(*cols), cols, first=1001).select("l_orderkey", "l_linenumber", "l_partkey", "seq")
+
+
 @query(f"SELECT count(*) AS hidden FROM ({_NEWEST}) t WHERE rn = 1 AND event_type = 'error'")
 def kv_delete_visibility(spark: SparkSession, d: str) -> DataFrame:
     return mvcc.newest(_events(spark, d), KEY, SEQ).filter(_deleted()).agg(F.count(F.lit(1)).alias("hidden"))
@@ -130,6 +146,11 @@ def region_batch_span_check(spark: SparkSession, d: str) -> DataFrame:
     return regions.batch_spans(_routed(spark, d).filter("event_id % 50 < 3"), "user_id")
 
 
+@query(f"SELECT e.user_id, count(DISTINCT r.region_id) AS regions FROM events e JOIN {_ROUTE} GROUP BY e.user_id HAVING count(DISTINCT r.region_id) > 1")
+def region_batch_span_check_all(spark: SparkSession, d: str) -> DataFrame:
+    return regions.batch_spans(_routed(spark, d), "user_id")
+
+
 @query(f"SELECT CAST(r.region_id AS bigint) AS region_id, e.event_id, e.event_type FROM events e JOIN {_ROUTE} WHERE r.region_id = 2 AND e.event_type >= 'p' ORDER BY e.event_type, e.event_id LIMIT 25")
 def region_scan_bounded(spark: SparkSession, d: str) -> DataFrame:
     rows = mvcc.seek(_routed(spark, d).filter("region_id = 2"), "event_type", "p")
@@ -252,6 +273,12 @@ def raft_conflict_first_index(spark: SparkSession, d: str) -> DataFrame:
     return raftlog.conflict_first_index(log, log.filter("idx % 777 = 0"), ())
 
 
+@query(f"SELECT idx, term, min(idx) OVER (PARTITION BY term) AS first_idx FROM {_LOG} l")
+def raft_conflict_first_index_all(spark: SparkSession, d: str) -> DataFrame:
+    log = _log(spark, d).select("idx", "term")
+    return raftlog.conflict_first_index(log, log, ())
+
+
 @query("SELECT g, match_idx AS commit_idx FROM (SELECT n_regionkey AS g, n_nationkey AS match_idx, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS rn, count(*) OVER (PARTITION BY n_regionkey) AS voters FROM nation) t WHERE rn = CAST(floor(voters / 2) AS bigint) + 1")
 def raft_quorum_commit(spark: SparkSession, d: str) -> DataFrame:
     progress = load(spark, d, "nation").select(F.col("n_regionkey").alias("g"), "n_nationkey")
@@ -275,12 +302,49 @@ def raft_log_freshness(spark: SparkSession, d: str) -> DataFrame:
     return requests.filter((F.col("c.candidate") != F.col("voter")) & fresh).select("c.candidate", "voter")
 
 
+#: Messages per bucket of the lookup of a voter's log; a bucket is one task's group at most.
+MESSAGE_BUCKET = 4096
+
+
+@query("""
+WITH v AS (SELECT msg_no, region_id, from_node, to_node, log_term, log_index FROM raft_messages
+  WHERE msg_type = 'MsgVote' AND region_id IS NOT NULL AND to_node IS NOT NULL AND log_term IS NOT NULL AND log_index IS NOT NULL),
+a AS (SELECT msg_no, region_id, from_node, log_term, log_index FROM raft_messages
+  WHERE msg_type = 'MsgAppResp' AND NOT reject AND log_term IS NOT NULL AND log_index IS NOT NULL),
+k AS (SELECT v.msg_no, a.log_term, a.log_index, row_number() OVER (PARTITION BY v.msg_no ORDER BY a.log_term DESC, a.log_index DESC) AS rn
+  FROM v JOIN a ON a.region_id = v.region_id AND a.from_node = v.to_node AND a.msg_no < v.msg_no)
+SELECT v.msg_no, v.region_id, v.from_node AS candidate, v.to_node AS voter,
+  NOT (coalesce(k.log_term, 0) > v.log_term OR (coalesce(k.log_term, 0) = v.log_term AND coalesce(k.log_index, 0) > v.log_index)) AS fresh
+FROM v LEFT JOIN k ON k.msg_no = v.msg_no AND k.rn = 1
+""")
+def raft_log_freshness_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every vote request against the newest entry that its voter had acknowledged before it."""
+    m = load(spark, d, "raft_messages").filter("log_term IS NOT NULL AND log_index IS NOT NULL")
+    asked = m.filter("msg_type = 'MsgVote' AND region_id IS NOT NULL AND to_node IS NOT NULL").select(
+        "msg_no", "region_id", F.col("from_node").alias("candidate"), F.col("to_node").alias("voter"), "log_term", "log_index", (-F.col("msg_no")).alias("back")
+    )
+    acks = m.filter("msg_type = 'MsgAppResp' AND NOT reject").select("region_id", F.col("from_node").alias("voter"), "log_term", "log_index", (-F.col("msg_no")).alias("back"))
+    newest = F.struct((-F.col("log_term")).alias("term"), (-F.col("log_index")).alias("index"))
+    known = next_at_or_after(
+        asked, acks, ["region_id", "voter"], "back", "back", newest, lambda c: F.floor(c / MESSAGE_BUCKET), name="mine", best_of_all=True
+    )
+    zero = F.lit(0).cast("bigint")
+    fresh = raftlog.log_is_fresh(F.coalesce(-F.col("mine.term"), zero), F.coalesce(-F.col("mine.index"), zero), F.col("log_term"), F.col("log_index"))
+    return known.select("msg_no", "region_id", "candidate", "voter", fresh.alias("fresh"))
+
+
 @query("SELECT user_id AS read_id, count(DISTINCT event_type) AS acks FROM events WHERE event_id < 1500 AND event_type <> 'view' GROUP BY user_id HAVING count(DISTINCT event_type) >= 3")
 def read_index_quorum(spark: SparkSession, d: str) -> DataFrame:
     acks = load(spark, d, "events").filter("event_id < 1500 AND event_type <> 'view'").select(F.col("user_id").alias("read_id"), "event_type")
     return reads.acknowledged(acks, ["read_id"], "event_type", 3)
 
 
+@query("SELECT user_id AS read_id, count(DISTINCT event_type) AS acks FROM events WHERE event_type <> 'view' GROUP BY user_id HAVING count(DISTINCT event_type) >= 3")
+def read_index_quorum_all(spark: SparkSession, d: str) -> DataFrame:
+    acks = load(spark, d, "events").filter("event_type <> 'view'").select(F.col("user_id").alias("read_id"), "event_type")
+    return reads.acknowledged(acks, ["read_id"], "event_type", 3)
+
+
 @query("SELECT r.read_id, min(e.event_id) AS served_at FROM (SELECT event_id AS read_id, event_id + 25 AS idx FROM events WHERE event_id % 1000 = 0) r JOIN events e ON e.event_id >= r.idx GROUP BY r.read_id")
 def read_index_wait_apply(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events").select("event_id")
@@ -288,6 +352,13 @@ def read_index_wait_apply(spark: SparkSession, d: str) -> DataFrame:
     return reads.wait_for_apply(asked, e, "idx", "event_id").select("read_id", "served_at")
 
 
+@query("SELECT read_id, served_at FROM (SELECT event_id AS read_id, min(event_id) OVER (ORDER BY event_id RANGE BETWEEN 25 FOLLOWING AND UNBOUNDED FOLLOWING) AS served_at FROM events) t WHERE served_at IS NOT NULL")
+def read_index_wait_apply_all(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "events").select("event_id")
+    asked = e.select(F.col("event_id").alias("read_id"), (F.col("event_id") + 25).alias("idx"))
+    return reads.wait_for_apply(asked, e, "idx", "event_id").select("read_id", "served_at")
+
+
 @query("SELECT event_id, CAST(floor(rn / 5) AS bigint) AS snap FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events WHERE user_id = 3) t WHERE rn % 5 = 0")
 def snapshot_trigger(spark: SparkSession, d: str) -> DataFrame:
     return raftlog.snapshot_triggers(load(spark, d, "events").filter("user_id = 3").select("event_id"), "event_id")
