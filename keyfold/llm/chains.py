@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 # Names of the encodings that are tried. The byte ones map every
 # byte; the wide ones take several bytes for a character.
@@ -31,12 +31,13 @@ UTF16_RUN = 6
 UTF16_PLAIN, UTF16_TEXT, UTF16_ODD, UTF16_COST = 0.85, 0.33, 2.3, 8.0
 
 
-def words(text: str) -> Iterator[tuple[str, str, int, int]]:
+def words(text: str, quoted: bool = False) -> Iterator[tuple[str, str, int, int]]:
     """(word, context, start, end) of every word outside ASCII that isn't quoted on purpose.
 
     A lone symbol or letter says little by itself; its context is the ASCII word before
     it on the line or, at the start of a line, the one after it. A word of a few
-    characters that fills a pair of quotes is a quotation of itself and is left out.
+    characters that fills a pair of quotes is a quotation of itself and is left out
+    unless ``quoted`` asks for these too.
     """
     at = 0
     for line in text.split("\n"):
@@ -48,7 +49,7 @@ def words(text: str) -> Iterator[tuple[str, str, int, int]]:
                 while b > a and line[b - 1] in "'?":
                     b -= 1
                 w = line[a:b]
-                if 0 < a and b < len(line) and b - a <= 8 and line[a - 1] == line[b] and line[b] in "\"'`":
+                if not quoted and 0 < a and b < len(line) and b - a <= 8 and line[a - 1] == line[b] and line[b] in "\"'`":
                     continue
                 context = ""
                 if len(w) == 1 or (len(w) <= 3 and not w.isalpha() and not _LETTER.search(w)):
@@ -115,6 +116,12 @@ def _utf16(word: str, encoding: str) -> tuple[str, float] | None:
     return (text, weight) if 2 * plain > n and weight > 0 else None
 
 
+@lru_cache(1 << 14)
+def may_be_garbled(word: str, chain: str) -> bool:
+    """Whether a word that was left as it is may be garbled: lost characters, or something to restore by ``chain`` or as UTF-8."""
+    return any(r is None or ((c == chain or c.startswith("utf-8<")) and r != word) for c, r, _ in candidates(word))
+
+
 def candidates(word: str) -> list[tuple[str, str | None, float]]:
     """(chain, restored word, structural weight) of all ways in which ``word`` may be garbled.
 
@@ -128,7 +135,8 @@ def candidates(word: str) -> list[tuple[str, str | None, float]]:
     if len(wide_word) >= UTF16_RUN:
         for e in UTF16:
             if read := _utf16(wide_word, e):
-                out.append((e, *read))
+                # What is lost at the end stays marked.
+                out.append((e, read[0] + word[len(wide_word):], read[1]))
     foreign = len(word) >= 3 and not _LETTER.search(word) and any(c.isalpha() for c in word)
     for wrong in BYTE + WIDE:
         raw = _bytes(word, wrong)

@@ -261,26 +261,32 @@ def restore(docs: DataFrame, garbled: Garbled, id_col: str = "doc_id", text_col:
 
     The words that are evidence for a record's chain are replaced by what the
     chain makes of them; clean words between them stay. ``complete`` is false if
-    a word has lost characters for good.
+    a word has lost characters for good, or if a word that stays, quoted ones
+    included, has evidence for another chain or could still be restored.
     """
     ship_package(docs.sparkSession)
     found = garbled.records.filter(F.col("field") == text_col)
     fixes = (
         found.join(garbled.words.withColumnRenamed("id", id_col), [id_col, "field"])
-        .join(garbled.gains.filter(F.col("restored").isNotNull()), ["word", "context", "chain"])
-        .groupBy(id_col).agg(F.collect_list(F.struct("word", "context", "restored")).alias("fixes"))
+        .join(garbled.gains.withColumnRenamed("chain", "by"), ["word", "context"])
+        .groupBy(id_col, "word", "context").agg(F.max(F.when(F.col("by") == F.col("chain"), F.col("restored"))).alias("restored"))
+        .groupBy(id_col).agg(F.collect_list(F.struct("word", "context", "restored")).alias("fixes"))  # NULL: evidence for other chains alone
     )
     wanted = docs.select(id_col, text_col).join(found.drop("field"), id_col).join(fixes, id_col, "left")
 
     def run(batches):
         for batch in batches:
             fixed, complete = [], []
-            for text, known in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for text, chain, known in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
                 new = {(x["word"], x["context"]): x["restored"] for x in known or []}
+                plain = {a for _, _, a, _ in chains.words(text)}
                 out, at, whole = [], 0, True
-                for w, c, a, b in chains.words(text):
-                    fixed_word = new.get((w, c), w)
-                    whole &= "\ufffd" not in fixed_word
+                for w, c, a, b in chains.words(text, quoted=True):
+                    fixed_word = new.get((w, c)) if a in plain else None
+                    if fixed_word is None:  # stays
+                        fixed_word = w
+                        whole = whole and (a not in plain or (w, c) not in new) and not chains.may_be_garbled(w, chain)
+                    whole = whole and "\ufffd" not in fixed_word
                     out += [text[at:a], fixed_word]
                     at = b
                 fixed.append("".join(out) + text[at:])

@@ -112,3 +112,19 @@ def test_finds_utf16_with_a_byte_outside_ascii(spark):
     df = spark.createDataFrame([(1, text.encode("latin-1").decode("utf-16-le"), "a"), (2, text, "a")], "doc_id bigint, text string, source string")
     got = garbled.restore(df, garbled.find(df)).collect()
     assert [(r.doc_id, r.restored, r.complete) for r in got] == [(1, text, True)]
+
+
+def test_incomplete_if_something_stays_garbled(spark):
+    odd = "// Copyright 2012 the heron authors, see the file.x"
+    line = "// prüft ob der Schlüssel gültig ist, Größe für Länge über Straße"
+    mojibake = line.encode().decode("cp1252")
+    rows = [
+        (1, odd[:-1].encode("latin-1").decode("utf-16-le") + "\ufffd", "a"),
+        (2, mojibake, "a"),
+        (3, mojibake + '\nx = "MÃ¤rz";', "a"),
+        (4, mojibake + "\nx = \"März\";", "a"),
+    ] + [(10 + i, line, "a") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in garbled.restore(df, garbled.find(df)).collect()}
+    assert got[1].restored == odd[:-1] + "\ufffd" and got[2].restored == line
+    assert {i: got[i].complete for i in (1, 2, 3, 4)} == {1: False, 2: True, 3: False, 4: True}
