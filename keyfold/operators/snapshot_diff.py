@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import digest
-from ..session import lookup
+from ..session import lookup, materialise
 
 #: Spread of one large snapshot when the snapshot list itself is too long to broadcast.
 SALTS = 32
@@ -27,14 +27,16 @@ def snapshot_changes(
     the following one; a single hash aggregation by (group, snapshot, key)
     compares the row hashes of both sides. The shuffle key holds the record key,
     so neither a large group nor a large snapshot lands in one task, and
-    repeated rows collapse before the shuffle.
+    repeated rows collapse before the shuffle. Only keys that a snapshot holds
+    with several different values, which the aggregate detects, are decided by a
+    second one over their distinct row hashes.
 
     Defined results: a row with a NULL key only states that its snapshot exists;
     a group's first snapshot gives nothing; NULL and empty values differ; NULL
     equals NULL; repeated rows count once; a NULL group or index gives nothing;
-    a snapshot that holds one key with several values is compared by the
-    smallest and largest value hash; an empty table gives an empty result.
-    Other columns are ignored.
+    a key that a snapshot holds with several different values is changed if the
+    sets of its values differ; an empty table gives an empty result. Other
+    columns are ignored.
 
     Returns group columns, ``index_col`` of the newer snapshot, ``key_col`` and
     ``change``.
@@ -85,16 +87,23 @@ def snapshot_changes(
         ]
 
     wide = tagged.groupBy(*group, "__at", "__key").agg(*both("__h1"), *both("__h2"))
-    same = F.lit(True)
+    same, several = F.lit(True), F.lit(False)
     for h in ("__h1", "__h2"):
-        for name in ("lo", "hi"):
-            same = same & F.col(f"{name}_{h}_n").eqNullSafe(F.col(f"{name}_{h}_o"))
+        same = same & F.col(f"lo_{h}_n").eqNullSafe(F.col(f"lo_{h}_o"))
+        for s in ("n", "o"):
+            several = several | (F.col(f"lo_{h}_{s}") != F.col(f"hi_{h}_{s}"))
     change = (
         F.when(F.col("lo___h1_o").isNull(), "added")
         .when(F.col("lo___h1_n").isNull(), "removed")
+        .when(F.coalesce(several, F.lit(False)), "several")
         .when(~same, "changed")
     )
-    return (
-        wide.select(*group, F.col("__at").alias(index_col), F.col("__key").alias(key_col), change.alias("change"))
-        .filter(F.col("change").isNotNull())
-    )
+    found = materialise(wide.select(*group, "__at", "__key", change.alias("change")).filter(F.col("change").isNotNull()), "snapshot-changes")
+    unsure = found.filter("change = 'several'").drop("change")
+    if not unsure.limit(1).isEmpty():
+        values = tagged.join(unsure, [*group, "__at", "__key"], "left_semi").groupBy(*group, "__at", "__key", "__h1", "__h2").agg(
+            F.max(F.col("__new").cast("int")).alias("n"), F.max((~F.col("__new")).cast("int")).alias("o")
+        )
+        exact = values.groupBy(*group, "__at", "__key").agg(F.max((F.col("n") != F.col("o")).cast("int")).alias("d")).filter("d = 1")
+        found = found.filter("change <> 'several'").unionByName(exact.drop("d").withColumn("change", F.lit("changed")))
+    return found.select(*group, F.col("__at").alias(index_col), F.col("__key").alias(key_col), "change")

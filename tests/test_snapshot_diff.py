@@ -64,3 +64,13 @@ def test_very_long_value(spark):
     a = bytearray(b"x" * 2_000_000)
     data = [(1, 1, bytearray(b"k"), a, "", 0), (1, 2, bytearray(b"k"), a + b"y", "", 0)]
     assert rows(snapshot_diff.snapshot_changes(spark.createDataFrame(data, SCHEMA)), "change") == [("changed",)]
+
+
+def test_each_of_several_values_counts(spark):
+    make = lambda g, i, vs: [(g, i, bytearray(b"k"), bytearray([v]), "", 0) for v in vs]
+    data = []
+    for gone in range(8):
+        data += make(gone, 1, range(8)) + make(gone, 2, [v for v in range(8) if v != gone])
+    data += make(8, 1, range(8)) + make(8, 2, range(7, -1, -1)) + make(8, 2, [3, 3])
+    got = snapshot_diff.snapshot_changes(spark.createDataFrame(data, SCHEMA))
+    assert rows(got, "region_id", "change") == [(g, "changed") for g in range(8)]
