@@ -98,7 +98,7 @@ j AS (SELECT CASE WHEN l.x THEN l.cf ELSE b.cf END AS cf, hex(CASE WHEN l.x THEN
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
     return copy_diff.compare_copies(
-        load(spark, d, "copy_lsm"), load(spark, d, "copy_badger"), ["cf", "key"], ["region_id", "idx", "value"]
+        load(spark, d, "copy_lsm"), load(spark, d, "copy_badger"), ["cf", "key"], ["region_id", "idx", "value"], equal=False
     )
 
 
@@ -111,7 +111,7 @@ UNION ALL SELECT cf, key_hex, 'value' FROM j WHERE NOT no_l AND NOT no_b AND lv
 """)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = copy_diff.difference_rows(_compared(spark, d), "missing_lsm", "missing_badger")
-    return rows.select("cf", key_hex("key").alias("key_hex"), "diff").distinct()
+    return rows.select("cf", key_hex("key").alias("key_hex"), "diff")
 
 
 @query(f"""{_COPIES}

@@ -41,3 +41,25 @@ def test_empty_copies(spark):
 def test_hot_key_repeats_collapse(spark):
     df = compare(spark, [("a", b"1", 1, 1, b"x")] * 3000, [("a", b"1", 1, 1, b"y")] * 3000)
     assert [(r.side, [tuple(d) for d in r.differences]) for r in df.collect()] == [("both", [("value", "78", "79")])]
+
+
+def test_key_with_many_rows_gives_one_row(spark):
+    left = [("a", b"1", 1, i, b"x") for i in range(300)]
+    assert [(r.side, [tuple(d) for d in r.differences]) for r in compare(spark, left, [("a", b"1", 1, i, b"x") for i in range(1, 301)]).collect()] == [("both", [("idx", "0", "300")])]
+    assert [(r.side, r.differences) for r in compare(spark, left, left[::-1]).collect()] == [("both", [])]
+    got = compare(spark, left, [("a", b"1", None, i, b"x") for i in range(300)]).collect()
+    assert [tuple(d) for d in got[0].differences] == [("region_id", "1", None)]
+
+
+def test_equal_left_out_and_plan(spark):
+    make = lambda data: spark.createDataFrame([(c, bytearray(k), r, i, bytearray(v), "") for c, k, r, i, v in data], SCHEMA)
+    a = make([("a", b"1", 1, 1, b"x"), ("a", b"2", 1, 1, b"x")])
+    b = make([("a", b"1", 1, 1, b"x"), ("a", b"2", 1, 2, b"x")])
+    assert rows(copy_diff.compare_copies(a, b, ["cf", "key"], ["idx"], equal=False), "key") == [(b"2",)]
+
+
+def test_normalised_numbers(spark):
+    a = spark.createDataFrame([(1, 1.0, 0.0), (2, float("nan"), -0.0), (3, 2.5, 1.0)], "k bigint, x double, y double").selectExpr("k", "CAST(nanvl(x, 7.0) AS DECIMAL(10, 1)) AS d", "y", "x")
+    b = spark.createDataFrame([(1, 1.0, -0.0), (2, float("nan"), 0.0), (3, 2.25, 1.0)], "k bigint, x double, y double").selectExpr("CAST(k AS INT) AS k", "CAST(nanvl(x, 7.0) AS DECIMAL(12, 2)) AS d", "y", "x")
+    got = {r.k: [tuple(x) for x in r.differences] for r in copy_diff.compare_copies(a, b, ["k"], ["d", "y", "x"]).collect()}
+    assert got == {1: [], 2: [], 3: [("d", "2.50", "2.25"), ("x", "2.5", "2.25")]}
