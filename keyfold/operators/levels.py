@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,19 +111,16 @@ def drop_base_tombstones(versions: DataFrame, deeper: DataFrame, key_cols: Seque
 
 
 def covered(rows: DataFrame, ranges: DataFrame, key_col: str) -> DataFrame:
-    """Rows with ``__covered``: whether a disjoint range (smallest, largest), both inclusive, holds the key."""
-    kind = dict(ranges.dtypes)["largest"]
-    after = F.concat("largest", F.lit(bytearray(b"\0"))) if kind == "binary" else F.concat("largest", F.lit("\0")) if kind == "string" else F.col("largest") + 1
-    if kind in ("binary", "string"):
-        halves = ranges.select(F.monotonically_increasing_id().alias("region_id"), F.col("smallest").alias("start_key"), after.alias("end_key"))
-        return regions.route(rows, halves, key_col, "__range").withColumn("__covered", F.col("__range").isNotNull()).drop("__range")
-    spans = ranges.select("smallest", after.alias("end")).limit(regions.CHAIN + 1).collect()
-    if len(spans) > regions.CHAIN:
-        raise ValueError("ranges of numbers are only supported as a short list")
-    inside = F.lit(False)
-    for low, end in spans:
-        inside = inside | ((F.col(key_col) >= low) & (F.col(key_col) < end))
-    return rows.withColumn("__covered", inside)
+    """Rows with ``__covered``: whether a range (smallest, largest), both inclusive, may hold the key.
+
+    However many ranges there are, and of whatever type: a key is covered if the
+    greatest end among the ranges that begin at or below it is not below it.
+    NULL keys are in no range, a range with a NULL bound holds nothing.
+    """
+    whole = ranges.filter(F.col("smallest").isNotNull() & F.col("largest").isNotNull())
+    found = regions.last_start(rows, whole.select(F.col("smallest").alias("__k"), "largest"), key_col, "largest", "__end")
+    inside = found.filter(F.col("__end") >= F.col("__k")).select("__k", F.lit(True).alias("__in"))
+    return rows.join(inside, F.col(key_col) == F.col("__k"), "left").withColumn("__covered", F.col("__in").isNotNull()).drop("__k", "__in")
 
 
 def split_outputs(versions: DataFrame, key_cols: Sequence[str], seq_col: str, op_col: str, size: Column, target: int = OUTPUT_BYTES, parts: int | None = None) -> DataFrame:
@@ -135,23 +133,37 @@ def split_outputs(versions: DataFrame, key_cols: Sequence[str], seq_col: str, op
     ship_package(versions.sparkSession)
     keys = list(key_cols)
     n = parts or max(1, int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key_hash = F.xxhash64(*(x for k in keys for x in (F.isnull(k), F.col(k))))
     ordered = (
-        versions.withColumn("__size", size.cast("bigint")).repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys, F.col(seq_col).desc(), F.col(op_col).desc()).withColumn("__part", F.spark_partition_id())
+        versions.withColumn("__size", F.coalesce(size.cast("bigint"), F.lit(0))).repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys, F.col(seq_col).desc(), F.col(op_col).desc())
+        .withColumns({"__part": F.spark_partition_id(), "__hash": key_hash})
     )
     at = {c: i for i, c in enumerate(ordered.columns)}
-    key_at, names = [at[k] for k in keys], versions.columns
+    names = versions.columns
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Neighbours in order have the same key if they have the same hash (64 bits, of two neighbours only).
         file_no, filled, before = 0, 0, None
         for batch in batches:
-            numbers = []
-            columns = [batch.column(i).to_pylist() for i in key_at]
-            for part, bytes_, *key in zip(batch.column(at["__part"]).to_pylist(), batch.column(at["__size"]).to_pylist(), *columns, strict=True):
-                if before is not None and key != before and filled >= target:
-                    file_no, filled = file_no + 1, 0
-                filled, before = filled + (bytes_ or 0), key
-                numbers.append((part << 32) + file_no)
+            if not batch.num_rows:
+                continue
+            h, sizes = batch.column(at["__hash"]).to_numpy(), batch.column(at["__size"]).to_numpy()
+            changed = np.empty(h.size, bool)
+            changed[0], changed[1:] = before is not None and h[0] != before, h[1:] != h[:-1]
+            begins = np.flatnonzero(changed)  # rows that begin another key
+            upto = np.concatenate(([0], np.cumsum(sizes))) + filled  # bytes of the open file before each row
+            cuts, base = [], 0
+            while True:  # as many steps as files end in this batch
+                k = np.searchsorted(upto[begins], base + target)
+                if k == begins.size:
+                    break
+                cuts.append(int(begins[k]))
+                base = int(upto[begins[k]])
+                begins = begins[k + 1 :]
+            numbers = file_no + np.searchsorted(np.array(cuts, np.int64), np.arange(h.size), side="right")
+            file_no, filled, before = file_no + len(cuts), int(upto[-1]) - base, h[-1]
+            numbers = numbers + (np.int64(batch.column(at["__part"])[0].as_py()) << np.int64(32))
             yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in names), pa.array(numbers, pa.int64())], [*names, "file_no"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in versions.schema) + ", file_no bigint"

@@ -189,8 +189,8 @@ def highest_term(log: DataFrame) -> DataFrame:
 
 
 def save_hard_state(states: DataFrame, changes: DataFrame, order_col: str) -> DataFrame:
-    """The newest state of each region."""
-    both = states.withColumn(order_col, F.lit(None).cast(changes.schema[order_col].dataType)).unionByName(changes)
+    """The newest state of each region; ``order_col`` of the changes is a whole number."""
+    both = states.withColumn(order_col, F.lit(-(2**63)).cast("bigint")).unionByName(changes.withColumn(order_col, F.col(order_col).cast("bigint")))
     return mvcc.newest(both, ["region_id"], order_col).drop(order_col)
 
 

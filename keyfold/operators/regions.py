@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import in_range
 from ..schema import InvalidArgument
-from ..session import lookup, materialise
+from . import merge
 
 #: The three regions of a default cluster: fixed values.
 DEFAULT_REGIONS = ((1, "", "m"), (2, "m", "t"), (3, "t", ""))
@@ -29,7 +29,7 @@ def contains(key: Column, start: Column, end: Column) -> Column:
 
 
 def validate(regions: DataFrame) -> None:
-    """Raise InvalidArgument unless there are regions, all with an id, a peer and a unique id."""
+    """Raise InvalidArgument unless there are regions, all with an id, a peer and a unique id, that share no key."""
     bad = F.col("region_id").isNull() | (F.col("region_id") == 0)
     checks = [F.count(F.lit(1)).alias("n"), F.sum(bad.cast("int")).alias("bad"), F.count_distinct("region_id").alias("ids")]
     if "peers" in regions.columns:
@@ -43,10 +43,30 @@ def validate(regions: DataFrame) -> None:
         raise InvalidArgument("a region id occurs twice")
     if "peers" in regions.columns and r.lonely:
         raise InvalidArgument("a region has no peers")
+    require_disjoint(regions)
+
+
+def _bounds(regions: DataFrame) -> DataFrame:
+    """(region_id, start_key, end_key) of the ranges that hold a key, a NULL bound being an open one."""
+    kind = dict(regions.dtypes)["start_key"]
+    none = F.lit("" if kind == "string" else bytearray()).cast(kind)
+    r = regions.select("region_id", F.coalesce("start_key", none).alias("start_key"), F.coalesce("end_key", none).alias("end_key"))
+    return r.filter((F.length("end_key") == 0) | (F.col("start_key") < F.col("end_key")))
+
+
+def require_disjoint(regions: DataFrame) -> None:
+    """Raise InvalidArgument if two ranges share a key."""
+    b = _bounds(regions)
+    unbounded = F.length("end_key") == 0
+    # The greatest end before a range, an unbounded one being greater than all.
+    spans = b.select("start_key", F.struct(unbounded.alias("open"), F.col("end_key").alias("end")).alias("reach"))
+    met = merge.carried_max(spans, "start_key", "reach", "__before")
+    if not met.filter(F.col("__before.open") | (F.col("__before.end") > F.col("start_key"))).limit(1).isEmpty():
+        raise InvalidArgument("two regions share keys")
 
 
 def route_expr(key: Column, regions: Sequence[tuple]) -> Column:
-    """Region of a key as a chain of conditions, first match first; NULL if none holds it."""
+    """Region of a key as a chain of conditions; NULL if none holds it."""
     out = F.lit(None).cast("bigint")
     for region_id, start, end in reversed(list(regions)):
         hit = key >= F.lit(start)
@@ -56,37 +76,43 @@ def route_expr(key: Column, regions: Sequence[tuple]) -> Column:
     return out
 
 
+def last_start(rows: DataFrame, starts: DataFrame, key_col: str, payload: str, name: str) -> DataFrame:
+    """Distinct keys ``__k`` of ``rows`` with the greatest ``payload`` among the rows of ``starts`` (__k, payload) at or below them.
+
+    Keys and starts are merged in key order: one shuffle into ranges, a carried
+    value within and across them, and no loop over all starts. Works for any
+    key that can be sorted. ``payload`` must not be NULL.
+    """
+    keys = rows.select(F.col(key_col).alias("__k")).filter(F.col("__k").isNotNull()).distinct()
+    kind = starts.schema[payload].dataType
+    both = keys.select("__k", F.lit(None).cast(kind).alias(payload), F.lit(True).alias("__key")).unionByName(
+        starts.select("__k", payload, F.lit(False).alias("__key"))
+    )
+    return merge.carried_max(both, "__k", payload, name, inclusive=True).filter("__key").select("__k", name)
+
+
 def route(rows: DataFrame, regions: DataFrame, key_col: str, name: str = "region_id") -> DataFrame:
     """Rows with the region that holds their key, NULL where none does.
 
-    Regions don't overlap, so the region of a key is the one with the greatest
-    start at or below it, if its end lies beyond. Few regions become conditions;
-    more are found by merging distinct keys and starts in key order with a
-    carried "latest start" per range partition and across partitions, and no
-    nested loop over all regions. NULL keys have no region.
+    Ranges must not overlap, however many there are: ``InvalidArgument`` else, for
+    then the answer would be a matter of order. Few regions become conditions;
+    more are found by a merge of distinct keys and starts in key order. NULL
+    bounds are open, ranges that end before they begin hold nothing, NULL keys
+    have no region.
     """
-    small = regions.select("region_id", "start_key", "end_key").limit(CHAIN + 1).collect()
+    require_disjoint(regions)
+    bounds = _bounds(regions)
+    small = bounds.orderBy("start_key").limit(CHAIN + 1).collect()
     if len(small) <= CHAIN:
-        return rows.withColumn(name, route_expr(F.col(key_col), sorted(((r[0], r[1], r[2]) for r in small), key=lambda r: bytes(r[1]) if not isinstance(r[1], str) else r[1])))
-    keys = rows.select(F.col(key_col).alias("__k")).filter(F.col("__k").isNotNull()).distinct()
-    starts = regions.select(F.col("start_key").alias("__k"), F.struct(F.col("region_id"), F.col("end_key")).alias("__r"))
-    both = keys.withColumn("__r", F.lit(None).cast(starts.schema["__r"].dataType)).withColumn("__key", F.lit(True)).unionByName(
-        starts.withColumn("__key", F.lit(False))
+        return rows.withColumn(name, route_expr(F.col(key_col), [(r[0], r[1], r[2]) for r in small]))
+    starts = bounds.select(
+        F.col("start_key").alias("__k"), F.struct(F.col("start_key").alias("start"), F.col("end_key").alias("end"), F.col("region_id").cast("bigint").alias("id")).alias("__r")
     )
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = materialise(both.repartitionByRange(parts, "__k").withColumn("__block", F.spark_partition_id()), "routing")
-    last = blocks.filter(~F.col("__key")).groupBy("__block").agg(F.max_by("__r", "__k").alias("__last"))
-    every = blocks.select("__block").distinct().join(last, "__block", "left")
-    back = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    carry, _ = lookup(every.select("__block", F.last("__last", ignorenulls=True).over(back).alias("__carry")), "routing-carry")
-    inside = Window.partitionBy("__block").orderBy(F.col("__k").asc(), F.col("__key").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        blocks.withColumn("__near", F.last("__r", ignorenulls=True).over(inside)).filter("__key").join(carry, "__block", "left")
-        .withColumn("__r", F.coalesce("__near", "__carry"))
-        .withColumn(name, F.when((F.length("__r.end_key") == 0) | (F.col("__k") < F.col("__r.end_key")), F.col("__r.region_id")))
-        .select("__k", name)
+    found = last_start(rows, starts, key_col, "__r", "__r").select(
+        "__k", F.when((F.length("__r.end") == 0) | (F.col("__k") < F.col("__r.end")), F.col("__r.id")).alias("__region")
     )
-    return rows.join(found, F.col(key_col) == F.col("__k"), "left").drop("__k")
+    # The keys found are distinct, so no key is multiplied; a hot one is a broadcast row or a split partition.
+    return rows.join(found, F.col(key_col) == F.col("__k"), "left").drop("__k").withColumnRenamed("__region", name)
 
 
 def batch_spans(routed: DataFrame, batch_col: str, region_col: str = "region_id") -> DataFrame:

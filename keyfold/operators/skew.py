@@ -8,21 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import digest
-from ..session import materialise
+from . import merge
 
 #: Rows of one key that one task handles at a time.
 CHUNK_ROWS = 100_000
 
 
-def ordered_blocks(rows: DataFrame, order_col: str) -> DataFrame:
+def ordered_blocks(rows: DataFrame, order_col: str, block_rows: int | None = None) -> DataFrame:
     """Rows range-partitioned by ``order_col``, each with the number of its partition.
 
-    The table is written to the shared folder: partition numbers then stay what
-    they are however often a task is run again.
+    The rows are counted first, so a block holds about ``block_rows`` however many
+    there are. The table is written to the shared folder: partition numbers then
+    stay what they are however often a task is run again.
     """
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, order_col).withColumn("__block", F.spark_partition_id())
-    return materialise(ranged, "blocks")
+    return merge.ordered_blocks(rows, [order_col], "blocks", block_rows or merge.BLOCK_ROWS)
 
 
 def number_rows(blocks: DataFrame, key_col: str, order_col: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyfold.operators import merge, mvcc
+from keyfold.session import lookup as sized_lookup
 from keyfold.schema import Corruption
 
 from .conftest import rows
@@ -110,7 +111,7 @@ def test_bloom_prune_both_ways(spark, monkeypatch):
     left, right = spark.range(100), spark.range(0, 50, 3)
     want = list(range(0, 50, 3))
     assert sorted(r.id for r in mvcc.bloom_prune(left, right.withColumnRenamed("id", "k"), "id", "k").collect()) == want
-    monkeypatch.setattr(mvcc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(mvcc, "sized_lookup", lambda df, label: sized_lookup(df, label, max_bytes=0))
     assert sorted(r.id for r in mvcc.bloom_prune(left, right.withColumnRenamed("id", "k"), "id", "k").collect()) == want
 
 
