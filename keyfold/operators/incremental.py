@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import digest
 from ..session import materialise
 from ..sources.commits import CommitLog
+from ..sources.parts import KeyedParts
+from . import mvcc
 from .asof import next_at_or_after
 
 
@@ -21,96 +23,96 @@ class IncrementalState:
     A run calls ``pending`` and processes what it returns, then ``commit``. A
     run that fails before its commit leaves the state as it was, so the next
     one sees the same records again; a committed record comes back only if its
-    content hash has changed. State is appended per version (only keys that a
-    run processed), and a reader takes the newest version of each key.
-
-    Defined results: NULL keys are keys of their own; NULL and empty contents
-    differ; of repeated rows with one key one is kept (the one with the largest
-    hash); an empty table gives nothing and can be committed.
+    content hash has changed. State is written per version (only keys that a
+    run processed) in parts that are merged by size.
+
+    Of the rows with one key ``pending`` returns one, the one with the largest
+    hash, and ``commit`` records the same one, so rows that repeat a key with
+    differing contents settle after one commit. NULL keys are keys of their own,
+    unless ``null_keys`` is False: then rows with a NULL key must not occur and
+    joins keep the partitioning of the keys. NULL and empty contents differ; an
+    empty table gives nothing and can be committed. ``carried`` columns (of
+    fixed size) are remembered with the hash and come back as ``was_...``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key_cols: Sequence[str], content_cols: Sequence[str]):
+    def __init__(
+        self, spark: SparkSession, path: str, key_cols: Sequence[str], content_cols: Sequence[str], carried: Sequence[str] = (), null_keys: bool = True
+    ):
         self.spark, self.path = spark, path
-        self.keys, self.content = list(key_cols), list(content_cols)
+        self.keys, self.content, self.carried, self.null_keys = list(key_cols), list(content_cols), list(carried), null_keys
         self.log = CommitLog(spark, path)
+        self.parts = KeyedParts(spark, f"{path}/state", self.keys, ["__h1", "__h2", *self.carried])
 
     def _hashed(self, rows: DataFrame) -> DataFrame:
         h1, h2 = digest(*self.content)
-        return rows.withColumns({"__h1": h1, "__h2": h2})
+        return mvcc.newest(rows.withColumns({"__h1": h1, "__h2": h2}), self.keys, "__h1")
 
-    def known(self) -> DataFrame | None:
+    def committed(self) -> dict:
+        """What the newest commit says."""
         version = self.log.current()
-        if version == 0:
-            return None
-        parts = self.log.read(version)["parts"]
-        rows = self.spark.read.parquet(*(f"{self.path}/state/{n}" for n in parts))
-        if len(parts) == 1:
-            return rows.select(*self.keys, "__h1", "__h2")
-        newest = rows.groupBy(*self.keys).agg(F.max(F.struct("__v", "__h1", "__h2")).alias("s"))
-        return newest.select(*self.keys, F.col("s.__h1").alias("__h1"), F.col("s.__h2").alias("__h2"))
+        return self.log.read(version) if version else {"parts": []}
+
+    def known(self) -> DataFrame | None:
+        return self.parts.read(self.committed()["parts"])
 
     def pending(self, current: DataFrame) -> DataFrame:
-        """Rows of ``current`` that are new or changed, with ``change`` saying which."""
+        """One row per key of ``current`` that is new or changed, with ``change`` saying which."""
         rows = self._hashed(current)
         state = self.known()
+        was = [f"was_{c}" for c in self.carried]
         if state is None:
-            return rows.withColumn("change", F.lit("new"))
+            return rows.withColumns({"change": F.lit("new")} | {w: F.lit(None).cast(current.schema[c].dataType) for w, c in zip(was, self.carried, strict=True)})
         names = {k: f"__k{i}" for i, k in enumerate(self.keys)}
-        state = state.select(*(F.col(k).alias(n) for k, n in names.items()), F.col("__h1").alias("__s1"), F.col("__h2").alias("__s2"))
-        on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+        state = state.select(
+            *(F.col(k).alias(n) for k, n in names.items()), F.col("__h1").alias("__s1"), F.col("__h2").alias("__s2"),
+            *(F.col(c).alias(w) for c, w in zip(self.carried, was, strict=True)),
+        )
+        same = [F.col(k).eqNullSafe(F.col(n)) if self.null_keys else F.col(k) == F.col(n) for k, n in names.items()]
         change = F.when(F.col("__s1").isNull(), "new").when(
             (F.col("__s1") != F.col("__h1")) | (F.col("__s2") != F.col("__h2")), "changed"
         )
-        return rows.join(state, on, "left").withColumn("change", change).filter(F.col("change").isNotNull()).drop(
+        return rows.join(state, reduce(lambda a, b: a & b, same), "left").withColumn("change", change).filter(F.col("change").isNotNull()).drop(
             *names.values(), "__s1", "__s2"
         )
 
-    def commit(self, processed: DataFrame) -> int:
-        """Record rows that came from ``pending`` as processed; returns the new version."""
+    def commit(self, processed: DataFrame, note: dict | None = None) -> int:
+        """Record rows that came from ``pending`` as processed; returns the new version.
+
+        ``note`` is committed with it: results that it names and the state that
+        accounts for them become visible at once.
+        """
         version = self.log.current() + 1
-        earlier = self.log.read(version - 1)["parts"] if version > 1 else []
-        name = f"v{version}-{uuid.uuid4().hex}"  # a run that failed leaves files that no version names
-        rows = processed if "__h1" in processed.columns else self._hashed(processed)
-        rows.groupBy(*self.keys).agg(F.max(F.struct("__h1", "__h2")).alias("s")).select(
-            *self.keys, F.lit(version).alias("__v"), F.col("s.__h1").alias("__h1"), F.col("s.__h2").alias("__h2")
-        ).write.parquet(f"{self.path}/state/{name}")
-        self.log.commit(version, {"parts": [*earlier, name]})
+        rows = mvcc.newest(processed, self.keys, "__h1") if "__h1" in processed.columns else self._hashed(processed)
+        parts = self.parts.append(self.committed()["parts"], rows, version)
+        self.log.commit(version, (note or {}) | {"parts": parts})
         return version
 
 
 #: Log indexes per bucket of the commit lookup and microseconds per bucket of the run lookup.
-INDEX_BUCKET = 4096
+INDEX_BUCKET = 1 << 16
 TIME_BUCKET_US = 3_600_000_000
-#: Tasks over which the entries of one region and hour are spread.
-SALTS = 8
+#: Tasks over which the entries of one region and hour are spread: one per so many commands of the
+#: whole log, within these bounds.
+SALTS, MOST_SALTS, SALT_ROWS = 8, 1024, 4_000_000
 
 
-def committed_entries(log: DataFrame, messages: DataFrame) -> DataFrame:
-    """Entries (region_id, idx, term) by their highest term with ``due_us``.
+def received_commands(log: DataFrame, messages: DataFrame) -> DataFrame:
+    """Distinct commands (region_id, idx, term, a, b) with ``us``, first received, and ``committed_us``.
 
-    An entry is due when it has been received first and when a message of its
-    region has told a commit index that covers it. Entries never covered are
-    left out, as are rows with a NULL region, index, term or time. ``content``
-    holds two sums of row hashes over the distinct commands of the entry.
+    ``a`` and ``b`` are row hashes of the command. ``committed_us`` is when first a
+    message told a commit index that covers the entry, NULL if none did. Rows
+    with a NULL region, index or term are left out; a NULL time is never.
     """
-    received = F.unix_micros(F.col("received_at").cast("timestamp"))
     h1, h2 = digest("pos", "cmd_type", "cf", "key", "value")
     rows = log.select(
-        "region_id", "idx", "term", received.alias("us"), h1.alias("a"), h2.alias("b")
-    ).filter("region_id IS NOT NULL AND idx IS NOT NULL AND term IS NOT NULL AND us IS NOT NULL")
-    # One row per distinct command first; a delivered copy only moves the earliest receipt.
+        "region_id", "idx", "term", F.unix_micros(F.col("received_at").cast("timestamp")).alias("us"), h1.alias("a"), h2.alias("b")
+    ).filter("region_id IS NOT NULL AND idx IS NOT NULL AND term IS NOT NULL")
     commands = rows.groupBy("region_id", "idx", "term", "a", "b").agg(F.min("us").alias("us"))
-    per_term = commands.groupBy("region_id", "idx", "term").agg(
-        F.min("us").alias("us"), F.bit_xor("a").alias("content_a"), F.bit_xor("b").alias("content_b")
-    )
-    entries = per_term.groupBy("region_id", "idx").agg(F.max(F.struct("term", "us", "content_a", "content_b")).alias("e")).select(
-        "region_id", "idx", "e.*"
-    )
     commits = messages.select(
         "region_id", "commit_index", F.unix_micros(F.col("received_at").cast("timestamp")).alias("told_us")
     ).filter("region_id IS NOT NULL AND commit_index IS NOT NULL AND told_us IS NOT NULL")
-    found = next_at_or_after(
-        entries,
+    return next_at_or_after(
+        commands,
         commits,
         ["region_id"],
         "idx",
@@ -120,9 +122,26 @@ def committed_entries(log: DataFrame, messages: DataFrame) -> DataFrame:
         name="committed_us",
         best_of_all=True,
     )
-    return found.filter(F.col("committed_us").isNotNull()).select(
-        "region_id", "idx", "term", "content_a", "content_b", F.greatest("us", "committed_us").alias("due_us")
-    )
+
+
+def entries_at(commands: DataFrame, until_us: int) -> DataFrame:
+    """The log as it stood at ``until_us``: per index received and committed by then its entry of the highest term.
+
+    ``content_a`` and ``content_b`` are sums of the hashes of its distinct
+    commands. ``due_us`` is when the entry was received first and known to be
+    committed, ``whole_us`` when the last of its commands was.
+    """
+    seen = commands.filter((F.col("us") <= until_us) & (F.col("committed_us") <= until_us))
+    # Both aggregates use this one partitioning; the commands are distinct already.
+    per_term = seen.repartition("region_id", "idx").groupBy("region_id", "idx", "term").agg(
+        F.min("us").alias("us"), F.max("us").alias("last_us"), F.bit_xor("a").alias("content_a"), F.bit_xor("b").alias("content_b"),
+        F.min("committed_us").alias("committed_us"),
+    )
+    top = mvcc.newest(per_term, ["region_id", "idx"], "term")
+    return top.select(
+        "region_id", "idx", "term", "content_a", "content_b",
+        F.greatest("us", "committed_us").alias("due_us"), F.greatest("last_us", "committed_us").alias("whole_us"),
+    )
 
 
 def succeeded_runs(reports: DataFrame) -> DataFrame:
@@ -137,7 +156,7 @@ def succeeded_runs(reports: DataFrame) -> DataFrame:
     )
 
 
-def assign_to_runs(entries: DataFrame, runs: DataFrame) -> DataFrame:
+def assign_to_runs(entries: DataFrame, runs: DataFrame, salts: int = SALTS) -> DataFrame:
     """Each due entry with the first run of its region started no earlier than ``due_us``."""
     return next_at_or_after(
         entries,
@@ -147,33 +166,56 @@ def assign_to_runs(entries: DataFrame, runs: DataFrame) -> DataFrame:
         "started_us",
         F.col("run_id"),
         lambda c: F.floor(c / TIME_BUCKET_US),
-        salts=SALTS,
+        salts=salts,
         salt=F.xxhash64("idx"),
         name="run_id",
     ).filter(F.col("run_id").isNotNull())
 
 
-def process_runs(log: DataFrame, messages: DataFrame, reports: DataFrame, path: str, waves: int = 2) -> DataFrame:
-    """What every successful run had to process: (run_id, region_id, idx).
+_RAN = "run_id bigint, region_id bigint, idx bigint, term bigint, change string, was_term bigint"
+
 
-    Runs are taken in ``waves`` of starting time. A wave selects the entries that
-    are new or changed against the committed state, gives each to its first
-    successful run, writes the assignment and only then switches the state, so
-    that a wave that fails is repeated as a whole. A failed run gets nothing and
-    its entries stay pending for the next one.
+def process_runs(log: DataFrame, messages: DataFrame, reports: DataFrame, path: str, waves: int = 2) -> DataFrame:
+    """What every successful run processed: (run_id, region_id, idx, term, change, was_term).
+
+    Runs are taken in ``waves`` of starting time. A wave looks at the log as it
+    stood at its end, hashes the entries, joins them with the committed state and
+    so selects those that are new or whose content has changed since a run
+    processed them: replaced by an entry of a higher term, or completed by a
+    command that came late. Each goes to its first successful run (a changed one of the
+    same term once it is whole). The assignment is written, and state and
+    assignment become visible in one commit. A wave that failed is repeated
+    as a whole, and a call over the same path goes on after the last committed
+    one. A failed run gets nothing: its entries stay pending for the next.
     """
     spark = log.sparkSession
-    entries = materialise(committed_entries(log, messages), "due-entries")
+    commands = materialise(received_commands(log, messages), "received-commands")
     runs = materialise(succeeded_runs(reports), "runs")
     low, high = runs.agg(F.min("started_us"), F.max("started_us")).first()
-    state = IncrementalState(spark, path, ["region_id", "idx"], ["term", "content_a", "content_b"])
+    state = IncrementalState(spark, path, ["region_id", "idx"], ["term", "content_a", "content_b"], carried=["term"], null_keys=False)
+    outputs = state.committed().get("outputs", [])
     if low is None:
-        return entries.select(F.lit(None).cast("bigint").alias("run_id"), "region_id", "idx").limit(0)
+        return spark.createDataFrame([], _RAN)
     step = (high - low) // waves + 1
-    done = []
-    for w in range(waves):
+    salts = min(MOST_SALTS, max(SALTS, commands.count() // SALT_ROWS))
+    for w in range(len(outputs), waves):
         of_wave = runs.filter(F.floor((F.col("started_us") - F.lit(low)) / F.lit(step)) == w)
-        assigned = materialise(assign_to_runs(state.pending(entries), of_wave), "assigned")
-        state.commit(assigned)
-        done.append(assigned.select("run_id", "region_id", "idx"))
-    return reduce(DataFrame.unionByName, done)
+        pending = state.pending(entries_at(commands, low + step * (w + 1) - 1))
+        late = (F.col("change") == "changed") & (F.col("was_term") == F.col("term"))
+        pending = pending.withColumn("due_us", F.when(late, F.col("whole_us")).otherwise(F.col("due_us")))
+        name = f"{path}/runs/{uuid.uuid4().hex}"
+        assign_to_runs(pending, of_wave, salts).write.parquet(name)
+        outputs = [*outputs, name]
+        state.commit(spark.read.parquet(name), {"outputs": outputs})
+    return spark.read.parquet(*outputs).select("run_id", "region_id", "idx", "term", "change", "was_term")
+
+
+def due_once(ran: DataFrame, log: DataFrame) -> DataFrame:
+    """(run_id, region_id, idx): of what runs processed the first time of each entry that holds in the end.
+
+    Left out are entries that a higher term has replaced by the end of the log,
+    and returns of an entry whose commands came late.
+    """
+    first = ran.filter((F.col("change") == "new") | (F.col("was_term") < F.col("term")))
+    top = log.filter("region_id IS NOT NULL AND idx IS NOT NULL").groupBy("region_id", "idx").agg(F.max("term").alias("term"))
+    return first.join(top, ["region_id", "idx", "term"], "left_semi").select("run_id", "region_id", "idx")

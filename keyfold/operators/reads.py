@@ -11,7 +11,7 @@ from .asof import next_at_or_after
 from .raftlog import quorum
 
 #: Indexes per bucket of the lookup; a bucket is one task's group at most.
-INDEX_BUCKET = 4096
+INDEX_BUCKET = 1 << 16
 
 
 def acknowledged(acks: DataFrame, read_cols: Sequence[str], voter_col: str, needed: int | Column) -> DataFrame:

@@ -80,8 +80,108 @@ def test_runs_against_brute_force(spark, seed, waves, monkeypatch):
     ldf = spark.createDataFrame([(g, i, t, 0, 2, "c", bytearray(b"k"), None, at) for g, i, t, at in log], "region_id bigint, idx bigint, term bigint, pos int, cmd_type int, cf string, key binary, value binary, received_at timestamp_ntz")
     mdf = spark.createDataFrame(messages, "region_id bigint, commit_index bigint, received_at timestamp_ntz")
     rdf = spark.createDataFrame([(*r, r[2]) for r in reports], "run_id bigint, region_id bigint, started_at timestamp_ntz, status string, reported_at timestamp_ntz")
-    got = incremental.process_runs(ldf, mdf, rdf, shared_path(spark, "runs"), waves)
-    assert rows(got) == brute(log, messages, reports)
+    ran = incremental.process_runs(ldf, mdf, rdf, shared_path(spark, "runs"), waves)
+    assert rows(incremental.due_once(ran, ldf)) == brute(log, messages, reports)
+    assert rows(ran, "run_id", "region_id", "idx", "term", "change", "was_term") == replay(log, messages, reports, waves)
+
+
+def replay(log, messages, reports, waves):
+    """The waves one after another, over what had come in by the end of each."""
+    us = lambda at: (at - T0) // datetime.timedelta(microseconds=1)
+    runs = {}
+    for run, g, started, status in reports:
+        r = runs.setdefault(run, [g, us(started), False])
+        r[2] |= status == "succeeded"
+    runs = {k: (g, s) for k, (g, s, ok) in runs.items() if ok}
+    low, high = min(s for _, s in runs.values()), max(s for _, s in runs.values())
+    step = (high - low) // waves + 1
+    told, first, state, out = {}, {}, {}, []
+    for g, i, t, at in log:
+        first[g, i, t] = min(us(at), first.get((g, i, t), us(at)))
+        seen = [us(m[2]) for m in messages if m[0] == g and m[1] is not None and m[1] >= i]
+        told[g, i] = min(seen, default=None)
+    for w in range(waves):
+        until, top = low + step * (w + 1) - 1, {}
+        for (g, i, t), at in first.items():
+            if at <= until and told[g, i] is not None and told[g, i] <= until:
+                top[g, i] = max(t, top.get((g, i), t))
+        for (g, i), t in top.items():
+            if state.get((g, i)) == t:
+                continue
+            due = max(first[g, i, t], told[g, i])
+            fit = sorted((s, run) for run, (rg, s) in runs.items() if rg == g and s >= due and (s - low) // step == w)
+            if fit:
+                was = state.get((g, i))
+                out.append((fit[0][1], g, i, t, "new" if was is None else "changed", was))
+                state[g, i] = t
+    return sorted(out, key=repr)
+
+
+LOG = "region_id bigint, idx bigint, term bigint, pos int, cmd_type int, cf string, key binary, value binary, received_at timestamp_ntz"
+
+
+def small(spark):
+    """Index 1 is processed, then replaced by term 2; index 2 gets a second command late; index 3 stays."""
+    at = lambda m: T0 + datetime.timedelta(minutes=m)
+    k = bytearray(b"k")
+    log = [(1, 1, 1, 0, 2, "c", k, k, at(0)), (1, 2, 1, 0, 2, "c", k, k, at(0)), (1, 3, 1, 0, 2, "c", k, k, at(0)), (1, 1, 2, 0, 2, "c", k, k, at(60)), (1, 2, 1, 1, 3, "c", k, None, at(61))]
+    messages = [(1, 3, at(1))]
+    reports = [(7, 1, at(5), "succeeded", at(6)), (8, 1, at(100), "failed", at(101)), (9, 1, at(110), "succeeded", at(111))]
+    return (
+        spark.createDataFrame(log, LOG), spark.createDataFrame(messages, "region_id bigint, commit_index bigint, received_at timestamp_ntz"),
+        spark.createDataFrame(reports, "run_id bigint, region_id bigint, started_at timestamp_ntz, status string, reported_at timestamp_ntz"),
+    )
+
+
+WANT = [(7, 1, 1, 1, "new", None), (7, 1, 2, 1, "new", None), (7, 1, 3, 1, "new", None), (9, 1, 1, 2, "changed", 1), (9, 1, 2, 1, "changed", 1)]
+
+
+def test_replaced_and_completed_entries_come_back(spark):
+    log, messages, reports = small(spark)
+    ran = incremental.process_runs(log, messages, reports, shared_path(spark, "runs"))
+    assert rows(ran) == WANT
+    assert rows(incremental.due_once(ran, log)) == [(7, 1, 2), (7, 1, 3), (9, 1, 1)]
+
+
+def test_state_decides(spark, monkeypatch):
+    monkeypatch.setattr(incremental.IncrementalState, "known", lambda self: None)
+    log, messages, reports = small(spark)
+    ran = incremental.process_runs(log, messages, reports, shared_path(spark, "runs"))
+    assert len(rows(ran)) > len(WANT)  # without a state everything would come again
+
+
+def test_failed_switch_is_repeated_exactly(spark, monkeypatch):
+    log, messages, reports = small(spark)
+    path, commit, calls = shared_path(spark, "runs"), CommitLog.commit, []
+
+    def failing(self, version, content):
+        calls.append(version)
+        if len(calls) == 2:  # the second wave has written its assignment
+            raise OSError("lost")
+        commit(self, version, content)
+
+    monkeypatch.setattr(CommitLog, "commit", failing)
+    with pytest.raises(OSError):
+        incremental.process_runs(log, messages, reports, path)
+    assert rows(incremental.process_runs(log, messages, reports, path)) == WANT
+    assert calls == [1, 2, 2]
+
+
+def test_repeated_keys_settle(spark):
+    s = incremental.IncrementalState(spark, shared_path(spark, "inc"), ["k"], ["v"])
+    table = make(spark, [("a", bytearray(b"1")), ("a", bytearray(b"2")), ("b", bytearray(b"1"))])
+    p = s.pending(table)
+    assert rows(p, "k", "change") == [("a", "new"), ("b", "new")]
+    s.commit(p)
+    assert s.pending(table).count() == 0
+
+
+def test_parts_are_merged(spark):
+    s = incremental.IncrementalState(spark, shared_path(spark, "inc"), ["k"], ["v"])
+    for i in range(9):
+        s.commit(s.pending(make(spark, [(f"k{j}", bytearray([j])) for j in range(i + 1)])))
+    assert len(s.committed()["parts"]) <= 4
+    assert sum(p["rows"] for p in s.committed()["parts"]) == 9 == s.known().count()
 
 
 def test_no_runs(spark):
