@@ -28,7 +28,7 @@ ASKS = "cmd_type IN (1, 2)"
 def _seen(spark: SparkSession, d: str) -> tuple[seen.SeenKeys, DataFrame]:
     keys = seen.SeenKeys(spark, shared_path(spark, "seen-keys"), ["cf", "key"])
     keys.absorb(keys.stream(f"{d}/key_history.parquet", None), keys.stream(f"{d}/requests.parquet", "req_no", ASKS))
-    return keys, load(spark, d, "requests").filter(ASKS).select("req_no", "cf", "key")
+    return keys, load(spark, d, "requests").filter(ASKS).select("req_no", "cf", "key", keys.file_id().alias("__file"))
 
 
 @query("""

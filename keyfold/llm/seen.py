@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import broadcastable, materialise, qualified
+
 #: Order of keys that were known before the first record.
 KNOWN = -(2**63)
+#: Partitions of the state, fixed when it is begun; a state for billions of keys takes some thousand.
+STATE_PARTITIONS = 12
+#: Spread of a file's records where the list of files itself is too long to broadcast.
+SALTS = 64
 
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -31,72 +37,117 @@ def _conf(spark: SparkSession, settings: dict[str, str]):
 
 
 class SeenKeys:
-    """First occurrences of keys, held in RocksDB state partitioned by key.
+    """First occurrences of keys, held in RocksDB state partitioned by key, and answers emitted batch by batch.
 
     The state has one row per key: the smallest order number with which the key
-    has come. Records of one key are combined before the shuffle, so a key with
-    a third of all records costs one row per task; keys are on disk, not in
-    memory, and never expire. The minimum is the same whatever order the files
-    are read in, so answers stay exact for records that arrive late, and a
-    restarted stream goes on from its checkpoint.
-
-    A record is a *first* if its order is the one in the state; every other one
-    is a *repeat*. Orders must be unique and not NULL. Keys are tuples in which
-    NULL is a value of its own; records whose last key column is NULL are
-    neither counted nor answered.
+    has come, the micro-batch that brought it and the first and last batch that
+    named the key. Records of one key are combined before the shuffle, so a key
+    with a third of all records costs one row per task; keys are on disk, not in
+    memory, and never expire.
+
+    Every micro-batch writes what it found into a folder of its own, which a
+    repeated batch overwrites: the orders that are the first of their key,
+    corrections (a key known before that now has an even smaller order, because
+    files came out of order) and the files it read. A record of such a file is a
+    *first* if its order was emitted and not corrected later, else a *repeat*; a
+    record of a file that no batch has read is not answered. So answers cost a
+    join with the emitted firsts, never a scan of the state.
+
+    Orders must be unique and not NULL. Keys are tuples in which NULL is a value
+    of its own; records whose last key column is NULL are neither counted nor
+    answered. An empty table gives no answers.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key_cols: Sequence[str]):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(key_cols)
+    def __init__(self, spark: SparkSession, path: str, key_cols: Sequence[str], partitions: int = STATE_PARTITIONS):
+        self.spark, self.path, self.keys, self.partitions = spark, path.rstrip("/"), list(key_cols), partitions
 
     @property
     def checkpoint(self) -> str:
         return f"{self.path}/checkpoint"
 
     def stream(self, table: str, order_col: str | None, where: str | None = None, batch_bytes: int = 2 << 30) -> DataFrame:
-        """A stream of (keys, order) from a Parquet table; without ``order_col`` its keys are known before all."""
-        rows = (
+        """A stream of (keys, order) from a Parquet table; without ``order_col`` its keys are known before all.
+
+        Beside the records there is one row per file that names it, so that the
+        batch which reads a file says so.
+        """
+        files = (
             self.spark.readStream.schema(self.spark.read.parquet(table).schema)
             .option("maxBytesPerTrigger", str(batch_bytes))
             .parquet(f"{table[:-1]}[{table[-1]}]")  # a pattern, so that a single file will do as well as a folder
         )
-        if where:
-            rows = rows.filter(where)
         order = F.col(order_col).cast("bigint") if order_col else F.lit(KNOWN).cast("bigint")
-        return rows.filter(F.col(self.keys[-1]).isNotNull()).select(*self.keys, order.alias("__order"))
+        rows = (files.filter(where) if where else files).filter(F.col(self.keys[-1]).isNotNull())
+        records = rows.select(*self.keys, order.alias("__order"), F.lit(None).cast("bigint").alias("__file"))
+        if not order_col:
+            return records
+        named = files.filter("_metadata.row_index = 0").select(
+            *(F.lit(None).cast(files.schema[k].dataType).alias(k) for k in self.keys), F.lit(KNOWN).cast("bigint").alias("__order"), self.file_id().alias("__file")
+        )
+        return records.unionByName(named)
+
+    @staticmethod
+    def file_id() -> Column:
+        """Number of the file that a row was read from: a hash of its path."""
+        return F.xxhash64(F.col("_metadata.file_path"))
 
     def absorb(self, *streams: DataFrame) -> None:
-        """Process all that the streams hold now; a later call goes on from the checkpoint."""
+        """Process all that the streams hold now, emitting the firsts of each batch; a later call goes on from the checkpoint."""
         rows = streams[0]
         for s in streams[1:]:
             rows = rows.unionByName(s)
-        with _conf(self.spark, _STATE_CONF):
-            (
-                rows.groupBy(*self.keys).agg(F.min("__order").alias("first_order"))
-                .writeStream.outputMode("update").format("noop")
-                .option("checkpointLocation", self.checkpoint)
-                .trigger(availableNow=True).start().awaitTermination()
-            )
+        at = F.unix_micros(F.current_timestamp())  # the same for all rows of a micro-batch, also when it is repeated
+        state = rows.withColumn("__at", at).groupBy("__file", *self.keys).agg(
+            F.min("__order").alias("first_order"), F.min_by("__at", "__order").alias("first_at"), F.min("__at").alias("since"), F.max("__at").alias("at")
+        )
+
+        def emit(batch: DataFrame, number: int) -> None:
+            new = batch.filter((F.col("first_at") == F.col("at")) & (F.col("__file").isNotNull() | (F.col("first_order") > F.lit(KNOWN))))
+            new.select(*self.keys, "__file", "first_order", (F.col("since") < F.col("at")).alias("corrects")).write.mode("overwrite").parquet(f"{self.path}/emitted/batch={number}")
+
+        # A folder without rows, so that there is something to read before the first batch.
+        blank = self.spark.createDataFrame([], rows.select(*self.keys, "__file", F.col("__order").alias("first_order"), F.lit(False).alias("corrects")).schema)
+        blank.write.mode("overwrite").parquet(f"{self.path}/emitted/batch=-1")
+        with _conf(self.spark, _STATE_CONF | {"spark.sql.shuffle.partitions": str(self.partitions)}):
+            state.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def _emitted(self) -> DataFrame:
+        return self.spark.read.parquet(f"{qualified(self.spark, self.path)}/emitted")
 
     def firsts(self) -> DataFrame:
-        """The state: key columns and ``first_order`` (``KNOWN`` for keys known before)."""
-        with _conf(self.spark, _STATE_CONF):
-            state = self.spark.read.format("statestore").load(self.checkpoint)
-        value = state.schema["value"].dataType.fieldNames()[0]
-        return state.select(*(F.col("key")[k].alias(k) for k in self.keys), F.col("value")[value].alias("first_order"))
-
-    def repeats(self, rows: DataFrame, order_col: str) -> DataFrame:
-        """The records whose key came before; joined on the unique order, so no key gathers rows."""
-        asked = rows.filter(F.col(self.keys[-1]).isNotNull())
-        firsts = self.firsts().select(F.col("first_order").alias(order_col)).filter(F.col(order_col) != F.lit(KNOWN))
-        return asked.join(firsts, order_col, "left_anti")
-
-    def flagged(self, rows: DataFrame, order_col: str) -> DataFrame:
-        """All records with ``seen``: true for a repeat, NULL for a NULL key."""
+        """(first_order) of every first: what the batches have emitted, without what a later batch has corrected."""
+        emitted = self._emitted().filter("__file IS NULL")
+        corrections = emitted.filter("corrects").select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)))
+        if corrections.limit(1).isEmpty():
+            return emitted.select("first_order")
+        # Only keys that were corrected are looked at again: of their orders the smallest holds.
+        changed = materialise(corrections.distinct(), "corrected-keys")
+        same = F.lit(True)
+        for i, k in enumerate(self.keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        settled = emitted.join(changed, same, "left_semi").groupBy(*self.keys).agg(F.min("first_order").alias("first_order"))
+        return emitted.join(changed, same, "left_anti").select("first_order").unionByName(settled.select("first_order"))
+
+    def flagged(self, rows: DataFrame, order_col: str, file_col: str = "__file") -> DataFrame:
+        """All records with ``seen``: false for a first, true for a repeat, NULL for a NULL key and where nothing is known yet.
+
+        ``file_col`` holds ``file_id()`` of the record's file and is dropped. Both
+        joins are on values that no key shares: the unique order and the file.
+        """
         firsts = self.firsts().select(F.col("first_order").alias(order_col), F.lit(True).alias("__first"))
-        return rows.join(firsts, order_col, "left").withColumn(
-            "seen", F.when(F.col(self.keys[-1]).isNotNull(), F.col("__first").isNull())
-        ).drop("__first")
+        done = materialise(self._emitted().filter("__file IS NOT NULL").select(F.col("__file").alias(file_col), F.lit(True).alias("__read")).distinct(), "read-files")
+        if broadcastable(done):
+            known = rows.join(F.broadcast(done), file_col, "left")
+        else:
+            salted = rows.withColumn("__salt", F.pmod(F.xxhash64(order_col), F.lit(SALTS)))
+            copies = done.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+            known = salted.join(copies, [file_col, "__salt"], "left").drop("__salt")
+        asked = F.col(self.keys[-1]).isNotNull() & F.col("__read").isNotNull()
+        return known.join(firsts, order_col, "left").withColumn("seen", F.when(asked, F.col("__first").isNull())).drop("__first", "__read", file_col)
+
+    def repeats(self, rows: DataFrame, order_col: str, file_col: str = "__file") -> DataFrame:
+        """The records whose key came before."""
+        return self.flagged(rows, order_col, file_col).filter("seen").drop("seen")
 
 
 def wrong_answers(flagged: DataFrame, history: DataFrame, key_cols: Sequence[str], order_col: str) -> DataFrame:
