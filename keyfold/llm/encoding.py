@@ -10,6 +10,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ LEXICON_WORDS = 131_072
 WORD_BYTES = 32
 #: Bytes of text handled at once; longer single texts are handled whole.
 PIECE = 1 << 20
+#: Bytes of text whose ids go into one list column, whose offsets have 32 bits.
+SLICE = 1 << 30
 #: Distinct words that a task keeps before it hands on its counts.
 COUNTED = 400_000
 
@@ -213,7 +216,32 @@ class Encoder:
 
 @cache
 def _encoder(name: str, vocabulary: str) -> Encoder:
-    return Encoder(Lexicon.open(os.path.join(SparkFiles.getRootDirectory(), name)), vocabulary)
+    """The encoder of a worker, from files that were sent to it."""
+    root = SparkFiles.getRootDirectory()
+    return Encoder(Lexicon.open(os.path.join(root, name)), os.path.join(root, vocabulary))
+
+
+def _sent_vocabulary(spark: SparkSession, path: str) -> str:
+    """Name under which workers find the vocabulary file of the driver; sent once per context."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_keyfold_vocabularies", {})
+    if path not in sent:
+        name = f"vocabulary-{uuid.uuid4().hex}"
+        with open(path, "rb") as f:
+            sc.addFile(write_shared(spark, name, f.read()))
+        sent[path] = name
+    return sent[path]
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have at most ``SLICE`` bytes (or one row): a list of ids has no more entries."""
+    sizes = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < batch.num_rows:
+        before = sizes[row - 1] if row else 0
+        end = max(row + 1, int(np.searchsorted(sizes, before + SLICE, side="right")))
+        yield batch.slice(row, end - row)
+        row = end
 
 
 def _prepared(docs: DataFrame, text_col: str, vocabulary: str | None, lexicon: str | None) -> tuple[str, str]:
@@ -222,7 +250,7 @@ def _prepared(docs: DataFrame, text_col: str, vocabulary: str | None, lexicon: s
     if lexicon is None:
         words = [bytes(r.word) for r in frequent_words(docs, text_col).select("word").collect()]
         lexicon = publish_lexicon(docs.sparkSession, words, vocabulary)
-    return vocabulary, lexicon
+    return _sent_vocabulary(docs.sparkSession, vocabulary), lexicon
 
 
 def encode(
@@ -240,8 +268,9 @@ def encode(
 
     def run(batches):
         enc = _encoder(lexicon, vocabulary)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), enc.ids(batch.column(1))], ["id", "ids"])
+        for whole in batches:
+            for batch in _slices(whole, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0), enc.ids(batch.column(1))], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -264,3 +293,41 @@ def token_counts(
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{name}` bigint"])
     return docs.select(*kept, text_col).mapInArrow(run, schema)
+
+
+def decoded_equal(docs: DataFrame, encoded: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(``id_col``, equal): whether the bytes of a document's ids are those of its text, NULL being as empty.
+
+    An exact round trip; ids must be unique and not NULL.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    vocabulary = _sent_vocabulary(spark, vocabulary or default_vocabulary())
+
+    def run(batches):
+        tokens, size, first = _token_bytes(os.path.join(SparkFiles.getRootDirectory(), vocabulary))
+        for batch in batches:
+            equal = []
+            for text, ids in zip(batch.column(1), batch.column(2), strict=True):
+                i = ids.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                n = size[i]
+                run_ = np.cumsum(n)
+                at = np.repeat(first[i] - (run_ - n), n) + np.arange(int(run_[-1]) if i.size else 0)
+                equal.append(tokens[at].tobytes() == (text.as_py() or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(equal, pa.bool_())], ["id", "equal"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    both = docs.select(id_col, text_col).join(encoded.select(id_col, "ids"), id_col)
+    return both.mapInArrow(run, f"id {kind}, equal boolean").withColumnRenamed("id", id_col)
+
+
+@cache
+def _token_bytes(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all token bytes one after another, length, first byte) by id."""
+    with open(vocabulary, "rb") as f:
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    size = np.zeros(max(ranks) + 1, np.int64)
+    for i, t in ranks.items():
+        size[i] = len(t)
+    raw = b"".join(ranks.get(i, b"") for i in range(size.size))
+    return np.frombuffer(raw, np.uint8), size, np.cumsum(size) - size

@@ -13,13 +13,14 @@ BLOCK_ROWS = 200_000
 UNIT = 1 << 31
 
 
-def _plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per listed source: available size and expected copies of each of its documents.
+def _plan(sizes: DataFrame, targets: DataFrame, total: int | None) -> DataFrame:
+    """Per listed source: available size, ``wanted`` size and expected copies of each of its documents.
 
-    The total is as large as the scarcest source allows: with all documents of
-    every source used at most ``max_repeats`` times, it is the least of
+    Without ``total`` it is as large as the scarcest source allows: with all
+    documents of every source used at most ``max_repeats`` times, it is the least of
     available * max_repeats / share. Sources that can't contribute (nothing
     there, no share, no repeats) leave their share to the others in proportion.
+    With a larger ``total`` scarce sources stay at their most copies and fall short.
     """
     have = sizes.groupBy("source").agg(F.sum("size").alias("available"), F.count(F.lit(1)).alias("docs"))
     t = targets.join(have, "source", "left").withColumns(
@@ -27,9 +28,11 @@ def _plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
     usable = (F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     t = t.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    total, = t.filter("usable").agg(F.min(F.col("available") * F.col("max_repeats") / F.col("target_share"))).first()
-    wanted = F.lit(total or 0.0) * F.col("target_share") / F.col("available")
-    return t.withColumn("expected", F.when(F.col("usable"), F.least(wanted, F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0)))
+    most, shares = t.filter("usable").agg(F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")), F.sum("target_share")).first()
+    size = (most or 0.0) if total is None else total / (shares or 1.0)
+    t = t.withColumn("wanted", F.when(F.col("usable"), F.lit(float(size)) * F.col("target_share")).otherwise(F.lit(0.0)))
+    copies = F.least(F.col("wanted") / F.col("available"), F.col("max_repeats").cast("double"))
+    return t.withColumn("expected", F.when(F.col("usable"), copies).otherwise(F.lit(0.0)))
 
 
 def mix(
@@ -39,15 +42,21 @@ def mix(
     source_col: str = "source",
     size_col: str = "n_tokens",
     seed: int = 1,
+    total: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents with ``copies``, report of shares).
 
+    ``total`` is the size of the mixture; by default what the scarcest source
+    permits. A larger one is filled as far as ``max_repeats`` lets every source, and
+    the report's ``shortfall`` says by how much each misses the size it should have.
+
     Within a source documents are ordered by size class, a hash, size and id; the
     expected copies are prefix-summed along that order, one random offset per
     source is added, and a document is used once for every whole number that its
     step crosses. Expected copies are equal within a source, so a document's
-    prefix sum is its rank times them, and the rank comes from block offsets plus
-    the place in a block of bounded size, however large the source.
+    prefix sum is its rank times them. The rank is the number of documents in
+    lower classes, plus that in the class's blocks before, plus the place in a block:
+    each a window over few rows, however large the source.
 
     Every input row comes out with all its columns (a ``copies`` of its own being
     replaced), with 0 copies if its size is 0 or NULL or its
@@ -60,22 +69,25 @@ def mix(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).alias("size"),
         F.struct(*(c for c in sizes.columns if c != "copies")).alias("row"),
     )
-    plan, _ = lookup(_plan(all_rows.filter("size > 0"), t), "mix-plan")
+    plan, _ = lookup(_plan(all_rows.filter("size > 0"), t, total), "mix-plan")
     usable = plan.filter("expected > 0").select("source", "expected")
-    blocks = max(1, sizes.count() // BLOCK_ROWS)
-    used = all_rows.filter("size > 0").withColumns(
-        {
-            "class": F.floor(F.log2(F.col("size").cast("double")) * 8),
-            "hash": F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(blocks)),
-        }
-    ).join(usable, "source")
+    used = all_rows.filter("size > 0").withColumn("class", F.floor(F.log2(F.col("size").cast("double")) * 8)).join(usable, "source")
+    lower = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)  # at most 504 classes
+    classes, _ = lookup(
+        used.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n")).select(
+            "source", "class", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("below"), F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")
+        ), "mix-classes",
+    )
+    # Rows without an id are told apart by their other columns.
+    ident = F.xxhash64(F.lit(seed), F.col("id"), F.when(F.col("id").isNull(), F.xxhash64("row")))
+    used = used.join(classes, ["source", "class"]).withColumn("hash", F.pmod(ident, F.col("blocks")))
     block = ["source", "class", "hash"]
-    before = Window.partitionBy("source").orderBy("class", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source", "class").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)  # a row per block of one class
     offsets = used.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).select(
         *block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
     place = F.row_number().over(Window.partitionBy(*block).orderBy("size", "id"))
-    ranked = used.withColumn("place", place).join(offsets, block).withColumn("rank", F.col("offset") + F.col("place"))
+    ranked = used.withColumn("place", place).join(offsets, block).withColumn("rank", F.col("below") + F.col("offset") + F.col("place"))
     whole = F.floor("expected")
     step = F.round((F.col("expected") - whole) * UNIT).cast("bigint")
     start = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(UNIT))
@@ -104,11 +116,13 @@ def _report(plan: DataFrame, taken: DataFrame) -> DataFrame:
         "max_repeats",
         "docs",
         F.col("available").cast("bigint").alias("available_size"),
+        F.round("wanted").cast("bigint").alias("wanted_size"),
         "expected",
         F.coalesce("docs_used", zero).alias("docs_used"),
         F.coalesce("most_copies", zero).alias("most_copies"),
         "used_size",
         F.when(total > 0, F.col("used_size") / total).otherwise(F.lit(0.0)).alias("reached_share"),
+        F.greatest(F.round(F.col("wanted") - F.col("available") * F.col("expected")).cast("bigint"), zero).alias("shortfall"),
     )
 
 

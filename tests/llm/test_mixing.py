@@ -39,6 +39,17 @@ def test_shares_and_caps(spark, monkeypatch, block):
     assert sum(r.reached_share for r in report.values()) == pytest.approx(1)
 
 
+def test_total_and_shortfall(spark):
+    sizes = [(i, "a", 10) for i in range(100)] + [(1000 + i, "b", 10) for i in range(10)] + [(None, "a", 10 + i) for i in range(5)]
+    make = lambda total: mixing.mixed(spark.createDataFrame([(*s, "x") for s in sizes], SIZES), spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 2)], TARGETS), total=total)
+    small = {r.source: r for r in make(200)[1].collect()}
+    assert all(r.wanted_size == 100 and r.shortfall == 0 and 80 <= r.used_size <= 120 for r in small.values())
+    large = {r.source: r for r in make(1000)[1].collect()}
+    assert (large["b"].wanted_size, large["b"].used_size, large["b"].shortfall, large["b"].most_copies) == (500, 200, 300, 2)
+    assert large["a"].shortfall == 0 and 480 <= large["a"].used_size <= 520
+    assert make(1000)[0].count() == len(sizes)
+
+
 def test_every_row_comes_out(spark):
     sizes = [(1, "a", 10), (2, "a", 0), (3, "a", None), (4, None, 10), (5, "other", 10), (6, "never", 10), (7, "zero", 10), (1, "a", 10)]
     copies, report, docs = run(spark, sizes, [("a", 0.5, 2), ("never", 0.5, 0), ("zero", 0.0, 5)])
