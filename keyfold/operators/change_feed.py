@@ -6,30 +6,41 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS
+from ..session import broadcastable, lookup, materialise
 from ..sources.commits import CommitLog
+from ..sources.parts import KeyedParts
+from . import mvcc
 
 PUT, DELETE = 2, 3
 
+#: What the index tells of a key's newest change.
+_WINNER = ["order", "place", "rank", "op", "file", "row"]
+
 
 class DeleteVectorTable:
     """A keyed table of immutable image files plus one bitmap of dead rows per file.
 
     ``apply`` appends the images of a batch of changes, finds the rows they
     supersede through the index from key to (file, position), sets those bits
-    and commits bitmap and files as one new version. ``read`` filters the set
-    positions while it scans the files. Nothing is rewritten but the bitmaps of
-    64 rows a word.
+    and commits images, index and bitmaps as one new version. ``read`` filters
+    the set positions while it scans the files. No image is ever rewritten.
 
     A change is (group, order, rank, place, op, key...): entries of a group are
     applied by ``order`` and then ``place``; of the entries with one order only
     those with the highest ``rank`` hold. Batches may bring changes late,
-    repeatedly and in any order: since index and images of superseded rows stay,
-    a bit is set or cleared by recomputing the keys that a batch touches,
-    including those of entries that a higher rank has just replaced.
+    repeatedly and in any order.
+
+    What a batch costs follows its own size: beside the images there are two
+    tables of the newest row per key, kept in parts that are merged by size: the
+    highest rank of each entry, and for each key its newest change with the
+    position of its image. A batch is compared with these two by one aggregate
+    each. Bitmaps are written for the words of 64 rows that a batch touches, as
+    masks over what was there. Only if a batch outranks an entry whose change
+    was a key's newest one, older images of that key (and of no other) are read
+    again, since one of them comes back.
 
     Defined results: operations other than put and delete change no key but
     still replace entries of lower rank; changes with a NULL key are treated so
@@ -54,80 +65,164 @@ class DeleteVectorTable:
         self.group, self.order, self.rank, self.place, self.op = group_col, order_col, rank_col, place_col, op_col
         self.keys, self.values = list(key_cols), list(value_cols)
         self.log = CommitLog(spark, path)
+        self.ranks = KeyedParts(spark, f"{path}/ranks", ["group", "order"], ["top", "low", "was"])
+        self.index = KeyedParts(spark, f"{path}/index", ["group", *self.keys], [*_WINNER, "was_file", "was_row"])
 
     # -- layout ---------------------------------------------------------------
-    def _parts(self, kind: str, names: Sequence[str]) -> DataFrame:
-        return self.spark.read.parquet(*(f"{self.path}/{kind}/{n}" for n in names))
-
     @property
     def _identity(self) -> list[str]:
         return [self.group, self.order, self.rank, self.place, self.op, *self.keys]
 
+    def _images(self, names: Sequence[str]) -> DataFrame:
+        """Images with their position; file names are unique over all batches."""
+        return self.spark.read.parquet(*(f"{self.path}/images/{n}" for n in names)).select(
+            *self._identity, *self.values, F.xxhash64(F.col("_metadata.file_name")).alias("__file"), F.col("_metadata.row_index").alias("__row")
+        )
+
+    def _changes(self, names: Sequence[str]) -> DataFrame:
+        """The images without their values, under the names of the index."""
+        return self._images(names).select(
+            F.col(self.group).alias("group"), F.col(self.order).cast("bigint").alias("order"), F.col(self.rank).cast("bigint").alias("rank"),
+            F.col(self.place).cast("int").alias("place"), F.col(self.op).alias("op"), *self.keys, F.col("__file").alias("file"), F.col("__row").alias("row"),
+        )
+
     def _effective(self) -> Column:
         """Whether a row is a put or delete of a key."""
-        return F.col(self.op).isin(PUT, DELETE) & F.col(self.keys[-1]).isNotNull()
+        return F.col("op").isin(PUT, DELETE) & F.col(self.keys[-1]).isNotNull()
+
+    def _best(self, changes: DataFrame) -> DataFrame:
+        """The newest change per key: a hash aggregate with a combine, so one key with most changes stays harmless."""
+        ranked = changes.withColumn("__at", mvcc.packed(changes, ["order", "place"]))
+        return ranked.groupBy("group", *self.keys).agg(*(F.max_by(c, "__at").alias(c) for c in _WINNER))
+
+    def _same_key(self, prefix: str) -> Column:
+        return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(["group", *self.keys])))
+
+    def _key_as(self, rows: DataFrame, prefix: str) -> DataFrame:
+        return rows.select(*(F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(["group", *self.keys])))
 
     # -- write ----------------------------------------------------------------
     def apply(self, changes: DataFrame) -> int:
         """Apply one batch; returns the version that holds it."""
         version = self.log.current() + 1
-        before = self.log.read(version - 1) if version > 1 else {"batches": [], "vector": None}
-        earlier = before["batches"]
+        before = self.log.read(version - 1) if version > 1 else {"batches": [], "ranks": [], "index": [], "vectors": []}
         name = f"v{version}-{uuid.uuid4().hex}"  # a batch that failed leaves files that no version names
         need = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (self.group, self.order, self.rank, self.place)))
         # Repeated deliveries are appended too: all but one of them are dead rows.
         changes.select(*self._identity, *self.values).filter(need).write.parquet(f"{self.path}/images/{name}")
-
-        # Key-to-position index of the new images: columns of the key and the place in the log only.
-        self._parts("images", [name]).select(
-            *self._identity,
-            F.xxhash64(F.lit(name), F.col("_metadata.file_name")).alias("file"),
-            F.col("_metadata.row_index").alias("row"),
-        ).write.parquet(f"{self.path}/index/{name}")
-        added = self._parts("index", [name])
-        if added.isEmpty():
+        new = self._changes([name])
+        if new.isEmpty():
             return version - 1
-        index = self._parts("index", [*earlier, name])
-        touched = self._touched(added, index) if earlier else index
-        alive = self._alive_rows(touched, index)
-        zero = F.lit(0).cast("bigint")
-        mask = F.expr("shiftleft(1L, cast(row % 64 as int))")
-        word = F.expr("row div 64").alias("word")
-        # Of each word the rows that are judged now, those of them that live, and the bits of the version before.
-        parts = [
-            touched.select("file", word, mask.alias("judged"), zero.alias("alive"), zero.alias("old")),
-            alive.select("file", word, zero.alias("judged"), mask.alias("alive"), zero.alias("old")),
-        ]
-        if earlier:
-            old = self._parts("vectors", [before["vector"]])
-            parts.append(old.select("file", "word", zero.alias("judged"), zero.alias("alive"), F.col("dead").alias("old")))
-        bits = reduce(DataFrame.unionByName, parts).groupBy("file", "word").agg(*(F.bit_or(c).alias(c) for c in ("judged", "alive", "old")))
-        dead = F.expr("(old & ~judged) | (judged & ~alive)")
-        bits.select("file", "word", dead.alias("dead")).filter("dead <> 0").write.parquet(f"{self.path}/vectors/{name}")
-        self.log.commit(version, {"batches": [*earlier, name], "vector": name})
+
+        ranked = self.ranks.write(self._ranked(new, before["ranks"]), version)
+        ranks = self.ranks.append(before["ranks"], ranked)
+        entries = self.ranks.rows(ranked)
+        # Entries of which the batch holds several ranks, or a lower one than was known: mostly few.
+        contested, _ = lookup(entries.filter("low < top").select("group", "order", "top"), "contested")
+        best = self._best(self._holding(new.filter(self._effective()), contested))
+        again = self._outranked(entries, before["index"])
+        winners = self.index.write(self._winners(best, again, before, [*before["batches"], name], ranks), version)
+        vector = self._vector(new, self.index.rows(winners), name)
+        self.log.commit(
+            version,
+            {"batches": [*before["batches"], name], "ranks": ranks, "index": self.index.append(before["index"], winners), "vectors": self._append(before["vectors"], vector)},
+        )
         return version
 
-    def _touched(self, added: DataFrame, index: DataFrame) -> DataFrame:
-        """Index rows of all keys that a batch names or whose entries it outranks."""
-        entry = [self.group, self.order]
-        outranked = index.join(added.select(*entry).distinct(), entry, "left_semi").select(self.group, *self.keys)
-        keys = outranked.union(added.select(self.group, *self.keys)).distinct()
-        on = reduce(lambda a, b: a & b, (index[c].eqNullSafe(keys[c]) for c in (self.group, *self.keys)))
-        return index.join(keys, on, "left_semi")
-
-    def _alive_rows(self, touched: DataFrame, index: DataFrame) -> DataFrame:
-        """(file, row) of the newest image of each touched key that is present.
-
-        The newest change per key is an aggregate with a combine before the
-        shuffle, so one key with most changes stays harmless.
-        """
-        entry = [self.group, self.order]
-        top = index.groupBy(*entry).agg(F.max(self.rank).alias("__top"))
-        holding = touched.filter(self._effective()).join(top, entry).filter(F.col(self.rank) == F.col("__top"))
-        newest = holding.groupBy(self.group, *self.keys).agg(
-            F.max(F.struct(self.order, self.place, self.op, "file", "row")).alias("w")
+    def _ranked(self, new: DataFrame, parts: list[dict]) -> DataFrame:
+        """Per entry of the batch its highest rank ``top``, the lowest of the batch ``low`` and the highest before ``was``."""
+        mine = new.groupBy("group", "order").agg(F.max("rank").alias("high"), F.min("rank").alias("low"))
+        if not parts:
+            return mine.select("group", "order", F.col("high").alias("top"), "low", F.lit(None).cast("bigint").alias("was"))
+        first, last = new.agg(F.min("order"), F.max("order")).first()
+        none = F.lit(None).cast("bigint")
+        known = self.ranks.read(parts).filter(F.col("order").between(first, last))
+        both = mine.withColumn("was", none).unionByName(known.select("group", "order", none.alias("high"), none.alias("low"), F.col("top").alias("was")))
+        merged = both.groupBy("group", "order").agg(F.max("high").alias("high"), F.max("low").alias("low"), F.max("was").alias("was"))
+        return merged.filter("high IS NOT NULL").select("group", "order", F.greatest("high", "was").alias("top"), "low", "was")
+
+    def _holding(self, rows: DataFrame, tops: DataFrame) -> DataFrame:
+        """Rows whose entry is not among ``tops`` (group, order, top) or has the highest rank there."""
+        joined = rows.join(tops, ["group", "order"], "left")
+        return joined.filter(F.col("top").isNull() | (F.col("rank") == F.col("top"))).drop("top")
+
+    def _outranked(self, entries: DataFrame, parts: list[dict]) -> DataFrame | None:
+        """Keys whose newest change belonged to an entry that the batch has outranked; None if there are none."""
+        if not parts:
+            return None
+        raised, _ = lookup(entries.filter("was < top").select("group", "order", "top"), "raised")
+        if raised.isEmpty():
+            return None
+        keys = self.index.read(parts).join(raised, ["group", "order"]).filter(F.col("rank") < F.col("top"))
+        keys = materialise(keys.select("group", *self.keys, F.col("file").alias("was_file"), F.col("row").alias("was_row")), "outranked")
+        return None if keys.isEmpty() else keys
+
+    def _winners(self, best: DataFrame, again: DataFrame | None, before: dict, batches: list[str], ranks: list[dict]) -> DataFrame:
+        """Index rows that change: the newest change of a key and the position of the one before it."""
+        long = F.lit(None).cast("bigint")
+        if not before["index"]:
+            return best.select("group", *self.keys, *_WINNER, long.alias("was_file"), long.alias("was_row"))
+        known = self.index.read(before["index"])
+        kinds = dict(best.dtypes)
+        sides = best.select("group", *self.keys, *(F.col(c).alias(f"n_{c}") for c in _WINNER), *(F.lit(None).cast(kinds[c]).alias(f"o_{c}") for c in _WINNER)).unionByName(
+            known.select("group", *self.keys, *(F.lit(None).cast(kinds[c]).alias(f"n_{c}") for c in _WINNER), *(F.col(c).alias(f"o_{c}") for c in _WINNER))
+        )
+        # Each side has one row per key: max only brings them together.
+        both = sides.groupBy("group", *self.keys).agg(*(F.max(f"{s}_{c}").alias(f"{s}_{c}") for s in "no" for c in _WINNER)).filter("n_order IS NOT NULL")
+        later = F.col("o_order").isNull() | (F.col("n_order") > F.col("o_order")) | ((F.col("n_order") == F.col("o_order")) & (F.col("n_place") > F.col("o_place")))
+        won = both.filter(later).select(
+            "group", *self.keys, *(F.col(f"n_{c}").alias(c) for c in _WINNER), F.col("o_file").alias("was_file"), F.col("o_row").alias("was_row")
+        )
+        if again is None:
+            return won
+        asked = self._key_as(again, "__a")
+        rows = self._changes(batches).filter(self._effective()).join(asked, self._same_key("__a"), "left_semi")
+        found = self._best(self._holding(rows, self.ranks.read(ranks).select("group", "order", "top")))
+        found = found.select(*(F.col(k).alias(f"__f{i}") for i, k in enumerate(["group", *self.keys])), *_WINNER)
+        redone = again.join(found, self._same_key("__f"), "left").select("group", *self.keys, *_WINNER, "was_file", "was_row")
+        return won.join(asked, self._same_key("__a"), "left_anti").unionByName(redone)
+
+    # -- bitmaps ----------------------------------------------------------------
+    def _vector(self, new: DataFrame, winners: DataFrame, name: str) -> dict:
+        """Masks (file, word, judged, alive) of the batch: all its rows and the former newest ones are judged, the new ones live."""
+        zero = F.lit(0).cast("bigint")
+
+        def bits(rows: DataFrame, file: str, row: str, alive: Column) -> DataFrame:
+            r = rows.filter(F.col(file).isNotNull()).select(F.col(file).alias("file"), F.col(row).alias("row"), alive.alias("lives"))
+            mask = F.expr("shiftleft(1L, cast(row % 64 as int))")
+            return r.select("file", F.expr("row div 64").alias("word"), mask.alias("judged"), F.when(F.col("lives"), mask).otherwise(zero).alias("alive"))
+
+        no = F.lit(False)
+        parts = [bits(new, "file", "row", no), bits(winners, "was_file", "was_row", no), bits(winners, "file", "row", F.col("op") == PUT)]
+        masks = reduce(DataFrame.unionByName, parts).groupBy("file", "word").agg(F.bit_or("judged").alias("judged"), F.bit_or("alive").alias("alive"))
+        return self._write_masks(masks, name)
+
+    def _write_masks(self, masks: DataFrame, name: str) -> dict:
+        masks.write.parquet(f"{self.path}/vectors/{name}")
+        return {"name": name, "rows": self.spark.read.parquet(f"{self.path}/vectors/{name}").count()}
+
+    def _folded(self, parts: list[dict]) -> DataFrame:
+        """One mask per word from those of several versions: what a later one judges, it decides."""
+        scans = [self.spark.read.parquet(f"{self.path}/vectors/{p['name']}") for p in parts]
+        if len(scans) == 1:
+            return scans[0]
+        tagged = reduce(DataFrame.unionByName, [s.withColumn("part", F.lit(i)) for i, s in enumerate(scans)])
+        # A word occurs once in a part; the parts are as many as the logarithm of the words.
+        wide = tagged.groupBy("file", "word").agg(
+            *(F.coalesce(F.bit_or(F.when(F.col("part") == i, F.col(c))), F.lit(0).cast("bigint")).alias(f"{c}{i}") for i in range(len(scans)) for c in ("judged", "alive"))
         )
-        return newest.filter(F.col(f"w.{self.op}") == PUT).select(F.col("w.file").alias("file"), F.col("w.row").alias("row"))
+        judged, alive = F.col("judged0"), F.col("alive0")
+        for i in range(1, len(scans)):
+            alive = alive.bitwiseAND(F.bitwise_not(F.col(f"judged{i}"))).bitwiseOR(F.col(f"alive{i}"))
+            judged = judged.bitwiseOR(F.col(f"judged{i}"))
+        return wide.select("file", "word", judged.alias("judged"), alive.alias("alive"))
+
+    def _append(self, parts: list[dict], new: dict) -> list[dict]:
+        merged, size, kept = [new], new["rows"], list(parts)
+        while kept and kept[-1]["rows"] <= 2 * size:
+            size += kept[-1]["rows"]
+            merged.insert(0, kept.pop())
+        return [*kept, self._write_masks(self._folded(merged), f"merged-{uuid.uuid4().hex}") if len(merged) > 1 else new]
 
     # -- read -----------------------------------------------------------------
     def read(self, version: int | None = None) -> DataFrame:
@@ -136,22 +231,16 @@ class DeleteVectorTable:
         if version == 0:
             raise LookupError("nothing was applied yet")
         content = self.log.read(version)
-        batches = content["batches"]
-        scans = [
-            self._parts("images", [b]).select(
-                *self._identity,
-                *self.values,
-                F.xxhash64(F.lit(b), F.col("_metadata.file_name")).alias("file"),
-                F.col("_metadata.row_index").alias("row"),
-            )
-            for b in batches
-        ]
-        images = reduce(DataFrame.unionByName, scans).withColumn("word", F.expr("row div 64"))
-        vectors = self._parts("vectors", [content["vector"]])
-        if vectors.count() <= BROADCAST_ROWS:
+        vectors = self._folded(content["vectors"])
+        dead = F.expr("judged & ~alive")
+        if len(content["vectors"]) > 1:
+            vectors = materialise(vectors, "vectors")
+        vectors = vectors.select(F.col("file").alias("__file"), F.col("word").alias("__word"), dead.alias("__dead")).filter("__dead <> 0")
+        if broadcastable(vectors):
             vectors = F.broadcast(vectors)
-        bit = F.expr("shiftright(dead, cast(row % 64 as int)) & 1")
-        return images.join(vectors, ["file", "word"], "left").filter(F.col("dead").isNull() | (bit == 0)).select(
+        images = self._images(content["batches"]).withColumn("__word", F.expr("__row div 64"))
+        bit = F.expr("shiftright(__dead, cast(__row % 64 as int)) & 1")
+        return images.join(vectors, ["__file", "__word"], "left").filter(F.col("__dead").isNull() | (bit == 0)).select(
             self.group, *self.keys, *self.values, self.order, self.rank, self.place
         )
 

@@ -83,7 +83,7 @@ class IncrementalState:
         """
         version = self.log.current() + 1
         rows = mvcc.newest(processed, self.keys, "__h1") if "__h1" in processed.columns else self._hashed(processed)
-        parts = self.parts.append(self.committed()["parts"], rows, version)
+        parts = self.parts.append(self.committed()["parts"], self.parts.write(rows, version))
         self.log.commit(version, (note or {}) | {"parts": parts})
         return version
 

@@ -14,7 +14,7 @@ from ..operators import mvcc
 class KeyedParts:
     """One row per key over immutable Parquet parts, of which the newest wins.
 
-    ``append`` writes the rows of one version and gives back the list of parts
+    ``write`` stores the rows of one version and ``append`` gives the list of parts
     that a commit should name; nothing changes until it does. A part is merged
     with those before it as long as these aren't more than twice its size, so there are
     about as many parts as the logarithm of the rows, and a row is rewritten about
@@ -40,11 +40,17 @@ class KeyedParts:
         """Keys and values; None if there are no parts."""
         return self._newest(parts).select(*self.keys, *self.values) if parts else None
 
-    def append(self, parts: Sequence[dict], rows: DataFrame, version: int) -> list[dict]:
-        """The list of parts after the rows (one per key) of a version."""
-        new = self._write(rows.select(*self.keys, *self.values, F.lit(version).cast("bigint").alias("__v")))
-        merged, size = [new], new["rows"]
-        kept = list(parts)
+    def write(self, rows: DataFrame, version: int) -> dict:
+        """A part with the rows (one per key) of a version."""
+        return self._write(rows.select(*self.keys, *self.values, F.lit(version).cast("bigint").alias("__v")))
+
+    def rows(self, part: dict) -> DataFrame:
+        """What was written as one part."""
+        return self._rows([part]).select(*self.keys, *self.values)
+
+    def append(self, parts: Sequence[dict], new: dict) -> list[dict]:
+        """The list of parts with a new one, merged with those before it as their sizes ask for."""
+        merged, size, kept = [new], new["rows"], list(parts)
         while kept and kept[-1]["rows"] <= 2 * size:
             size += kept[-1]["rows"]
             merged.insert(0, kept.pop())

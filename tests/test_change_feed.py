@@ -76,3 +76,31 @@ def test_empty_null_rows_and_slices(spark):
     data = feed(9, 80)
     df = spark.createDataFrame(data, SCHEMA).selectExpr("*", "timestamp_millis(idx * 1000) AS at")
     assert state(rebuild(df, shared_path(spark, "dv"), "at", 3)) == model(data)
+
+
+@pytest.mark.parametrize("seed", [5])
+def test_many_small_batches(spark, seed):
+    """Bitmaps, ranks and index are merged by size while late, repeated and outranking changes come."""
+    data, table = feed(seed, 220), DeleteVectorTable(spark, shared_path(spark, "dv"))
+    step = len(data) // 9 + 1
+    for at in range(0, len(data), step):
+        table.apply(spark.createDataFrame(data[at : at + step], SCHEMA))
+    assert state(table) == model(data)
+    content = table.log.read(table.log.current())
+    assert all(len(content[k]) <= 5 for k in ("ranks", "index", "vectors")) and len(content["batches"]) == 9
+    assert rows(table.read(4), "region_id", "cf", "key", "idx", "pos", "value") == model(data[: 4 * step])
+
+
+def test_failed_commit_leaves_the_table(spark, monkeypatch):
+    from keyfold.sources.commits import CommitLog
+
+    data, table = feed(3, 60), DeleteVectorTable(spark, shared_path(spark, "dv"))
+    table.apply(spark.createDataFrame(data[:40], SCHEMA))
+    commit = CommitLog.commit
+    monkeypatch.setattr(CommitLog, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        table.apply(spark.createDataFrame(data[40:], SCHEMA))
+    monkeypatch.setattr(CommitLog, "commit", commit)
+    assert state(table) == model(data[:40])
+    table.apply(spark.createDataFrame(data[40:], SCHEMA))
+    assert state(table) == model(data)
