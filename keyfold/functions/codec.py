@@ -7,6 +7,7 @@ decoders refuse what they can't read completely with ``Corruption``.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -215,6 +216,36 @@ def log_record(payload: bytes) -> bytes:
     return fixed32(len(payload)) + fixed32(crc32c(payload)) + payload
 
 
+def log_records_of(payloads: list[bytes]) -> bytes:
+    """Records of several payloads, their checksums computed together."""
+    if any(not 0 < len(p) <= MOST_RECORD_BYTES for p in payloads):
+        raise InvalidArgument("log record must have 1 byte to 64 MiB")
+    return b"".join(x for p, c in zip(payloads, crc32c_many(payloads).tolist(), strict=True) for x in (fixed32(len(p)), fixed32(c), p))
+
+
+def log_stream(read, piece: int = 8 << 20) -> Iterator[tuple[int, bytes]]:
+    """(offset, payload) of each record of a file that ``read(n)`` gives piece by piece, so a long log needs little memory."""
+    held, at = b"", 0
+    while True:
+        more = read(piece)
+        held += more
+        if not more:
+            yield from ((at + o, p) for o, p in log_records(held))
+            return
+        # Whole records that are there; a wrong length is left for the check at the end.
+        end = 0
+        while end + 8 <= len(held):
+            (size,) = struct.unpack_from("<I", held, end)
+            if not 0 < size <= MOST_RECORD_BYTES:
+                yield from ((at + o, p) for o, p in log_records(held))
+                return
+            if end + 8 + size > len(held):
+                break
+            end += 8 + size
+        yield from ((at + o, p) for o, p in log_records(held[:end]))
+        held, at = held[end:], at + end
+
+
 def log_records(raw: bytes) -> Iterator[tuple[int, bytes]]:
     """(offset, payload) of each record. A cut-off tail ends the log; a wrong record is Corruption."""
     found, at, error = [], 0, None
@@ -326,9 +357,30 @@ def block_entries(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
         yield last, r.take(size)
 
 
-def _stored(payload: bytes) -> bytes:
-    raw = payload + b"\0"  # no compression
-    return raw + fixed32(crc32c(raw))
+def block_seek(raw: bytes, target: tuple[bytes, int]) -> Iterator[tuple[bytes, bytes]]:
+    """Entries from the first internal key at or after ``target`` on: a binary search over the restarts, then one run of entries."""
+    if len(raw) < 8:
+        raise Corruption("block is too short")
+    (count,) = struct.unpack("<I", raw[-4:])
+    end = len(raw) - 4 - 4 * count
+    if count == 0 or end < 0:
+        raise Corruption("block has wrong restart offsets")
+    restarts = struct.unpack_from(f"<{count}I", raw, end)
+    low, high = 0, count - 1
+    while low < high:  # the last restart whose key is before the target
+        middle = (low + high + 1) // 2
+        if restarts[middle] >= end:
+            raise Corruption("block has wrong restart offsets")
+        shared, own, _ = struct.unpack_from("<III", raw, restarts[middle])
+        if shared:
+            raise Corruption("a restart shares with the key before it")
+        key = raw[restarts[middle] + 12 : restarts[middle] + 12 + own]
+        low, high = (middle, high) if internal_order(key) < target else (low, middle - 1)
+    first = restarts[low]
+    rest = raw[first:end] + fixed32(0) + fixed32(1)
+    for key, value in block_entries(rest):
+        if internal_order(key) >= target:
+            yield key, value
 
 
 def _load(raw: bytes, offset: int, size: int, verify: bool) -> bytes:
@@ -355,16 +407,20 @@ class TableMeta:
 
 def table(rows: Iterable[tuple[bytes, int, int, bytes]], block_bytes: int = BLOCK_BYTES) -> tuple[bytes, TableMeta]:
     """Encode (user key, sequence, op, value) in strict internal order as one table file."""
-    out, index, keys, current, size, estimate = [], [], [], [], 0, 0
+    blocks, index, keys, current, size, estimate = [], [], [], [], 0, 0
     first = last = None
 
+    def add(payload: bytes) -> bytes:
+        nonlocal size
+        handle = fixed64(size) + fixed64(len(payload))
+        blocks.append(payload + b"\0")  # no compression
+        size += len(payload) + 5
+        return handle
+
     def flush():
-        nonlocal size, current, estimate
+        nonlocal current, estimate
         if current:
-            payload = block(current)
-            index.append((current[-1][0], fixed64(size) + fixed64(len(payload))))
-            out.append(_stored(payload))
-            size += len(out[-1])
+            index.append((current[-1][0], add(block(current))))
             current, estimate = [], 0
 
     n = 0
@@ -385,11 +441,9 @@ def table(rows: Iterable[tuple[bytes, int, int, bytes]], block_bytes: int = BLOC
     flush()
     if first is None:
         raise InvalidArgument("a table holds at least one row")
-    handles = []
-    for payload in (bloom_build(keys), block(index)):
-        handles.append(fixed64(size) + fixed64(len(payload)))
-        out.append(_stored(payload))
-        size += len(out[-1])
+    handles = [add(bloom_build(keys)), add(block(index))]
+    # The checksums of all blocks together.
+    out = [x for raw, c in zip(blocks, crc32c_many(blocks).tolist(), strict=True) for x in (raw, fixed32(c))]
     out.append(TABLE_MAGIC + fixed32(TABLE_VERSION) + fixed32(0) + b"".join(handles))
     return b"".join(out), TableMeta(0, size + TABLE_FOOTER, first, last, n)
 
@@ -417,20 +471,26 @@ class TableFile:
                 key, seq, op = parse_internal_key(ik)
                 yield key, seq, op, value
 
+    def _from(self, target: tuple[bytes, int]) -> Iterator[tuple[bytes, int, int, bytes]]:
+        """Rows from an internal key on: binary searches in the index and in one block, then blocks as they are needed."""
+        at = bisect_left(self.index, target, key=lambda x: internal_order(x[0]))
+        for i, (_, (offset, size)) in enumerate(self.index[at:]):
+            raw = _load(self.raw, offset, size, self.verify)
+            for ik, value in block_entries(raw) if i else block_seek(raw, target):
+                yield (*parse_internal_key(ik), value)
+
+    def seek(self, key: bytes, seq: int = MAX_SEQUENCE) -> Iterator[tuple[bytes, int, int, bytes]]:
+        """Rows in internal order from the first version of ``key`` up to ``seq``, or of the next key there is."""
+        return self._from((bytes(key), -(seq << 8 | PUT)))
+
     def get(self, key: bytes, seq: int = MAX_SEQUENCE) -> tuple[str, bytes | None]:
         """('absent' | 'value' | 'deleted', value) of the newest version up to ``seq``."""
         if not bloom_may_contain([key], self.filter)[0]:
             return "absent", None
-        target = (key, -(seq << 8 | PUT))
-        for last, (offset, size) in self.index:
-            if internal_order(last) < target:
-                continue
-            for ik, value in block_entries(_load(self.raw, offset, size, self.verify)):
-                if internal_order(ik) >= target:
-                    found, _, op = parse_internal_key(ik)
-                    if found != key:
-                        return "absent", None
-                    return ("value", value) if op == PUT else ("deleted", None)
+        for found, _, op, value in self.seek(key, seq):
+            if found != key:
+                break
+            return ("value", value) if op == PUT else ("deleted", None)
         return "absent", None
 
 

@@ -33,3 +33,33 @@ def prefix_end(prefix: bytes) -> bytes | None:
 def in_range(key: Column, start: Column, end: Column) -> Column:
     """start <= key < end over unsigned bytes, an empty end being unbounded."""
     return (key >= start) & ((F.length(end) == 0) | (key < end))
+
+
+def index_key(idx: Column) -> Column:
+    """A log index as 8 big-endian bytes, so that byte order is number order."""
+    return F.unhex(F.lpad(F.hex(idx.cast("bigint")), 16, "0"))
+
+
+def index_of_key(raw: Column) -> Column:
+    """The log index of 8 big-endian bytes; NULL for other lengths."""
+    return F.when(F.length(raw) == 8, F.conv(F.hex(raw), 16, 10).cast("bigint"))
+
+
+def bound_text(bound: Column, end: bool = False) -> Column:
+    """A region bound for people: hexadecimal, '-inf' and '+inf' where it is open."""
+    return F.when(F.length(bound) == 0, F.lit("+inf" if end else "-inf")).otherwise(F.hex(bound))
+
+
+def physical_prefix(region_id: Column, cf: Column) -> Column:
+    """What all keys of a region and family begin with in a flat key space."""
+    return F.concat(F.lit("data/"), region_id.cast("string"), F.lit("/"), cf, F.lit("/")).cast("binary")
+
+
+def physical_key(region_id: Column, cf: Column, key: Column) -> Column:
+    return F.concat(physical_prefix(region_id, cf), key)
+
+
+def user_key(raw: Column, region_id: Column, cf: Column) -> Column:
+    """The user key of a physical one under the prefix of region and family; NULL if it lies elsewhere."""
+    prefix = physical_prefix(region_id, cf)
+    return F.when(F.substring(raw, F.lit(1), F.length(prefix)) == prefix, F.substring(raw, F.length(prefix) + 1, F.length(raw)))

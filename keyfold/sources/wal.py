@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .. import schema
 from ..functions import codec
+from ..session import qualified
 
 NAME = "keyfold_log"
 SCHEMA = "file bigint, offset bigint, batch_seq bigint, seq bigint, pos int, op tinyint, key binary, value binary"
@@ -20,9 +21,16 @@ _ARROW = pa.schema(
 
 
 def _filesystem(path: str):
+    """File system and path of a fully qualified folder (``session.qualified``), never a machine's own by default."""
     import pyarrow.fs as pafs
 
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+#: Operations in one batch of rows.
+ROWS = 10_000
+#: Bytes of records that a writer holds before it writes them.
+HELD = 4 << 20
 
 
 class _File(InputPartition):
@@ -51,17 +59,24 @@ class LogReader(DataSourceReader):
         if not partition.path:
             return
         fs, _ = _filesystem(self.path)
+        columns: list[list] = [[] for _ in _ARROW]
+
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types, strict=True)], schema=_ARROW)
+            for c in columns:
+                c.clear()
+            return out
+
         with fs.open_input_stream(partition.path) as f:
-            raw = f.read()
-        rows: list[tuple] = []
-        for offset, payload in codec.log_records(raw):
-            ops = codec.parse_write_batch(payload)
-            rows += [(partition.number, offset, ops[0][0], seq, i, op, key, value) for i, (seq, op, key, value) in enumerate(ops)]
-            if len(rows) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+            for offset, payload in codec.log_stream(f.read):
+                seq, op, key, value = zip(*codec.parse_write_batch(payload), strict=True)
+                n = len(seq)
+                for c, v in zip(columns, ([partition.number] * n, [offset] * n, [seq[0]] * n, seq, range(n), op, key, value), strict=True):
+                    c.extend(v)
+                if len(columns[0]) >= ROWS:
+                    yield batch()
+        if columns[0]:
+            yield batch()
 
 
 class _Wrote(WriterCommitMessage):
@@ -83,19 +98,30 @@ class LogWriter(DataSourceArrowWriter):
         number = self.first + part
         target = f"{root}/{codec.file_name(number, 'log')}.{TaskContext.get().taskAttemptId()}.part"
         fs.create_dir(root, recursive=True)
-        seq, ops, records = None, [], 0
+        seq, ops, records, held, size = None, [], 0, [], 0
+
+        def send():
+            nonlocal size
+            out.write(codec.log_records_of(held))
+            held.clear()
+            size = 0
+
         with fs.open_output_stream(target) as out:
             for batch in iterator:
                 cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("batch_seq", "op", "key", "value")]
                 for s, op, key, value in zip(*cols, strict=True):
                     if seq is not None and s != seq:
-                        out.write(codec.log_record(codec.write_batch(seq, ops)))
-                        ops, records = [], records + 1
+                        held.append(codec.write_batch(seq, ops))
+                        ops, records, size = [], records + 1, size + len(held[-1])
+                        if size >= HELD:
+                            send()
                     seq = s
                     ops.append((op, key, value))
             if ops:
-                out.write(codec.log_record(codec.write_batch(seq, ops)))
+                held.append(codec.write_batch(seq, ops))
                 records += 1
+            if held:
+                send()
         if not records:
             fs.delete_file(target)
         return _Wrote(target if records else None)
@@ -140,7 +166,9 @@ def _register(spark: SparkSession) -> None:
 
     from pyspark import cloudpickle
 
-    modules = [sys.modules[__name__], codec, schema]
+    from .. import session
+
+    modules = [sys.modules[__name__], codec, schema, session]
     for m in modules:
         cloudpickle.register_pickle_by_value(m)
     try:
@@ -153,7 +181,7 @@ def _register(spark: SparkSession) -> None:
 def read_log(spark: SparkSession, folder: str, oldest: int = 1) -> DataFrame:
     """Operations of all log files of a folder."""
     _register(spark)
-    return spark.read.format(NAME).option("oldest", str(oldest)).load(folder)
+    return spark.read.format(NAME).option("oldest", str(oldest)).load(qualified(spark, folder))
 
 
 def write_log(ops: DataFrame, folder: str, first: int = 1, files: int = 1) -> None:
@@ -162,7 +190,7 @@ def write_log(ops: DataFrame, folder: str, first: int = 1, files: int = 1) -> No
     rows = ops.select(F.lit(0).cast("bigint").alias("file"), F.lit(0).cast("bigint").alias("offset"), "batch_seq", (F.col("batch_seq") + F.col("pos")).alias("seq"),
                       F.col("pos").cast("int").alias("pos"), F.col("op").cast("tinyint").alias("op"), "key", "value")
     ordered = rows.repartitionByRange(files, "batch_seq").sortWithinPartitions("batch_seq", "pos")
-    ordered.write.format(NAME).option("first", str(first)).mode("append").save(folder)
+    ordered.write.format(NAME).option("first", str(first)).mode("append").save(qualified(ops.sparkSession, folder))
 
 
 def recover(spark: SparkSession, folder: str, after_seq: int = 0, oldest: int = 1) -> DataFrame:

@@ -185,3 +185,32 @@ def test_manifest_layouts_refused(levels):
     assert codec.Manifest(1, 1, levels).problem()
     with pytest.raises(InvalidArgument):
         codec.Manifest(1, 1, levels).encode()
+
+
+def test_seek_by_index_and_restarts():
+    rows_ = [(b"k%05d" % (i // 3), 100 - i % 3, i % 2, b"v%d" % i if i % 2 else b"") for i in range(3000)]
+    raw, _ = codec.table(rows_, 512)
+    t = codec.TableFile(raw, True)
+    assert list(t.rows()) == rows_
+    for key in (b"", b"k00000", b"k00500", b"k00500x", b"k00999", b"z"):
+        assert list(t.seek(key))[:4] == [r for r in rows_ if r[0] >= key][:4]
+    assert next(t.seek(b"k00007", 99)) == next(r for r in rows_ if r[0] == b"k00007" and r[1] <= 99)
+    for i in (0, 1, 998, 999):
+        newest = rows_[3 * i]
+        assert t.get(b"k%05d" % i) == (("value", newest[3]) if newest[2] else ("deleted", None))
+    assert t.get(b"k") == ("absent", None) and t.get(b"k00000", 1) == ("absent", None)
+
+
+def test_log_in_pieces():
+    payloads = [bytes([i % 251]) * (i * 37 % 900 + 1) for i in range(200)]
+    raw = codec.log_records_of(payloads)
+    assert raw == b"".join(map(codec.log_record, payloads))
+    import io
+
+    for piece in (7, 100, 1 << 20):
+        assert list(codec.log_stream(io.BytesIO(raw).read, piece)) == list(codec.log_records(raw))
+        assert len(list(codec.log_stream(io.BytesIO(raw[:-3]).read, piece))) == len(payloads) - 1
+        broken = bytearray(raw)
+        broken[len(raw) // 2] ^= 1
+        with pytest.raises(Corruption):
+            list(codec.log_stream(io.BytesIO(bytes(broken)).read, piece))
