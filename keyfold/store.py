@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import weakref
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .operators import levels, merge, mvcc
 from .operators import regions as region_ops
-from .schema import DELETE, LEVELS, MUTATION, PUT, AlreadyExists, Corruption, InvalidArgument, NotFound, StorageIOError
-from .sources.commits import CommitLog, VersionConflict
+from .schema import DELETE, LEVELS, MUTATION, PUT, AlreadyExists, Busy, Corruption, InvalidArgument, NotFound, StorageIOError
+from .sources.commits import CommitLog, Leases, VersionConflict
 
 KEYS = ["region_id", "cf", "key"]
 #: What a batch of rows must have.
@@ -22,7 +23,7 @@ OPS = ["region_id", "cf", "key", "op", "value"]
 
 @dataclass(frozen=True, eq=False)
 class Snapshot:
-    """A pinned sequence of one store; it is live as long as someone holds it."""
+    """A pinned sequence of one store; it is live as long as someone holds it, in whatever process."""
 
     store: str
     seq: int
@@ -49,29 +50,124 @@ class WriteBatch:
         return len(self.ops)
 
 
-class Store:
+class Reads:
+    """The reading side of a store, over ``_files_of`` (versions that may hold a range of keys) and ``versions``."""
+
+    id: str
+    #: What identifies a version, and what orders versions of equal sequence: a store numbers all of them.
+    _unique, _ties = ("seq",), ()
+
+    def versions(self) -> DataFrame:
+        """All versions."""
+        raise NotImplementedError
+
+    @property
+    def last_sequence(self) -> int:
+        raise NotImplementedError
+
+    def _of(self, region_id: int, cf: str | None, start: bytes = b"", end: bytes | None = None) -> DataFrame:
+        return self.versions().filter((F.col("region_id") == region_id) & F.col("cf").eqNullSafe(F.lit(cf)))
+
+    def snapshot(self) -> Snapshot:
+        """Pin the current sequence."""
+        return Snapshot(self.id, self.last_sequence)
+
+    def _as_of(self, snapshot: Snapshot | int | None) -> int | None:
+        if isinstance(snapshot, Snapshot):
+            if snapshot.store != self.id:
+                raise InvalidArgument("the snapshot belongs to another store")
+            return snapshot.seq
+        return snapshot
+
+    def view(self, snapshot: Snapshot | int | None = None) -> DataFrame:
+        """Visible pairs (region_id, cf, key, seq, op, value)."""
+        return mvcc.latest(self.versions(), KEYS, "seq", F.col("op") == DELETE, self._as_of(snapshot), self._ties, self._unique)
+
+    def get(self, region_id: int, cf: str, key: bytes, snapshot: Snapshot | int | None = None) -> bytes | None:
+        """The value, or None for an absent or deleted key (an empty value is b'')."""
+        row = mvcc.get(self._of(region_id, cf, key, key), KEYS, (region_id, cf, bytearray(key)), "seq", F.col("op") == DELETE, self._as_of(snapshot), ["op"]).first()
+        return None if row is None else bytes(row.value)
+
+    def multi_get(self, keys: DataFrame, snapshot: Snapshot | int | None = None) -> DataFrame:
+        """Asked (region_id, cf, key) rows with their value, NULL where absent."""
+        return mvcc.multi_get(self.versions(), keys, KEYS, ["value"], "seq", F.col("op") == DELETE, self._as_of(snapshot), self._ties, self._unique)
+
+    def scan(self, region_id: int, cf: str, start: bytes = b"", limit: int = 0, snapshot: Snapshot | int | None = None) -> DataFrame:
+        """(key, value) of one region and family in key order from an inclusive start."""
+        if limit < 0:
+            raise InvalidArgument("limit must not be negative")
+        rows = mvcc.scan(self._of(region_id, cf, start), KEYS, "seq", F.col("op") == DELETE, bytearray(start), limit, self._as_of(snapshot), self._ties, self._unique)
+        return rows.select("key", "value")
+
+    def region_snapshot(self, region_id: int, snapshot: Snapshot | int | None = None) -> DataFrame:
+        return region_ops.snapshot_create(self.view(snapshot), region_id)
+
+    def put(self, region_id: int, cf: str, key: bytes, value: bytes) -> int:
+        return self.write(WriteBatch().put(region_id, cf, key, value))
+
+    def delete(self, region_id: int, cf: str, key: bytes) -> int:
+        return self.write(WriteBatch().delete(region_id, cf, key))
+
+    def apply_region_snapshot(self, region_id: int, pairs: DataFrame) -> int:
+        """Replace all pairs of a region by (cf, key, value) rows in one commit."""
+        current = self.view().select("region_id", "cf", "key")
+        rows = region_ops.snapshot_mutations(current, pairs, region_id, 0)
+        return self.write(rows.drop("seq"), ["op", "cf", "key"])
+
+    def write(self, batch: WriteBatch | DataFrame, order_by: list[str] | None = None) -> int:
+        raise NotImplementedError
+
+    def _numbered(self, batch: WriteBatch | DataFrame, order_by: list[str] | None, last: int) -> DataFrame | None:
+        """Mutations of a batch with their sequences after ``last``; None for an empty batch of operations."""
+        if isinstance(batch, WriteBatch):
+            rows = [(*op[:3], i + 1 + last, op[3], op[4]) for i, op in enumerate(batch.ops)]
+            return self.spark.createDataFrame(rows, MUTATION) if rows else None
+        if not order_by:
+            raise InvalidArgument("a table of operations needs an order")
+        kept = list(dict.fromkeys([*OPS, *order_by]))
+        numbered = merge.running_number(batch.select(*kept), order_by, first=last + 1)
+        bad = numbered.filter(~F.coalesce(F.col("op").isin(PUT, DELETE), F.lit(False)) | F.col("key").isNull() | F.col("region_id").isNull())
+        if not bad.limit(1).isEmpty():
+            raise InvalidArgument("an operation is unknown or has no key or region")
+        return numbered.select(*(F.col(f.name).cast(f.dataType) for f in MUTATION))
+
+
+#: Bytes of rows that a data file is cut at, about; versions from one full list of files to the next.
+FILE_BYTES = 128 << 20
+FULL_EVERY = 16
+#: Seconds that a snapshot or a writer's lock lives without being renewed.
+SNAPSHOT_SECONDS, LOCK_SECONDS = 86_400.0, 600.0
+
+
+class Store(Reads):
     """Sorted Parquet files in three levels, and a log of numbered manifests.
 
-    A manifest has an entry per file with its range of keys, so that reads and
+    A manifest says which files a version adds and removes, every sixteenth one
+    lists all; each file has an entry with its range of keys, so that reads and
     compactions touch overlapping files only.
 
     A write appends files to level 0 and commits a manifest that names them; a
     reader works on the immutable files of one manifest up to one sequence. A
     failed job commits nothing. There is one writer at a time: of two that
-    commit the same version one fails. ``region_id`` and ``cf`` are columns, so no
+    commit the same version one fails, and ``lock`` keeps others out from the start.
+    Snapshots are leases in a folder of the store, so compactions and
+    clean-ups of any process heed them. ``region_id`` and ``cf`` are columns, so no
     key of one family is ever taken for another's.
     """
 
-    def __init__(self, spark: SparkSession, path: str, mode: str = "either"):
-        """``mode``: 'create' a new store, 'open' one that is there, or 'either'."""
+    def __init__(self, spark: SparkSession, path: str, mode: str = "either", lock: bool = False, file_bytes: int = FILE_BYTES):
+        """``mode``: 'create' a new store, 'open' one that is there, or 'either'. ``lock``: raise Busy if another holds it."""
         if mode not in ("create", "open", "either"):
             raise InvalidArgument(f"no such mode: {mode}")
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.file_bytes = spark, path.rstrip("/"), file_bytes
         if not self.path:
             raise InvalidArgument("a store needs a path")
         self.log = CommitLog(spark, self.path)
+        self.snapshots, self.locks = Leases(spark, f"{self.path}/_snapshots"), Leases(spark, f"{self.path}/_lock")
         self._failed: Exception | None = None
-        self._live: weakref.WeakSet = weakref.WeakSet()
+        self._closed = False
+        self._held: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
+        self._full: tuple[int, dict[str, dict]] | None = None
         there = self.log.current() > 0
         if mode == "create" and there:
             raise AlreadyExists(self.path)
@@ -80,18 +176,53 @@ class Store:
         if not there:
             if self._listed():
                 raise Corruption("there are files but no manifest")
-            self.log.commit(1, {"id": str(spark._jvm.java.util.UUID.randomUUID()), "last_seq": 0, "next_file": 1, "files": [], "applied": {}})
-        self.id = self.manifest["id"]
-        self._verify()
+            self.log.commit(1, {"id": str(uuid.uuid4()), "last_seq": 0, "next_file": 1, "files": [], "applied": {}}, sync=True)
+        self.id = self.log.read(self.log.current())["id"]
+        self.locked = lock
+        if lock and not self.locks.take("writer", {"store": self.id}, LOCK_SECONDS, overwrite=False):
+            raise Busy(f"another writer holds {self.path}")
+        try:
+            self._verify()
+        except Corruption:
+            self.close()
+            raise
 
     # -- files ------------------------------------------------------------------
+    def _manifest(self, version: int) -> dict:
+        """The manifest of a version with its whole list of ``files``."""
+        out = self.log.read(version)
+        if "files" in out:
+            files = {f["name"]: f for f in out["files"]}
+        else:
+            steps, at = [out], version - 1
+            while not (self._full and self._full[0] == at) and "files" not in (m := self.log.read(at)):
+                steps.append(m)
+                at -= 1
+            files = dict(self._full[1]) if self._full and self._full[0] == at else {f["name"]: f for f in m["files"]}
+            for m in reversed(steps):
+                for n in m["removed"]:
+                    files.pop(n, None)
+                files |= {f["name"]: f for f in m["added"]}
+        if self._full is None or self._full[0] <= version:
+            self._full = (version, files)
+        return out | {"files": list(files.values())}
+
     @property
     def manifest(self) -> dict:
-        return self.log.read(self.log.current())
+        return self._manifest(self.log.current())
 
     @property
     def last_sequence(self) -> int:
-        return self.manifest["last_seq"]
+        return self.log.read(self.log.current())["last_seq"]
+
+    def close(self) -> None:
+        """Give the lock and the snapshots back; nothing can be written after that. A job that runs ends by itself."""
+        self._closed = True
+        for name in list(self._held):
+            self.snapshots.release(name)
+        if self.locked:
+            self.locks.release("writer")
+            self.locked = False
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
@@ -123,13 +254,18 @@ class Store:
         return self.spark.read.schema(MUTATION).parquet(*paths)
 
     def _write_files(self, rows: DataFrame, number: int, level: int) -> list[dict]:
-        """Sorted Parquet files with a Bloom filter on the key, and what the manifest tells of each.
+        """Sorted Parquet files of about ``file_bytes`` with a Bloom filter on the key, and what the manifest tells of each.
 
-        Rows are range-partitioned by key, so files of one write share no key.
+        Rows are range-partitioned by key. In level 0, where files may share keys, the
+        sequence takes part, so that a key with most of the writes is cut too;
+        below it a file ends between keys only, as its readers expect.
         """
         folder = f"{number:06d}.sst"
+        size = F.length("key") + F.coalesce(F.length("value"), F.lit(0)) + F.length(F.coalesce("cf", F.lit(""))) + 24
+        files = max(1, -(-(rows.agg(F.sum(size)).first()[0] or 0) // self.file_bytes))
+        cut = [*KEYS, F.col("seq").desc()] if level == 0 else KEYS
         (
-            rows.select(*MUTATION.fieldNames()).repartitionByRange(*KEYS)
+            rows.select(*MUTATION.fieldNames()).repartitionByRange(files, *cut)
             .sortWithinPartitions(*KEYS, F.col("seq").desc())
             .write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/data/{folder}")
         )
@@ -142,11 +278,20 @@ class Store:
             key=lambda f: f["smallest"],
         )
 
-    def _commit(self, version: int, manifest: dict) -> None:
+    def _commit(self, version: int, manifest: dict, added: list[dict], removed: set[str], sync: bool = False) -> None:
+        """Commit what a version changes, or all files each ``FULL_EVERY`` versions."""
+        head = {k: v for k, v in manifest.items() if k not in ("files", "added", "removed")}
+        files = [f for f in manifest["files"] if f["name"] not in removed] + added
+        body = {"files": files} if version % FULL_EVERY == 0 else {"added": added, "removed": sorted(removed)}
+        if self._closed:
+            raise StorageIOError("the store is closed")
+        if self.locked:
+            self.locks.take("writer", {"store": self.id}, LOCK_SECONDS)
         try:
-            self.log.commit(version, manifest)
+            self.log.commit(version, head | body, sync)
         except VersionConflict as e:
             raise StorageIOError(f"another writer committed to {self.path}") from e
+        self._full = (version, {f["name"]: f for f in files})
 
     def _guarded(self, work):
         """Run a maintenance job; its first failure stops all later writes."""
@@ -159,76 +304,56 @@ class Store:
             raise
 
     # -- writes -------------------------------------------------------------------
-    def write(self, batch: WriteBatch | DataFrame, order_by: list[str] | None = None, txn: tuple[str, int] | None = None) -> int:
+    def write(self, batch: WriteBatch | DataFrame, order_by: list[str] | None = None, txn: tuple[str, int] | None = None, sync: bool = False) -> int:
         """Write a batch atomically; its i-th operation gets the sequence after the i-1-th. Returns the last sequence.
 
         A table has columns region_id, cf, key, op, value, in the order of
         ``order_by``. ``txn`` (name, number) makes a repeated write of a number up to
-        the last one a no-op. An empty batch changes nothing.
+        the last one a no-op. ``sync`` forces the commit to disk before it counts.
+        An empty batch changes nothing.
         """
         if self._failed:
             raise StorageIOError("an earlier job failed") from self._failed
+        if self._closed:
+            raise StorageIOError("the store is closed")
         version = self.log.current()
-        m = self.log.read(version)
+        m = self._manifest(version)
         if txn and m["applied"].get(txn[0], -1) >= txn[1]:
             return m["last_seq"]
-        if isinstance(batch, WriteBatch):
-            rows = [(*op[:3], i + 1 + m["last_seq"], op[3], op[4]) for i, op in enumerate(batch.ops)]
-            numbered = self.spark.createDataFrame(rows, MUTATION) if rows else None
-        else:
-            if not order_by:
-                raise InvalidArgument("a table of operations needs an order")
-            kept = list(dict.fromkeys([*OPS, *order_by]))
-            numbered = merge.running_number(batch.select(*kept), order_by, first=m["last_seq"] + 1)
-            bad = numbered.filter(~F.coalesce(F.col("op").isin(PUT, DELETE), F.lit(False)) | F.col("key").isNull() | F.col("region_id").isNull())
-            if not bad.limit(1).isEmpty():
-                raise InvalidArgument("an operation is unknown or has no key or region")
-            numbered = numbered.select(*(F.col(f.name).cast(f.dataType) for f in MUTATION))
+        numbered = self._numbered(batch, order_by, m["last_seq"])
         if numbered is None:
             return m["last_seq"]
         new = self._write_files(numbered, m["next_file"], 0)
         m["next_file"] += 1
-        m["files"] += new
         m["last_seq"] = max([m["last_seq"], *(f["high"] for f in new)])
         if txn:
             m["applied"][txn[0]] = txn[1]
-        self._commit(version + 1, m)
+        self._commit(version + 1, m, new, set(), sync)
         return m["last_seq"]
 
-    def put(self, region_id: int, cf: str, key: bytes, value: bytes) -> int:
-        return self.write(WriteBatch().put(region_id, cf, key, value))
-
-    def delete(self, region_id: int, cf: str, key: bytes) -> int:
-        return self.write(WriteBatch().delete(region_id, cf, key))
-
     def apply_region_snapshot(self, region_id: int, pairs: DataFrame) -> int:
-        """Replace all pairs of a region by (cf, key, value) rows in one commit."""
+        """Replace all pairs of a region by (cf, key, value) rows in one commit that is forced to disk."""
         current = self.view().select("region_id", "cf", "key")
         rows = region_ops.snapshot_mutations(current, pairs, region_id, 0)
-        return self.write(rows.drop("seq"), ["op", "cf", "key"])
+        return self.write(rows.drop("seq"), ["op", "cf", "key"], sync=True)
 
     # -- reads ----------------------------------------------------------------------
-    def snapshot(self) -> Snapshot:
-        """Pin the current sequence; compactions keep what it sees while it is referenced."""
-        s = Snapshot(self.id, self.last_sequence)
-        self._live.add(s)
-        return s
+    def snapshot(self, seconds: float = SNAPSHOT_SECONDS) -> Snapshot:
+        """Pin the current sequence; compactions and clean-ups of any process keep what it sees.
 
-    def _as_of(self, snapshot: Snapshot | int | None) -> int | None:
-        if isinstance(snapshot, Snapshot):
-            if snapshot.store != self.id:
-                raise InvalidArgument("the snapshot belongs to another store")
-            return snapshot.seq
-        return snapshot
+        It lives while it is referenced, and ``seconds`` at most if its process is lost.
+        """
+        version = self.log.current()
+        s, name = Snapshot(self.id, self.log.read(version)["last_seq"]), uuid.uuid4().hex
+        self.snapshots.take(name, {"seq": s.seq, "version": version}, seconds)
+        self._held[name] = s
+        weakref.finalize(s, _released, self.snapshots, name)
+        return s
 
     def versions(self) -> DataFrame:
         """All versions of the current manifest."""
         return self._rows(self.manifest["files"])
 
-    def view(self, snapshot: Snapshot | int | None = None) -> DataFrame:
-        """Visible pairs (region_id, cf, key, seq, op, value)."""
-        return mvcc.latest(self.versions(), KEYS, "seq", F.col("op") == DELETE, self._as_of(snapshot), ["op"])
-
     def _of(self, region_id: int, cf: str | None, start: bytes = b"", end: bytes | None = None) -> DataFrame:
         """Versions of one region and family from the files whose range may hold keys from start to end (inclusive)."""
         low, high = _bound((region_id, cf, start)), None if end is None else _bound((region_id, cf, end))
@@ -239,28 +364,10 @@ class Store:
         ]
         return self._rows(files).filter((F.col("region_id") == region_id) & F.col("cf").eqNullSafe(F.lit(cf)))
 
-    def get(self, region_id: int, cf: str, key: bytes, snapshot: Snapshot | int | None = None) -> bytes | None:
-        """The value, or None for an absent or deleted key (an empty value is b'')."""
-        row = mvcc.get(self._of(region_id, cf, key, key), KEYS, (region_id, cf, bytearray(key)), "seq", F.col("op") == DELETE, self._as_of(snapshot), ["op"]).first()
-        return None if row is None else bytes(row.value)
-
-    def multi_get(self, keys: DataFrame, snapshot: Snapshot | int | None = None) -> DataFrame:
-        """Asked (region_id, cf, key) rows with their value, NULL where absent."""
-        return mvcc.multi_get(self.versions(), keys, KEYS, ["value"], "seq", F.col("op") == DELETE, self._as_of(snapshot), ["op"])
-
-    def scan(self, region_id: int, cf: str, start: bytes = b"", limit: int = 0, snapshot: Snapshot | int | None = None) -> DataFrame:
-        """(key, value) of one region and family in key order from an inclusive start."""
-        if limit < 0:
-            raise InvalidArgument("limit must not be negative")
-        rows = mvcc.scan(self._of(region_id, cf, start), KEYS, "seq", F.col("op") == DELETE, bytearray(start), limit, self._as_of(snapshot), ["op"])
-        return rows.select("key", "value")
-
-    def region_snapshot(self, region_id: int, snapshot: Snapshot | int | None = None) -> DataFrame:
-        return region_ops.snapshot_create(self.view(snapshot), region_id)
-
     # -- maintenance ------------------------------------------------------------------
     def oldest_snapshot(self) -> int:
-        return min((s.seq for s in self._live), default=self.last_sequence)
+        """The least sequence of all live snapshots, else the last one."""
+        return min((s["seq"] for s in self.snapshots.live().values()), default=self.last_sequence)
 
     def _pick(self, files: list[dict], force: bool, l0_files: int, l1_bytes: int) -> tuple[int, list[dict], list[dict]] | None:
         """(level, its inputs, files of the next level that they overlap), or None if nothing is due."""
@@ -286,7 +393,7 @@ class Store:
 
         def work() -> int | None:
             version = self.log.current()
-            m = self.log.read(version)
+            m = self._manifest(version)
             picked = self._pick(m["files"], force, l0_files, l1_bytes)
             if picked is None:
                 return None
@@ -300,17 +407,16 @@ class Store:
             kept = levels.drop_base_tombstones(kept, deeper, KEYS, deleted & (F.col("seq") <= oldest))
             new = self._write_files(kept, m["next_file"], level + 1)
             m["next_file"] += 1
-            gone = {f["name"] for f in inputs + overlap}
-            m["files"] = [f for f in m["files"] if f["name"] not in gone] + new
-            self._commit(version + 1, m)
+            self._commit(version + 1, m, new, {f["name"] for f in inputs + overlap}, sync=True)
             return level
 
         return self._guarded(work)
 
     def clean(self, keep_versions: int = 1) -> list[str]:
-        """Delete data files that none of the newest ``keep_versions`` manifests names; returns their names."""
+        """Delete data files that none of the newest ``keep_versions`` manifests names, nor one that a live snapshot reads; returns their names."""
         versions = self.log.versions()[-max(1, keep_versions) :]
-        needed = {f["name"] for v in versions for f in self.log.read(v)["files"]}
+        read = {s["version"] for s in self.snapshots.live().values()}
+        needed = {f["name"] for v in {*versions, *read} for f in self._manifest(v)["files"]}
         gone = sorted(n for n in self._listed() if n not in needed)
         _, fs = self._fs()
         for n in gone:
@@ -318,20 +424,45 @@ class Store:
         return gone
 
 
+def _released(leases: Leases, name: str) -> None:
+    try:
+        leases.release(name)
+    except Exception:  # the session is gone; the lease expires
+        pass
+
+
 def _bound(key) -> list:
     """A key (region, family, bytes) as a JSON list that sorts like the rows: NULL family first, bytes as hexadecimal."""
     region_id, cf, raw = key
     return [region_id, cf is not None, cf or "", bytes(raw).hex()]
 
 
-class MemoryStore:
-    """The reading side of ``Store`` over any table of mutations, nothing being written."""
+class MemoryStore(Reads):
+    """The same store over tables of mutations that are not kept: for tests and small states.
 
-    def __init__(self, mutations: DataFrame):
-        self.rows = mutations
+    Writes have the semantics of ``Store``: batches are atomic and numbered, a
+    snapshot is a sequence. ``mutations`` may hold versions to begin with.
+    """
+
+    _unique, _ties = (*KEYS, "seq", "op"), ("op",)
+
+    def __init__(self, spark: SparkSession, mutations: DataFrame | None = None):
+        self.spark, self.id = spark, str(uuid.uuid4())
+        self._parts = [] if mutations is None else [mutations.select(*MUTATION.fieldNames())]
+        self._last = 0 if mutations is None else mutations.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
 
-    def view(self, as_of: int | None = None) -> DataFrame:
-        return mvcc.latest(self.rows, KEYS, "seq", F.col("op") == DELETE, as_of, ["op"])
+    @property
+    def last_sequence(self) -> int:
+        return self._last
 
-    def with_batch(self, mutations: DataFrame) -> MemoryStore:
-        return MemoryStore(reduce(DataFrame.unionByName, [self.rows, mutations.select(self.rows.columns)]))
+    def versions(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self._parts) if self._parts else self.spark.createDataFrame([], MUTATION)
+
+    def write(self, batch: WriteBatch | DataFrame, order_by: list[str] | None = None) -> int:
+        numbered = self._numbered(batch, order_by, self._last)
+        if numbered is not None:
+            last = numbered.agg(F.max("seq")).first()[0]
+            if last is not None:
+                self._parts.append(numbered)
+                self._last = last
+        return self._last

@@ -5,9 +5,9 @@ import random
 import pytest
 
 from keyfold.operators import levels
-from keyfold.schema import AlreadyExists, Corruption, InvalidArgument, NotFound, StorageIOError
+from keyfold.schema import AlreadyExists, Busy, Corruption, InvalidArgument, NotFound, StorageIOError
 from keyfold.session import shared_path
-from keyfold.store import Store, WriteBatch
+from keyfold.store import MemoryStore, Store, WriteBatch
 
 from .conftest import rows
 
@@ -159,3 +159,84 @@ def test_only_overlapping_files_are_read_and_rewritten(spark, store):
     while store.compact(force=True) is not None:
         pass
     assert rows(store.versions(), "region_id", "key") == [(1, b"b"), (1, b"x"), (2, b"a")]
+
+
+def test_snapshots_of_other_processes(spark, store):
+    """A lease protects versions and files from a compaction by someone who knows nothing of it."""
+    store.put(1, "c", b"k", b"1")
+    snap = store.snapshot()
+    store.put(1, "c", b"k", b"2")
+    other = Store(spark, store.path, "open")
+    assert other.oldest_snapshot() == 1
+    other.compact(force=True)
+    assert store.get(1, "c", b"k", snap) == b"1"
+    assert len(other.clean()) == 1  # the file of the second put; that of the first belongs to the lease
+    expired = store.snapshot(seconds=-1)
+    assert other.oldest_snapshot() == 1 and expired.seq == 2
+    del snap
+    assert other.oldest_snapshot() == 2
+    other.compact(force=True)
+    assert len(other.clean()) == 2 and store.get(1, "c", b"k") == b"2"
+
+
+def test_lock_and_close(spark):
+    path = shared_path(spark, "store")
+    first = Store(spark, path, "create", lock=True)
+    with pytest.raises(Busy):
+        Store(spark, path, "open", lock=True)
+    first.put(1, "c", b"k", b"v")
+    held = first.snapshot()
+    first.close()
+    with pytest.raises(StorageIOError):
+        first.put(1, "c", b"k", b"w")
+    second = Store(spark, path, "open", lock=True)
+    assert second.get(1, "c", b"k") == b"v" and second.snapshots.live() == {} and held.seq == 1
+    second.close()
+
+
+def test_hot_key_is_cut_in_level_0_only(spark):
+    store = Store(spark, shared_path(spark, "store"), "create", file_bytes=2000)
+    df = spark.range(400).selectExpr("1L AS region_id", "'c' AS cf", "CASE WHEN id % 4 = 0 THEN CAST('hot' AS BINARY) ELSE CAST(printf('k%03d', id) AS BINARY) END AS key", "1 AS op", "CAST(repeat('v', 20) AS BINARY) AS value", "id AS n")
+    store.write(df, ["n"])
+    files = store.manifest["files"]
+    hot = [f for f in files if f["smallest"][3] <= b"hot".hex() <= f["largest"][3]]
+    assert len(files) >= 8 and len(hot) >= 2 and sum(f["rows"] for f in files) == 400
+    snap = store.snapshot()
+    store.compact(force=True)
+    files = sorted(store.manifest["files"], key=lambda f: f["smallest"])
+    assert len(files) >= 4 and all(a["largest"] < b["smallest"] for a, b in zip(files, files[1:], strict=False))
+    assert store.view(snap).count() == 301
+
+
+def test_manifests_as_deltas(spark, monkeypatch):
+    from keyfold import store as module
+
+    monkeypatch.setattr(module, "FULL_EVERY", 4)
+    store = Store(spark, shared_path(spark, "store"), "create")
+    for i in range(6):
+        store.put(1, "c", b"%d" % i, b"v")
+    store.compact()
+    store.put(1, "c", b"9", b"v")
+    assert [("files" in store.log.read(v)) for v in store.log.versions()] == [True, False, False, True, False, False, False, True, False]
+    again = Store(spark, store.path)
+    assert {f["name"] for f in again.manifest["files"]} == {f["name"] for f in store.manifest["files"]} and len(again.manifest["files"]) == 2
+    assert again.view().count() == 7
+    assert len(again._manifest(3)["files"]) == 2 and len(again._manifest(7)["files"]) == 6
+
+
+def test_memory_store_agrees(spark, store):
+    rng, memory = random.Random(8), MemoryStore(spark)
+    for _ in range(4):
+        b = WriteBatch()
+        for _ in range(15):
+            k = b"%02d" % rng.randint(0, 12)
+            b.delete(1, "c", k) if rng.random() < 0.3 else b.put(1, "c", k, b"%d" % rng.randint(0, 99))
+        assert store.write(b) == memory.write(b)
+    assert memory.write(WriteBatch()) == 60
+    assert rows(memory.view()) == rows(store.view()) and rows(memory.view(20)) == rows(store.view(20))
+    assert rows(memory.scan(1, "c", b"05", 3)) == rows(store.scan(1, "c", b"05", 3))
+    assert [memory.get(1, "c", b"%02d" % i) for i in range(13)] == [store.get(1, "c", b"%02d" % i) for i in range(13)]
+    with pytest.raises(InvalidArgument):
+        memory.get(1, "c", b"x", store.snapshot())
+    memory.apply_region_snapshot(1, spark.createDataFrame([("c", bytearray(b"only"), bytearray(b"1"))], "cf string, key binary, value binary"))
+    assert rows(memory.scan(1, "c")) == [(b"only", b"1")] and MemoryStore(spark, memory.versions()).last_sequence == memory.last_sequence
