@@ -204,11 +204,15 @@ def validate(manifest: DataFrame) -> None:
         raise Corruption("tables of a sorted level overlap or are out of order")
 
 
+def wrong_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """Tables of the manifest (number, file_size) that are not listed, or with another size ``actual``."""
+    found = files.select("number", F.col("file_size").alias("actual"))
+    return manifest.select("number", "file_size").join(found, "number", "left").filter(~F.col("actual").eqNullSafe(F.col("file_size")))
+
+
 def check_files(manifest: DataFrame, files: DataFrame) -> None:
     """Raise Corruption unless every table of the manifest is listed (number, file_size) with its recorded size."""
-    found = files.select("number", F.col("file_size").alias("__actual"))
-    wrong = manifest.join(found, "number", "left").filter(~F.col("__actual").eqNullSafe(F.col("file_size")))
-    if not wrong.limit(1).isEmpty():
+    if not wrong_files(manifest, files).limit(1).isEmpty():
         raise Corruption("a table file is missing or has another size")
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import InvalidArgument
 from . import merge, mvcc, skew
 
 SNAPSHOT_EVERY = 5
@@ -208,14 +209,25 @@ def send_choice(progress: DataFrame, firsts: DataFrame) -> DataFrame:
     return r.select("region_id", "peer", F.when(F.col("next_idx") <= F.col("first_idx"), "snapshot").otherwise("entries").alias("send"))
 
 
-def snapshot_triggers(applied: DataFrame, order_col: str, every: int = SNAPSHOT_EVERY) -> DataFrame:
-    """Applied entries after which a snapshot is due, with its number ``snap``: each ``every``-th."""
-    numbered = merge.running_number(applied, [order_col], name="__n")
+def snapshot_triggers(applied: DataFrame, order_col: str, every: int = SNAPSHOT_EVERY, group_col: str | None = None) -> DataFrame:
+    """Applied entries after which a snapshot is due, with its number ``snap``: each ``every``-th, of each group if one is named.
+
+    Numbers come from offsets of stored blocks, so neither all entries nor a
+    large group are one task's work.
+    """
+    if group_col is None:
+        numbered = merge.running_number(applied, [order_col], name="__n")
+    else:
+        kept = skew.number_rows(skew.ordered_blocks(applied.filter(F.col(group_col).isNotNull()), order_col), group_col, order_col)
+        numbered = kept.withColumn("__n", F.col("row_no") + 1).drop("row_no")
     return numbered.filter(F.col("__n") % every == 0).withColumn("snap", F.floor(F.col("__n") / every)).drop("__n")
 
 
 #: Election timeout: 15 ticks of 10 ms, fixed values.
-ELECTION_US = 15 * 10_000
+TICK_US = 10_000
+ELECTION_US = 15 * TICK_US
+#: A message that takes longer to its receiver is lost: a fixed value.
+SEND_US = 100_000
 
 _LEADER_SENDS = ("MsgApp", "MsgBeat", "MsgSnap")
 
@@ -232,10 +244,16 @@ def step_check(messages: DataFrame) -> DataFrame:
     return known.withColumn("step", F.when(F.col("to_node").isNotNull() & F.col("term").isNotNull(), step)).drop("__known")
 
 
-def election_timeouts(messages: DataFrame, timeout_us: int = ELECTION_US) -> DataFrame:
+def election_timeout_us(draw: Column) -> Column:
+    """A timeout of its own for each node and term: T and a share of T that ``draw``, a whole number, picks by the tick."""
+    return F.lit(ELECTION_US) + F.pmod(draw, F.lit(ELECTION_US // TICK_US)) * TICK_US
+
+
+def election_timeouts(messages: DataFrame, timeout_us: int | Column = ELECTION_US) -> DataFrame:
     """Messages of a leader that came longer than the timeout after the one before, with the pause.
 
-    At these points the receiver (``to_node``) had cause to campaign.
+    At these points the receiver (``to_node``) had cause to campaign. A timeout
+    may differ by ``region_id``, ``to_node`` and ``msg_no``.
     """
     heard = messages.filter(F.col("msg_type").isin(*_LEADER_SENDS) & F.col("to_node").isNotNull()).select(
         "msg_no", "region_id", "to_node", F.unix_micros(F.col("received_at").cast("timestamp")).alias("__at")
@@ -260,6 +278,81 @@ def roles(messages: DataFrame) -> DataFrame:
     return mvcc.newest(per_term, ["region_id", "node"], "term").select("region_id", "node", "term", role.alias("role"))
 
 
+def action(role: Column, msg_type: Column) -> Column:
+    """What a node in a role does with a message of the current term; 'ignore' for what is not for it."""
+    leads = role == "Leader"
+    return (
+        F.when(msg_type == "MsgVote", "vote")
+        .when(msg_type == "MsgHup", F.when(leads, "ignore").otherwise("campaign"))
+        .when(msg_type == "MsgPropose", F.when(leads, "append and send").otherwise("refuse"))
+        .when((msg_type == "MsgVoteResp") & (role == "Candidate"), "tally")
+        .when(leads & (msg_type == "MsgAppResp"), "progress").when(leads & (msg_type == "MsgBeatResp"), "confirm read").when(leads & (msg_type == "MsgSnapResp"), "progress")
+        .when(~leads & (msg_type == "MsgApp"), "append").when(~leads & (msg_type == "MsgBeat"), "follow").when(~leads & (msg_type == "MsgSnap"), "install")
+        .otherwise("ignore")
+    )
+
+
+def delivery(sent_at: Column, received_at: Column, to_node: Column, timeout_us: int = SEND_US) -> Column:
+    """What became of a sent message: 'delivered', 'late' beyond the timeout (its sender took it for lost), or 'no receiver'."""
+    took = F.unix_micros(received_at.cast("timestamp")) - F.unix_micros(sent_at.cast("timestamp"))
+    return F.when(to_node.isNull() | received_at.isNull(), "no receiver").when(took > timeout_us, "late").otherwise("delivered")
+
+
+def proposal_results(proposals: DataFrame, log: DataFrame, applied: DataFrame) -> DataFrame:
+    """Proposals (region_id, idx, term) with ``outcome`` once their index is applied.
+
+    'done' if the entry that holds there is the proposed one, 'superseded' if its
+    term is another, 'waiting' as long as the region's ``applied`` index is lower.
+    """
+    held = log.select("region_id", "idx", F.col("term").alias("__held"))
+    r = proposals.join(held, ["region_id", "idx"], "left").join(applied.select("region_id", F.col("applied").alias("__applied")), "region_id", "left")
+    outcome = F.when(F.coalesce("__applied", F.lit(0)) < F.col("idx"), "waiting").when(F.col("__held").eqNullSafe(F.col("term")), "done").otherwise("superseded")
+    return r.select(*proposals.columns, outcome.alias("outcome"))
+
+
+def restore(snapshots: DataFrame, hard_states: DataFrame, log: DataFrame) -> DataFrame:
+    """What a restarted node applies: the log's entries after its snapshot up to the saved commit, per region.
+
+    ``snapshots`` is (region_id, snap_index), ``hard_states`` (region_id, commit_index);
+    a region without a snapshot begins at its first entry, one without a saved
+    state applies nothing.
+    """
+    s = snapshots.groupBy("region_id").agg(F.max("snap_index").alias("__snap"))
+    r = log.join(hard_states.select("region_id", F.col("commit_index").alias("__c")), "region_id").join(s, "region_id", "left")
+    return r.filter((F.col("idx") > F.coalesce("__snap", F.lit(0))) & (F.col("idx") <= F.col("__c"))).select(*log.columns)
+
+
+class LogStorage:
+    """The log of one region or many, with its hard state, as tables that are replaced and never changed.
+
+    ``append`` takes entries over (``append_entries``), ``compact`` drops those
+    before an index and remembers it, so that ``first_index`` stays known.
+    """
+
+    def __init__(self, entries: DataFrame, hard_states: DataFrame | None = None, first: int = 1):
+        self.rows, self.hard_states, self.first = entries, hard_states, first
+
+    def append(self, entries: DataFrame) -> LogStorage:
+        return LogStorage(append_entries(self.rows, entries), self.hard_states, self.first)
+
+    def compact(self, first: int) -> LogStorage:
+        return LogStorage(compact(self.rows, first), self.hard_states, max(self.first, first))
+
+    def save(self, changes: DataFrame, order_col: str) -> LogStorage:
+        states = changes.drop(order_col).limit(0) if self.hard_states is None else self.hard_states
+        return LogStorage(self.rows, save_hard_state(states, changes, order_col), self.first)
+
+    def entries(self, low: int, high: int) -> DataFrame:
+        """Entries with low <= idx < high; those that were compacted away can't be had."""
+        if low < self.first:
+            raise InvalidArgument(f"entries before {self.first} were compacted away")
+        return load_entries(self.rows, low, high)
+
+    def bounds(self) -> DataFrame:
+        """(region_id, first_idx, last_idx) of the entries held."""
+        return self.rows.groupBy("region_id").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+
+
 def classify(msg_type: Column) -> Column:
     """'local' for messages a node sends itself, 'response' or 'request'."""
     return F.when(msg_type.isin("MsgHup", "MsgTick", "MsgPropose"), "local").when(msg_type.endswith("Resp"), "response").otherwise("request")

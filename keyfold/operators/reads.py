@@ -50,3 +50,24 @@ def wait_for_apply(reads: DataFrame, applied: DataFrame, read_idx: str, applied_
         reads, applied, keys, read_idx, applied_idx, F.col(applied_idx), lambda c: F.floor(c / INDEX_BUCKET), name="served_at"
     )
     return found.filter(F.col("served_at").isNotNull()).drop("__g")
+
+
+def lifecycle(reads: DataFrame, confirmed: DataFrame, applied: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
+    """Reads (region_id, read_id, read_idx, leads) with ``state``.
+
+    'not leader' if the node that was asked doesn't lead (``leads`` false),
+    'cancelled' if its caller gave up, 'unconfirmed' until a quorum has answered,
+    'waiting' until the region's ``applied`` index reaches ``read_idx``, then 'served'.
+    """
+    keys = ["region_id", "read_id"]
+    r = reads.join(confirmed.select(*keys, F.lit(True).alias("__ok")).distinct(), keys, "left")
+    r = r.join(applied.select("region_id", F.col("applied").alias("__applied")), "region_id", "left")
+    gone = F.lit(False)
+    if cancelled is not None:
+        r = r.join(cancelled.select(*keys, F.lit(True).alias("__gone")).distinct(), keys, "left")
+        gone = F.col("__gone").isNotNull()
+    state = (
+        F.when(~F.coalesce("leads", F.lit(False)), "not leader").when(gone, "cancelled").when(F.col("__ok").isNull(), "unconfirmed")
+        .when(F.coalesce("__applied", F.lit(0)) < F.col("read_idx"), "waiting").otherwise("served")
+    )
+    return r.select(*reads.columns, state.alias("state"))

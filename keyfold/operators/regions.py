@@ -28,24 +28,38 @@ def contains(key: Column, start: Column, end: Column) -> Column:
     return in_range(key, start, end)
 
 
+def problems(regions: DataFrame) -> DataFrame:
+    """(region_id, problem) of every region that can't be served: 'no id', 'no peer' or 'id twice'."""
+    n = regions.groupBy("region_id").agg(F.count(F.lit(1)).alias("__n"))
+    what = [F.when(F.col("region_id").isNull() | (F.col("region_id") == 0), "no id")]
+    if "peers" in regions.columns:
+        what.append(F.when(F.coalesce(F.size("peers"), F.lit(0)) < 1, "no peer"))
+    own = regions.select("region_id", F.explode(F.array_compact(F.array(*what))).alias("problem"))
+    return own.unionByName(n.filter("__n > 1 AND region_id IS NOT NULL").select("region_id", F.lit("id twice").alias("problem")))
+
+
 def validate(regions: DataFrame) -> None:
     """Raise InvalidArgument unless there are regions, all with an id, a peer and a unique id, that share no key."""
-    bad = F.col("region_id").isNull() | (F.col("region_id") == 0)
-    checks = [F.count(F.lit(1)).alias("n"), F.sum(bad.cast("int")).alias("bad"), F.count_distinct("region_id").alias("ids")]
-    if "peers" in regions.columns:
-        checks.append(F.sum((F.coalesce(F.size("peers"), F.lit(0)) < 1).cast("int")).alias("lonely"))
-    r = regions.agg(*checks).first()
-    if r.n == 0:
+    if regions.limit(1).isEmpty():
         raise InvalidArgument("no regions are configured")
-    if r.bad:
-        raise InvalidArgument("a region has no id")
-    if r.ids != r.n:
-        raise InvalidArgument("a region id occurs twice")
-    if "peers" in regions.columns and r.lonely:
-        raise InvalidArgument("a region has no peers")
+    bad = problems(regions).limit(1).collect()
+    if bad:
+        raise InvalidArgument(f"region {bad[0]['region_id']}: {bad[0]['problem']}")
     require_disjoint(regions)
 
 
+def add_regions(regions: DataFrame, more: DataFrame) -> DataFrame:
+    """The table with more regions; raises InvalidArgument for one without id or peer, or whose id is there already."""
+    both = regions.unionByName(more)
+    validate(both)
+    return both
+
+
+def remove_regions(regions: DataFrame, ids: DataFrame) -> DataFrame:
+    """The table without the regions whose ``region_id`` is in ``ids``; unknown ones change nothing."""
+    return regions.join(ids.select("region_id").distinct(), "region_id", "left_anti").select(*regions.columns)
+
+
 def _bounds(regions: DataFrame) -> DataFrame:
     """(region_id, start_key, end_key) of the ranges that hold a key, a NULL bound being an open one."""
     kind = dict(regions.dtypes)["start_key"]

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..schema import TABLE_META
+from ..schema import MAX_SEQUENCE, TABLE_META
 from ..session import ship_package
 
 ROWS = "number bigint, key binary, seq bigint, op tinyint, value binary"
@@ -83,6 +84,83 @@ def encode_tables(split: DataFrame) -> DataFrame:
     )
 
 
+def lookup_tables(files: DataFrame, asked: DataFrame, verify: bool = False) -> DataFrame:
+    """(file_no, key, state, value) of asked (file_no, key, seq): what each table file answers, by filter, index and one block.
+
+    Files (file_no, content) meet the keys asked of them in one task each; keys
+    are distinct per file, so a key asked often costs nothing more. A NULL
+    ``seq`` asks for the newest version.
+    """
+
+    def find(_key, file: pa.Table, keys: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if file.num_rows:
+            t = codec.TableFile(file.column("content")[0].as_py(), verify)
+            for n, k, seq in zip(*(keys.column(c).to_pylist() for c in ("file_no", "key", "seq")), strict=True):
+                out.append((n, k, *t.get(k, MAX_SEQUENCE if seq is None else seq)))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({"file_no": pa.array(cols[0], pa.int64()), "key": pa.array(cols[1], pa.binary()), "state": pa.array(cols[2], pa.string()), "value": pa.array(cols[3], pa.binary())})
+
+    ship_package(files.sparkSession)
+    wanted = asked.select("file_no", "key", "seq").distinct()
+    return files.select("file_no", "content").groupBy("file_no").cogroup(wanted.groupBy("file_no")).applyInArrow(
+        find, "file_no bigint, key binary, state string, value binary"
+    )
+
+
+#: Rows of a Bloom filter's key set that one task hashes into its own filter.
+FILTER_KEYS = 1 << 20
+
+
+def build_filters(keys: DataFrame, key_col: str) -> DataFrame:
+    """(filter_no, keys, filter): Bloom filters over distinct keys, one per piece of ``FILTER_KEYS`` at most."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, piece, held = TaskContext.get().partitionId(), 0, []
+
+        def done():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + piece], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([codec.bloom_build(held)], pa.binary())], ["filter_no", "keys", "filter"]
+            )
+
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            if len(held) >= FILTER_KEYS:
+                yield done()
+                piece, held = piece + 1, []
+        if held:
+            yield done()
+
+    ship_package(keys.sparkSession)
+    return keys.select(key_col).filter(F.col(key_col).isNotNull()).distinct().mapInArrow(build, "filter_no bigint, keys bigint, filter binary")
+
+
+def may_contain(rows: DataFrame, key_col: str, filters: DataFrame) -> DataFrame:
+    """Rows with ``may``: false where no filter holds the key, true where it may be there; NULL for a NULL key.
+
+    The filters, whose bytes must be bounded, are sent to all tasks.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast([bytes(r.filter) for r in filters.select("filter").collect()])
+    at, schema = rows.columns.index(key_col), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(at).to_pylist()
+            there = [k for k in keys if k is not None]
+            may = np.zeros(len(there), bool)
+            for f in sent.value:
+                may |= codec.bloom_may_contain(there, f)
+            answers = iter(may.tolist())
+            out = [None if k is None else next(answers) for k in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, "may"])
+
+    return rows.mapInArrow(probe, f"{schema}, may boolean")
+
+
 def manifest_table(spark: SparkSession, manifest: codec.Manifest) -> DataFrame:
     """A decoded manifest as a table with user keys."""
     rows = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -49,7 +49,7 @@ def apply_stream(entries: DataFrame, store: Store, checkpoint: str, name: str =
 
 def latest_stream(versions: DataFrame, key_cols: Sequence[str], seq_col: str, value_cols: Sequence[str]) -> DataFrame:
     """A stream of the newest version per key, for update mode: state is one row per key."""
-    return versions.groupBy(*key_cols).agg(F.max(F.struct(seq_col, *value_cols)).alias("newest")).select(*key_cols, "newest.*")
+    return versions.groupBy(*key_cols).agg(F.max(seq_col).alias(seq_col), *(F.max_by(c, seq_col).alias(c) for c in value_cols))
 
 
 def applied_watermarks(entries: DataFrame) -> DataFrame:
@@ -57,15 +57,20 @@ def applied_watermarks(entries: DataFrame) -> DataFrame:
     return entries.groupBy("region_id").agg(F.max("idx").alias("applied"))
 
 
-def due_snapshots(entries: DataFrame, every: int = SNAPSHOT_EVERY) -> DataFrame:
-    """A stream (region_id, applied, due): how many snapshots are due after ``every`` applied entries each, for update mode.
+def applied_words(entries: DataFrame) -> DataFrame:
+    """A stream (region_id, word, bits) of the applied indexes, 64 to a row, for update mode; repeats, disorder and holes don't matter."""
+    bit = F.expr("shiftleft(1L, cast(pmod(idx, 64) as int))")
+    return entries.filter(F.col("region_id").isNotNull() & F.col("idx").isNotNull()).groupBy("region_id", F.floor(F.col("idx") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
-    Redelivered entries would count twice in a plain count. Indexes of a region
-    are dense, so the lowest and the highest one tell how many were applied.
+
+def due_snapshots(words: DataFrame, every: int = SNAPSHOT_EVERY) -> DataFrame:
+    """(region_id, applied, due) from the last ``applied_words``: entries applied, and how many snapshots they called for.
+
+    Every applied index counts once, delivered again or not; indexes that were
+    never applied don't count.
     """
-    agg = entries.groupBy("region_id").agg(F.min("idx").alias("__low"), F.max("idx").alias("applied"))
-    n: Column = F.col("applied") - F.col("__low") + 1
-    return agg.select("region_id", "applied", F.floor(n / every).alias("due"))
+    per = words.groupBy("region_id").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("applied"))
+    return per.select("region_id", "applied", F.floor(F.col("applied") / every).alias("due"))
 
 
 def final_updates(updates: DataFrame, key_cols: Sequence[str], path: str) -> DataFrame:

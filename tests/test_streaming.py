@@ -47,7 +47,15 @@ def test_latest_watermarks_and_due(spark):
     for name, df, want in (
         ("latest", apply.latest_stream(stream(spark, folder), ["region_id", "key"], "idx", ["value"]), (1, b"k", 11, b"11")),
         ("water", apply.applied_watermarks(stream(spark, folder)), (1, 11)),
-        ("due", apply.due_snapshots(stream(spark, folder)), (1, 11, 2)),
     ):
         df.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", shared_path(spark, name)).trigger(availableNow=True).start().awaitTermination()
         assert want in rows(spark.table(name))
+
+
+def test_due_snapshots_count_applied_entries(spark):
+    """Holes don't count, redelivered entries count once, whatever batch brings them."""
+    folder, path = shared_path(spark, "feed"), shared_path(spark, "due")
+    entries(spark, folder, [(1, i, 0, 2, b"k", b"v") for i in (1, 2, 3, 100, 101)] + [(2, 7, 0, 2, b"k", b"v")], "p1")
+    entries(spark, folder, [(1, i, 0, 2, b"k", b"v") for i in (3, 64, 63, 1)] + [(3, i, 0, 2, b"k", b"v") for i in range(130)], "p2")
+    words = apply.final_updates(apply.applied_words(stream(spark, folder)), ["region_id", "word"], path)
+    assert rows(apply.due_snapshots(words)) == [(1, 7, 1), (2, 1, 0), (3, 130, 26)]
