@@ -85,6 +85,7 @@ def collect_garbage(
     is_delete: Column,
     oldest_snapshot: int,
     lower: DataFrame | None = None,
+    unique: Sequence[str] | None = None,
 ) -> DataFrame:
     """Versions that a compaction keeps for readers at ``oldest_snapshot`` and later.
 
@@ -92,10 +93,10 @@ def collect_garbage(
     latter is dropped too if it is a deletion and no range (smallest, largest) of
     ``lower`` may hold its key. ``lower`` None means that any lower file may hold it;
     a table without rows, that none does. The two parts are separate branches:
-    one is a filter, the other an aggregate with a combine.
+    one is a filter, the other an aggregate with a combine (``unique`` as in ``mvcc.newest``).
     """
     above = versions.filter(F.col(seq_col) > oldest_snapshot)
-    base = mvcc.newest(versions.filter(F.col(seq_col) <= oldest_snapshot), key_cols, seq_col, [op_col])
+    base = mvcc.newest(versions.filter(F.col(seq_col) <= oldest_snapshot), key_cols, seq_col, [op_col], unique)
     if lower is not None:
         held = covered(base, lower, key_cols[-1])
         base = held.filter(~(is_delete & ~F.col("__covered"))).drop("__covered")

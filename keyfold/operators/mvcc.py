@@ -64,7 +64,8 @@ def newest(versions: DataFrame, key_cols: Sequence[str], seq_col: str, ties: Seq
     rows; otherwise the aggregate sorts by key.
     """
     keys = list(key_cols)
-    order = [seq_col, *ties]
+    # Where key and sequence identify a version, nothing else need be compared.
+    order = [seq_col] if unique and set(unique) <= {*keys, seq_col} else [seq_col, *ties]
     there = versions.filter(F.col(seq_col).isNotNull())
     rest = [c for c in versions.columns if c not in (*keys, *order)]
     rank = packed(versions, order)

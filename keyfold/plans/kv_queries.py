@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def _deleted() -> Column:
-    return F.col("event_type") == "error"
+    return F.col("deleted")
 
 
 KEY, SEQ = ["user_id"], "event_id"
@@ -42,8 +42,13 @@ _ROUTE = "(VALUES (1, '', 'm'), (2, 'm', 't'), (3, 't', '')) AS r(region_id, lo,
 _LOG = "(SELECT o_orderkey AS idx, CAST(floor(o_orderkey / 100) AS bigint) AS term FROM orders)"
 
 
-def _events(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return load(spark, d, "events").select("user_id", "event_id", "event_type", "value", *more)
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """The mutation log with columns of fixed size only: newest versions are then found by hashing alone."""
+    return load(spark, d, "events").select("user_id", "event_id", "value", (F.col("event_type") == "error").alias("deleted"))
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "events").select("user_id", "event_id", "event_type", "value")
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -199,13 +204,13 @@ _PREV = "SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id DE
 @query(f"SELECT user_id, event_id, event_type FROM ({_PREV}) t WHERE (prev IS NULL OR prev > 8000) AND NOT (event_type = 'error' AND event_id <= 8000)")
 def compaction_base_level(spark: SparkSession, d: str) -> DataFrame:
     nothing = spark.createDataFrame([], "smallest bigint, largest bigint")
-    kept = levels.collect_garbage(_events(spark, d), KEY, SEQ, "event_type", _deleted(), 8000, nothing)
+    kept = levels.collect_garbage(_typed(spark, d), KEY, SEQ, "event_type", F.col("event_type") == "error", 8000, nothing, [SEQ])
     return kept.select("user_id", "event_id", "event_type")
 
 
 @query(f"SELECT user_id, event_id, event_type FROM ({_PREV}) t WHERE prev IS NULL OR prev > 8000")
 def compaction_keep_tombstone(spark: SparkSession, d: str) -> DataFrame:
-    return levels.collect_garbage(_events(spark, d), KEY, SEQ, "event_type", _deleted(), 8000).select("user_id", "event_id", "event_type")
+    return levels.collect_garbage(_typed(spark, d), KEY, SEQ, "event_type", F.col("event_type") == "error", 8000, unique=[SEQ]).select("user_id", "event_id", "event_type")
 
 
 def _files(rows: DataFrame, number) -> DataFrame:
@@ -414,6 +419,6 @@ n AS (SELECT *, row_number() OVER (PARTITION BY cf, key ORDER BY req_no DESC) AS
 SELECT cf, hex(key) AS key_hex, req_no AS seq, octet_length(value) AS value_bytes FROM n WHERE rn = 1 AND cmd_type = 2
 """)
 def kv_view_of_requests(spark: SparkSession, d: str) -> DataFrame:
-    r = load(spark, d, "requests").filter("cmd_type IN (2, 3) AND key IS NOT NULL").select("cf", "key", "req_no", "cmd_type", "value")
+    r = load(spark, d, "requests").filter("cmd_type IN (2, 3) AND key IS NOT NULL").select("cf", "key", "req_no", "cmd_type", F.length("value").cast("bigint").alias("value_bytes"))
     seen = mvcc.latest(r, ["cf", "key"], "req_no", F.col("cmd_type") == 3)
-    return seen.select("cf", F.hex("key").alias("key_hex"), F.col("req_no").alias("seq"), F.length("value").cast("bigint").alias("value_bytes"))
+    return seen.select("cf", F.hex("key").alias("key_hex"), F.col("req_no").alias("seq"), "value_bytes")

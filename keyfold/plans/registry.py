@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("kv_queries", "store_queries", "rule_queries", "problem_queries")
+MODULES = ("kv_queries", "store_queries", "rule_queries", "path_queries", "problem_queries")
 
 
 def _loaded() -> list:

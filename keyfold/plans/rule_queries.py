@@ -433,7 +433,7 @@ def compaction_lower_level(spark: SparkSession, d: str) -> DataFrame:
     """Versions kept by a compaction over a lower level of many files with gaps: a deletion goes only where none may hold its key."""
     e = load(spark, d, "events").select("user_id", "event_id", "event_type", "value")
     lower = e.filter("user_id % 10 < 4").groupBy(F.floor(F.col("user_id") / 10)).agg(F.min("user_id").alias("smallest"), F.max("user_id").alias("largest"))
-    kept = levels.collect_garbage(e, ["user_id"], "event_id", "event_type", F.col("event_type") == "error", 8000, lower.select("smallest", "largest"))
+    kept = levels.collect_garbage(e, ["user_id"], "event_id", "event_type", F.col("event_type") == "error", 8000, lower.select("smallest", "largest"), ["event_id"])
     return kept.select("user_id", "event_id", "event_type")
 
 

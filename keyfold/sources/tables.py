@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..schema import MAX_SEQUENCE, TABLE_META
-from ..session import ship_package
+from ..session import broadcastable, materialise, ship_package
 
 ROWS = "number bigint, key binary, seq bigint, op tinyint, value binary"
 
@@ -108,57 +108,71 @@ def lookup_tables(files: DataFrame, asked: DataFrame, verify: bool = False) -> D
     )
 
 
-#: Rows of a Bloom filter's key set that one task hashes into its own filter.
+#: Keys of one Bloom filter, about.
 FILTER_KEYS = 1 << 20
 
 
-def build_filters(keys: DataFrame, key_col: str) -> DataFrame:
-    """(filter_no, keys, filter): Bloom filters over distinct keys, one per piece of ``FILTER_KEYS`` at most."""
+def _filter_of(key: Column, filters: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(filters)).cast("bigint")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, piece, held = TaskContext.get().partitionId(), 0, []
+def build_filters(keys: DataFrame, key_col: str) -> DataFrame:
+    """(filter_no, filters, keys, filter): Bloom filters over the distinct keys, one for each of ``filters`` classes of their hash.
 
-        def done():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + piece], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([codec.bloom_build(held)], pa.binary())], ["filter_no", "keys", "filter"]
-            )
+    NULL keys are left out; an empty table has no filter.
+    """
+    wanted = materialise(keys.select(F.col(key_col).alias("key")).filter(F.col("key").isNotNull()).distinct(), "filter-keys")
+    n = max(1, -(-wanted.count() // FILTER_KEYS))
 
-        for batch in batches:
-            held += batch.column(0).to_pylist()
-            if len(held) >= FILTER_KEYS:
-                yield done()
-                piece, held = piece + 1, []
-        if held:
-            yield done()
+    def build(group: tuple, held: pa.Table) -> pa.Table:
+        raw = codec.bloom_build(held.column("key").to_pylist())
+        return pa.table({"filter_no": pa.array([group[0].as_py()], pa.int64()), "filters": pa.array([n], pa.int64()), "keys": pa.array([held.num_rows], pa.int64()), "filter": pa.array([raw], pa.binary())})
 
     ship_package(keys.sparkSession)
-    return keys.select(key_col).filter(F.col(key_col).isNotNull()).distinct().mapInArrow(build, "filter_no bigint, keys bigint, filter binary")
+    return wanted.withColumn("filter_no", _filter_of(F.col("key"), n)).groupBy("filter_no").applyInArrow(build, "filter_no bigint, filters bigint, keys bigint, filter binary")
 
 
 def may_contain(rows: DataFrame, key_col: str, filters: DataFrame) -> DataFrame:
-    """Rows with ``may``: false where no filter holds the key, true where it may be there; NULL for a NULL key.
+    """Rows with ``may``: false where a key is surely in no filter, true where it may be; NULL for a NULL key.
 
-    The filters, whose bytes must be bounded, are sent to all tasks.
+    A stored table of filters up to the broadcast bound is sent to all tasks;
+    beyond it the distinct keys meet the filter of their class, and the answers
+    are joined to the rows.
     """
     spark = rows.sparkSession
     ship_package(spark)
-    sent = spark.sparkContext.broadcast([bytes(r.filter) for r in filters.select("filter").collect()])
-    at, schema = rows.columns.index(key_col), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(at).to_pylist()
-            there = [k for k in keys if k is not None]
-            may = np.zeros(len(there), bool)
-            for f in sent.value:
-                may |= codec.bloom_may_contain(there, f)
-            answers = iter(may.tolist())
-            out = [None if k is None else next(answers) for k in keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, "may"])
-
-    return rows.mapInArrow(probe, f"{schema}, may boolean")
+    first = filters.select("filters").first()
+    if first is None:
+        return rows.withColumn("may", F.when(F.col(key_col).isNotNull(), F.lit(False)))
+    n = first[0]
+    if broadcastable(filters):
+        sent = spark.sparkContext.broadcast({r.filter_no: bytes(r.filter) for r in filters.select("filter_no", "filter").collect()})
+        tagged = rows.withColumn("__filter", _filter_of(F.col(key_col), n))
+        at, schema = rows.columns.index(key_col), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, number = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                may = np.zeros(len(keys), bool)
+                for f in np.unique(number):
+                    where = np.flatnonzero(number == f)
+                    where = where[[keys[i] is not None for i in where]]
+                    raw = sent.value.get(int(f))
+                    if raw is not None and where.size:
+                        may[where] = codec.bloom_may_contain([keys[i] for i in where], raw)
+                answers = pa.array(may, pa.bool_(), mask=np.array([k is None for k in keys], bool))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], answers], [*batch.schema.names[:-1], "may"])
+
+        return tagged.mapInArrow(probe, f"{schema}, may boolean")
+
+    def meet(_key, held: pa.Table, asked: pa.Table) -> pa.Table:
+        keys = asked.column("key").to_pylist()
+        may = codec.bloom_may_contain(keys, held.column("filter")[0].as_py()) if held.num_rows else np.zeros(len(keys), bool)
+        return pa.table({"__key": pa.array(keys, pa.binary()), "__may": pa.array(may, pa.bool_())})
+
+    asked = rows.select(F.col(key_col).alias("key")).filter(F.col("key").isNotNull()).distinct().withColumn("filter_no", _filter_of(F.col("key"), n))
+    met = filters.select("filter_no", "filter").groupBy("filter_no").cogroup(asked.groupBy("filter_no")).applyInArrow(meet, "__key binary, __may boolean")
+    return rows.join(met, F.col(key_col) == F.col("__key"), "left").withColumn("may", F.when(F.col(key_col).isNotNull(), F.coalesce("__may", F.lit(False)))).drop("__key", "__may")
 
 
 def manifest_table(spark: SparkSession, manifest: codec.Manifest) -> DataFrame:

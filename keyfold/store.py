@@ -403,7 +403,7 @@ class Store(Reads):
             low, high = min(f["smallest"] for f in inputs + overlap), max(f["largest"] for f in inputs + overlap)
             deeper = self._rows(f for f in m["files"] if f["level"] > level + 1 and f["smallest"] <= high and low <= f["largest"])
             oldest, deleted = self.oldest_snapshot(), F.col("op") == DELETE
-            kept = levels.collect_garbage(rows, KEYS, "seq", "op", deleted, oldest)
+            kept = levels.collect_garbage(rows, KEYS, "seq", "op", deleted, oldest, unique=["seq"])
             kept = levels.drop_base_tombstones(kept, deeper, KEYS, deleted & (F.col("seq") <= oldest))
             new = self._write_files(kept, m["next_file"], level + 1)
             m["next_file"] += 1
