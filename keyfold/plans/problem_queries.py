@@ -172,23 +172,16 @@ def _ran(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT region_id, run_id, epoch_us(min(started_at)) AS us FROM apply_runs
-  WHERE run_id IN (SELECT run_id FROM apply_runs WHERE status = 'succeeded') AND started_at IS NOT NULL GROUP BY region_id, run_id),
-b AS (SELECT min(us) AS low, (max(us) - min(us)) // 2 + 1 AS step FROM s),
-runs AS (SELECT region_id, us, min(run_id) AS run_id, (us - low) // step AS wave FROM s, b GROUP BY region_id, us, low, step),
-m AS (SELECT region_id, commit_index, min(epoch_us(received_at)) AS told FROM raft_messages WHERE commit_index IS NOT NULL AND received_at IS NOT NULL GROUP BY region_id, commit_index),
-m2 AS (SELECT region_id, commit_index, min(told) OVER (PARTITION BY region_id ORDER BY commit_index DESC) AS told FROM m),
-r AS (SELECT region_id, idx, term, pos, cmd_type, cf, key, value, min(epoch_us(received_at)) AS us FROM raft_log WHERE received_at IS NOT NULL GROUP BY ALL),
-e AS (SELECT r.*, m2.told FROM r ASOF JOIN m2 ON r.region_id = m2.region_id AND r.idx <= m2.commit_index),
-v AS (SELECT w.wave, region_id, idx, term, min(us) AS first_us, max(us) AS last_us, min(told) AS told, list_sort(list({'p': pos, 'c': cmd_type, 'f': cf, 'k': hex(key), 'v': hex(value)})) AS content
-  FROM e, b, (VALUES (0), (1)) w(wave) WHERE us < low + step * (w.wave + 1) AND told < low + step * (w.wave + 1) GROUP BY w.wave, region_id, idx, term),
-t AS (SELECT *, row_number() OVER (PARTITION BY wave, region_id, idx ORDER BY term DESC) AS rn FROM v),
-a AS (SELECT t.*, greatest(first_us, told) AS due FROM t WHERE rn = 1 AND wave = 0),
-done AS (SELECT a.region_id, a.idx, a.term, a.content FROM a ASOF JOIN (SELECT * FROM runs WHERE wave = 0) q ON a.region_id = q.region_id AND a.due <= q.us),
-c AS (SELECT t.region_id, t.idx, t.term, done.term AS was_term, greatest(CASE WHEN t.term = done.term THEN last_us ELSE first_us END, told) AS due
-  FROM t JOIN done ON t.region_id = done.region_id AND t.idx = done.idx WHERE t.rn = 1 AND t.wave = 1 AND (t.term <> done.term OR t.content <> done.content))
-SELECT q.run_id, c.region_id, c.idx, c.term, c.was_term FROM c ASOF JOIN (SELECT * FROM runs WHERE wave = 1) q ON c.region_id = q.region_id AND c.due <= q.us
+WITH l AS (SELECT DISTINCT cf, key, region_id, idx, value FROM copy_lsm), b AS (SELECT DISTINCT cf, key, region_id, idx, value FROM copy_badger)
+SELECT b.cf, hex(b.key) AS key_hex, CASE WHEN l.key IS NULL THEN 'new' ELSE 'changed' END AS change FROM b LEFT JOIN l ON l.cf IS NOT DISTINCT FROM b.cf AND l.key = b.key
+WHERE l.key IS NULL OR l.region_id IS DISTINCT FROM b.region_id OR l.idx IS DISTINCT FROM b.idx OR l.value IS DISTINCT FROM b.value
 """)
 def p6_changed(spark: SparkSession, d: str) -> DataFrame:
-    """Entries that came back after a run had processed them: replaced by a higher term, or completed late."""
-    return _ran(spark, d).filter("change = 'changed'").select("run_id", "region_id", "idx", "term", "was_term")
+    """What a second run has to process: the table as copy_badger holds it, after a run over what copy_lsm holds.
+
+    (A committed entry of a log is never replaced, so p6_found alone brings nothing back as changed.)
+    """
+    state = incremental.IncrementalState(spark, shared_path(spark, "copy-state"), ["cf", "key"], ["region_id", "idx", "value"])
+    columns = ["cf", "key", "region_id", "idx", "value"]
+    state.commit(state.pending(load(spark, d, "copy_lsm").select(*columns)))
+    return state.pending(load(spark, d, "copy_badger").select(*columns)).select("cf", key_hex("key").alias("key_hex"), "change")
