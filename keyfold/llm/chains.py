@@ -15,8 +15,9 @@ LOSSY = "lossy"
 
 #: A word that holds a character outside ASCII, with its ASCII letters.
 WORD = re.compile(r"[A-Za-z'?]*[^\x00-\x7f]+(?:[A-Za-z'?]+[^\x00-\x7f]+)*[A-Za-z'?]*")
-_LEFT = re.compile(r"([A-Za-z]+)[^A-Za-z\x80-\U0010ffff]*$")
-_RIGHT = re.compile(r"[^A-Za-z\x80-\U0010ffff]*([A-Za-z]+)")
+#: The last and the first run of letters of a piece of plain text.
+_LEFT = re.compile(r"(?:.*[^A-Za-z])?([A-Za-z]+)[^A-Za-z]*$", re.S)
+_RIGHT = re.compile(r"[^A-Za-z]*([A-Za-z]+)")
 _LETTER = re.compile("[A-Za-z]")
 #: What no text has of itself: replaced characters and control codes above ASCII (but next line).
 _LOST = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
@@ -31,32 +32,41 @@ UTF16_RUN = 6
 UTF16_PLAIN, UTF16_TEXT, UTF16_ODD, UTF16_COST = 0.85, 0.33, 2.3, 8.0
 
 
-def words(text: str, quoted: bool = False) -> Iterator[tuple[str, str, int, int]]:
-    """(word, context, start, end) of every word outside ASCII that isn't quoted on purpose.
+#: Context of a short word that fills a pair of quotes.
+QUOTED = '"'
+#: Longest such word whose context is the quotes.
+QUOTED_LENGTH = 3
+
+
+def words(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
+    """(word, context, start, end, quoted) of every word outside ASCII; ``quoted`` if it alone fills a pair of quotes.
 
     A lone symbol or letter says little by itself; its context is the ASCII word before
-    it on the line or, at the start of a line, the one after it. A word of a few
-    characters that fills a pair of quotes is a quotation of itself and is left out
-    unless ``quoted`` asks for these too.
+    it on the line, back to the next word outside ASCII, or else the one after it. In
+    quotes it is counted by itself, since there it may stand for itself.
     """
     at = 0
     for line in text.split("\n"):
         if not line.isascii():
+            found = []
             for m in WORD.finditer(line):
                 a, b = m.span()
                 while a < b and line[a] in "'?":
                     a += 1
                 while b > a and line[b - 1] in "'?":
                     b -= 1
+                found.append((a, b))
+            for i, (a, b) in enumerate(found):
                 w = line[a:b]
-                if not quoted and 0 < a and b < len(line) and b - a <= 8 and line[a - 1] == line[b] and line[b] in "\"'`":
-                    continue
+                quoted = 0 < a and b < len(line) and line[a - 1] == line[b] and line[b] in "\"'`"
                 context = ""
-                if len(w) == 1 or (len(w) <= 3 and not w.isalpha() and not _LETTER.search(w)):
-                    left = _LEFT.search(line, max(0, a - 40), a)
-                    right = None if left else _RIGHT.match(line, b, b + 40)
+                if quoted and b - a <= QUOTED_LENGTH:
+                    context = QUOTED
+                elif len(w) == 1 or (len(w) <= 3 and not w.isalpha() and not _LETTER.search(w)):
+                    left = _LEFT.match(line[found[i - 1][1] if i else 0 : a])
+                    right = None if left else _RIGHT.match(line[b : found[i + 1][0] if i + 1 < len(found) else len(line)])
                     context = left[1] + "<" if left else ">" + right[1] if right else "-"
-                yield w, context, at + a, at + b
+                yield w, context, at + a, at + b, quoted
         at += len(line) + 1
 
 
@@ -143,7 +153,7 @@ def candidates(word: str) -> list[tuple[str, str | None, float]]:
         if raw is None:
             continue
         restored, weight, now = None, 0.0, raw
-        for _ in range(6):
+        while True:  # each time the text gets shorter
             text = _decoded(now, "utf-8") if now is not None else None
             if text is None or text == (restored or word):
                 break
@@ -159,8 +169,6 @@ def candidates(word: str) -> list[tuple[str, str | None, float]]:
                 restored, weight = text, UTF8_WEIGHT * (good - 2 * lost)
         if restored is not None:
             out.append((f"utf-8<{wrong}", restored, weight))
-        if wrong in WIDE:
-            continue  # a multi-byte reading of other legacy bytes is not undone
         for true in BYTE + WIDE:
             if true == wrong:
                 continue
@@ -168,7 +176,9 @@ def candidates(word: str) -> list[tuple[str, str | None, float]]:
             if text is None or text == word or text.isascii() or any("\x80" <= c < "\xa0" for c in text):
                 continue
             weight = 0.0
-            if foreign and text.isalpha():
+            if wrong in WIDE:
+                pass  # a multi-byte reading of other legacy bytes: letters and counts decide alone
+            elif foreign and text.isalpha():
                 weight = WIDE_WEIGHT * len(text) if true in WIDE else BYTE_WEIGHT * (len(text) - 2)
             elif foreign and true in WIDE and len(text) >= 3:
                 weight = WIDE_WEIGHT * (len(text) - 1)

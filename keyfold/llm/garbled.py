@@ -14,8 +14,9 @@ from . import chains
 
 #: Buckets of the hashed table of character pairs: the bound of what the driver collects.
 PAIRS = 1 << 18
-#: Rounds of expectation and maximization.
-ROUNDS = 3
+#: Rounds of expectation and maximization at most, and the change of the expected number of garbled records that ends them.
+ROUNDS = 8
+SETTLED = 0.005
 #: Share of a chain among the documents of a source before any evidence.
 PRIOR = 0.0003
 #: Weight, in documents, of the shares over all sources in those of one.
@@ -62,26 +63,27 @@ class _Letters:
 
 
 def _tokens(docs: DataFrame, id_col: str, source_col: str, text_cols: list[str]) -> DataFrame:
-    """(id, source, field, word, context, n) of all words outside ASCII."""
+    """(id, source, field, word, context, quoted, n) of all words outside ASCII."""
 
     def run(batches):
         for batch in batches:
             ids, sources = batch.column(0), batch.column(1).to_pylist()
-            row, field, word, context, n = [], [], [], [], []
+            row, field, word, context, quoted, n = [], [], [], [], [], []
             for f, name in enumerate(text_cols):
                 for i, text in enumerate(batch.column(2 + f).to_pylist()):
                     if text is None or text.isascii():
                         continue
-                    for (w, c), k in Counter((w, c) for w, c, _, _ in chains.words(text)).items():
+                    for (w, c, q), k in Counter((w, c, q) for w, c, _, _, q in chains.words(text)).items():
                         row.append(i)
                         field.append(name)
                         word.append(w)
                         context.append(c)
+                        quoted.append(q)
                         n.append(k)
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(row, pa.int64())), pa.array([sources[i] for i in row], pa.string()), pa.array(field, pa.string()),
-                 pa.array(word, pa.string()), pa.array(context, pa.string()), pa.array(n, pa.int64())],
-                ["id", "source", "field", "word", "context", "n"],
+                 pa.array(word, pa.string()), pa.array(context, pa.string()), pa.array(quoted, pa.bool_()), pa.array(n, pa.int64())],
+                ["id", "source", "field", "word", "context", "quoted", "n"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -91,7 +93,7 @@ def _tokens(docs: DataFrame, id_col: str, source_col: str, text_cols: list[str])
     rows = docs.filter(F.col(id_col).isNotNull() & other).select(
         F.col(id_col), F.coalesce(F.col(source_col).cast("string"), F.lit(_NO_SOURCE)).alias("source"), *text_cols
     )
-    return rows.mapInArrow(run, f"id {kind}, source string, field string, word string, context string, n bigint")
+    return rows.mapInArrow(run, f"id {kind}, source string, field string, word string, context string, quoted boolean, n bigint")
 
 
 def _candidates(vocabulary: DataFrame, letters) -> DataFrame:
@@ -105,6 +107,8 @@ def _candidates(vocabulary: DataFrame, letters) -> DataFrame:
                 own, lettered = score(w), any(x.isalpha() for x in w)
                 known: dict[str, float] = {}
                 for chain, restored, weight in chains.candidates(w):
+                    if restored is None and c == chains.QUOTED and not w.strip("\ufffd"):
+                        continue  # the replacement character itself, quoted
                     if restored is None:
                         out.append((w, c, n, chain, None, weight, own, 0.0))
                         continue
@@ -148,14 +152,23 @@ def _gains(candidates: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     return (
         candidates.join(own, ["word", "context"]).join(other, ["restored", "context"], "left")
         .withColumn("gain", gain).filter(F.col("gain") > GAIN)
-        .groupBy("word", "context", "chain").agg(F.max(F.struct("gain", "restored")).alias("g"))
-        .select("word", "context", "chain", "g.gain", "g.restored")
+        .select("word", "context", "chain", "gain", "restored")  # a word has one candidate per chain
     )
 
 
+def _evidence(tokens: DataFrame, gains: DataFrame) -> DataFrame:
+    """Words of records with their gains, but for garbled words that are quoted on purpose: beside their clean form, quoted too."""
+    every = tokens.join(gains, ["word", "context"])
+    clean = tokens.filter("quoted").select("id", "field", F.col("word").alias("restored")).distinct()
+    meant = every.filter("quoted").join(clean, ["id", "field", "restored"], "left_anti").select(every.columns)
+    return every.filter("NOT quoted").unionByName(meant)
+
+
 def _posteriors(evidence: DataFrame, shares: DataFrame) -> DataFrame:
     """(id, source, field, chain, posterior) from the evidence of a record's words and the chain's share."""
-    per = evidence.groupBy("id", "source", "field", "chain").agg(F.sum(F.col("gain") * F.least("n", F.lit(3))).alias("gain"))
+    # A word that comes again tells less each time: like the sum 1 + 1/2 + ... + 1/n.
+    repeated = F.col("gain") * (1 + F.log(F.col("n").cast("double")))
+    per = evidence.groupBy("id", "source", "field", "chain").agg(F.sum(repeated).alias("gain"))
     scored = per.join(shares, ["source", "field", "chain"], "left").withColumn(
         "score", F.col("gain") + F.log(F.coalesce("share", F.lit(PRIOR)))
     )
@@ -170,11 +183,12 @@ def _posteriors(evidence: DataFrame, shares: DataFrame) -> DataFrame:
 def _shares(posteriors: DataFrame, records: DataFrame) -> DataFrame:
     """Share of each chain per source and field, drawn towards its share over all sources."""
     per = posteriors.groupBy("source", "field", "chain").agg(F.sum("posterior").alias("sum"))
-    chain = Window.partitionBy("field", "chain")
     every = records.groupBy("field").agg(F.sum("docs").alias("all_docs"))
+    pooled = per.groupBy("field", "chain").agg(F.sum("sum").alias("all_sum")).join(every, "field").select(
+        "field", "chain", F.greatest((F.col("all_sum") + 0.3) / F.col("all_docs"), F.lit(PRIOR / 10)).alias("pooled")
+    )
     return (
-        per.join(records, ["source", "field"]).join(every, "field")
-        .withColumn("pooled", F.greatest((F.sum("sum").over(chain) + 0.3) / F.col("all_docs"), F.lit(PRIOR / 10)))
+        per.join(records, ["source", "field"]).join(pooled, ["field", "chain"])
         .select("source", "field", "chain", ((F.col("sum") + POOL * F.col("pooled")) / (F.col("docs") + POOL)).alias("share"))
     )
 
@@ -208,10 +222,13 @@ def find(
     corpus. The expectation step weighs the evidence of a record's words with
     the chain's share in its source and field; the maximization step takes these
     shares and the counts of words, garbled ones less and less, from the
-    posteriors. Evidence that is weak in one record is so settled by many.
+    posteriors. Evidence that is weak in one record is so settled by many. Rounds
+    end when the expected number of garbled records hardly changes.
 
-    Every word of every text is used. Words of a few characters alone in quotes
-    are quotations and give no evidence. Defined results: NULL, empty and ASCII
+    Every word of every text is used; a word that comes n times in a record counts
+    1 + ln n times. A word that fills a pair of quotes gives no evidence if its
+    restored form is quoted in the same record too, for then it is quoted on
+    purpose. Defined results: NULL, empty and ASCII
     texts are never found; a NULL source is a source of its own; rows with a NULL
     id are left out; repeated texts are judged each; an empty table gives none.
     """
@@ -235,12 +252,16 @@ def find(
     )
     counts = vocabulary.select("word", "context", F.col("n").cast("double").alias("held"))
     shares = spark.createDataFrame([], "source string, field string, chain string, share double")
-    gains = posteriors = None
+    gains = posteriors = before = None
     for r in range(rounds):
         gains = materialise(_gains(candidates, counts, total), "garbled-gains")
-        evidence = tokens.join(gains, ["word", "context"])
+        evidence = _evidence(tokens, gains)
         posteriors = materialise(_posteriors(evidence, lookup(shares, "garbled-shares")[0]), "garbled-posteriors")
         shares = _shares(posteriors, records)
+        now = posteriors.agg(F.coalesce(F.sum("posterior"), F.lit(0.0))).first()[0]
+        settled, before = before is not None and abs(now - before) <= SETTLED * max(before, 1.0), now
+        if settled:
+            break
         if r + 1 < rounds:
             moved = evidence.join(posteriors, ["id", "source", "field", "chain"]).groupBy("word", "context").agg(
                 F.sum(F.col("n") * F.col("posterior")).alias("moved")
@@ -267,8 +288,7 @@ def restore(docs: DataFrame, garbled: Garbled, id_col: str = "doc_id", text_col:
     ship_package(docs.sparkSession)
     found = garbled.records.filter(F.col("field") == text_col)
     fixes = (
-        found.join(garbled.words.withColumnRenamed("id", id_col), [id_col, "field"])
-        .join(garbled.gains.withColumnRenamed("chain", "by"), ["word", "context"])
+        found.join(_evidence(garbled.words, garbled.gains).withColumnsRenamed({"id": id_col, "chain": "by"}), [id_col, "field"])
         .groupBy(id_col, "word", "context").agg(F.max(F.when(F.col("by") == F.col("chain"), F.col("restored"))).alias("restored"))
         .groupBy(id_col).agg(F.collect_list(F.struct("word", "context", "restored")).alias("fixes"))  # NULL: evidence for other chains alone
     )
@@ -279,13 +299,15 @@ def restore(docs: DataFrame, garbled: Garbled, id_col: str = "doc_id", text_col:
             fixed, complete = [], []
             for text, chain, known in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
                 new = {(x["word"], x["context"]): x["restored"] for x in known or []}
-                plain = {a for _, _, a, _ in chains.words(text)}
+                quoted = {w for w, _, _, _, q in chains.words(text) if q}
                 out, at, whole = [], 0, True
-                for w, c, a, b in chains.words(text, quoted=True):
-                    fixed_word = new.get((w, c)) if a in plain else None
+                for w, c, a, b, q in chains.words(text):
+                    fixed_word = new.get((w, c))
+                    if q and fixed_word in quoted:
+                        fixed_word = None  # quoted on purpose
                     if fixed_word is None:  # stays
                         fixed_word = w
-                        whole = whole and (a not in plain or (w, c) not in new) and not chains.may_be_garbled(w, chain)
+                        whole = whole and (w, c) not in new and not chains.may_be_garbled(w, chain)
                     whole = whole and "\ufffd" not in fixed_word
                     out += [text[at:a], fixed_word]
                     at = b

@@ -78,10 +78,12 @@ def test_empty_table(spark):
 
 
 def test_words_contexts_and_quotations():
-    got = [(w, c) for w, c, _, _ in chains.words('takes ≈ 5 µs\n"é" x\n«été» \'Ã©\' 3 € if')]
-    assert got == [("≈", "takes<"), ("µs", ""), ("«été»", ""), ("€", ">if")]
+    got = [(w, c, q) for w, c, _, _, q in chains.words('takes ≈ 5 µs\n"é" x\n«été» \'Ã©\' 3 € if')]
+    assert got == [("≈", "takes<", False), ("µs", "", False), ("é", '"', True), ("«été»", "", False), ("Ã©", '"', True), ("€", ">if", False)]
+    far = "word" + " " * 500 + "≈"
+    assert [c for _, c, _, _, _ in chains.words(far)] == ["word<"]
     text = "a é\nbé, cé\x85dé"
-    for w, _, a, b in chains.words(text):
+    for w, _, a, b, _ in chains.words(text):
         assert text[a:b] == w
 
 
@@ -127,4 +129,32 @@ def test_incomplete_if_something_stays_garbled(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r.doc_id: r for r in garbled.restore(df, garbled.find(df)).collect()}
     assert got[1].restored == odd[:-1] + "\ufffd" and got[2].restored == line
-    assert {i: got[i].complete for i in (1, 2, 3, 4)} == {1: False, 2: True, 3: False, 4: True}
+    assert {i: got[i].complete for i in (1, 2, 3, 4)} == {1: False, 2: True, 3: True, 4: True}
+    assert got[3].restored == line + '\nx = "März";'
+
+
+def test_quoted_words_are_evidence_unless_quoted_on_purpose(spark):
+    fine = "Il dit été et forêt et café hier."
+    odd = fine.encode().decode("cp1252")
+    quoted = 'Il dit "été" et "forêt" et "café" hier.'
+    pairs = '"Ã©tÃ©": "été", "forÃªt": "forêt", "cafÃ©": "café"'
+    docs = [(i, fine, "a") for i in range(300)] + [(1000, odd, "a"), (1001, quoted.encode().decode("cp1252"), "a"), (1002, pairs, "a"), (1003, "Il dit " + "cafÃ© " * 40, "a"), (1004, 'ch == "\ufffd"', "a")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in garbled.restore(df, garbled.find(df)).collect()}
+    assert sorted(got) == [1000, 1001, 1003]
+    assert (got[1000].restored, got[1001].restored, got[1003].restored) == (fine, quoted, "Il dit " + "café " * 40)
+    assert all(r.complete for r in got.values())
+
+
+def test_legacy_bytes_read_as_several_per_character():
+    text = "проверить"
+    for wrong in ("gbk", "big5"):
+        try:
+            read = text.encode("cp1251").decode(wrong)
+        except UnicodeDecodeError:
+            read = text[:8].encode("cp1251").decode(wrong)
+        assert (f"cp1251<{wrong}", text[: 2 * len(read)]) in [(c, r) for c, r, _ in chains.candidates(read)]
+    deep = "é"
+    for _ in range(9):
+        deep = deep.encode().decode("latin-1")
+    assert ("utf-8<latin-1", "é") in [(c, r) for c, r, _ in chains.candidates(deep)]
