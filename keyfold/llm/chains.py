@@ -38,8 +38,11 @@ QUOTED = '"'
 QUOTED_LENGTH = 3
 
 
-def words(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(word, context, start, end, quoted) of every word outside ASCII; ``quoted`` if it alone fills a pair of quotes.
+def words(text: str) -> Iterator[tuple[str, str, int, int, tuple[str, ...] | None]]:
+    """(word, context, start, end, beside) of every word outside ASCII.
+
+    ``beside`` is None unless the word alone fills a pair of quotes; then it holds the
+    other such words of the line.
 
     A lone symbol or letter says little by itself; its context is the ASCII word before
     it on the line, back to the next word outside ASCII, or else the one after it. In
@@ -55,10 +58,11 @@ def words(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
                     a += 1
                 while b > a and line[b - 1] in "'?":
                     b -= 1
-                found.append((a, b))
-            for i, (a, b) in enumerate(found):
-                w = line[a:b]
                 quoted = 0 < a and b < len(line) and line[a - 1] == line[b] and line[b] in "\"'`"
+                found.append((a, b, quoted))
+            alone = {line[a:b] for a, b, quoted in found if quoted}
+            for i, (a, b, quoted) in enumerate(found):
+                w = line[a:b]
                 context = ""
                 if quoted and b - a <= QUOTED_LENGTH:
                     context = QUOTED
@@ -66,7 +70,7 @@ def words(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
                     left = _LEFT.match(line[found[i - 1][1] if i else 0 : a])
                     right = None if left else _RIGHT.match(line[b : found[i + 1][0] if i + 1 < len(found) else len(line)])
                     context = left[1] + "<" if left else ">" + right[1] if right else "-"
-                yield w, context, at + a, at + b, quoted
+                yield w, context, at + a, at + b, tuple(sorted(alone - {w})) if quoted else None
         at += len(line) + 1
 
 

@@ -25,20 +25,26 @@ POOL = 50.0
 GAIN = 1.0
 #: A candidate whose letters are that much less likely than the word's is not pursued.
 HOPELESS = 6.0
+#: Words whose candidates are scored together.
+SCORED = 256
 #: Times that a symbol is taken to have come in a context where it never came.
 NEW_CONTEXT = 0.5
 
 _NO_SOURCE = "\x00"
 
 
-def _pair_codes(word: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the characters and of the pairs of a word with its two ends."""
-    cp = np.frombuffer(f"\x02{word}\x03".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _pair_buckets(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of characters but the last, and of the pairs that they begin."""
     first = (cp[:-1] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
     pair = ((cp[:-1] * np.uint64(0x100000001B3) + cp[1:]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
     return first.astype(np.int64), pair.astype(np.int64)
 
 
+def _pair_codes(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the characters and of the pairs of a word with its two ends."""
+    return _pair_buckets(np.frombuffer(f"\x02{word}\x03".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
+
+
 def _count_pairs(batches):
     """(bucket, n) of character pairs (from 0) and of first characters (from ``PAIRS``)."""
     total = np.zeros(2 * PAIRS, np.int64)
@@ -57,18 +63,26 @@ class _Letters:
     def __init__(self, counts: np.ndarray):
         self.pairs, self.firsts = counts[:PAIRS], counts[PAIRS:]
 
-    def __call__(self, word: str) -> float:
-        first, pair = _pair_codes(word)
-        return float(np.log((self.pairs[pair] + 0.02) / (self.firsts[first] + 100.0)).sum())
+    def many(self, words: list[str]) -> np.ndarray:
+        """Of many words at once."""
+        if not words:
+            return np.zeros(0)
+        cp = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        ends = np.cumsum(sizes)
+        first, pair = _pair_buckets(cp)
+        logs = np.append(np.log((self.pairs[pair] + 0.02) / (self.firsts[first] + 100.0)), 0.0)
+        logs[ends - 1] = 0.0  # from one word to the next
+        return np.add.reduceat(logs, ends - sizes)
 
 
 def _tokens(docs: DataFrame, id_col: str, source_col: str, text_cols: list[str]) -> DataFrame:
-    """(id, source, field, word, context, quoted, n) of all words outside ASCII."""
+    """(id, source, field, word, context, beside, n) of all words outside ASCII."""
 
     def run(batches):
         for batch in batches:
             ids, sources = batch.column(0), batch.column(1).to_pylist()
-            row, field, word, context, quoted, n = [], [], [], [], [], []
+            row, field, word, context, beside, n = [], [], [], [], [], []
             for f, name in enumerate(text_cols):
                 for i, text in enumerate(batch.column(2 + f).to_pylist()):
                     if text is None or text.isascii():
@@ -78,12 +92,12 @@ def _tokens(docs: DataFrame, id_col: str, source_col: str, text_cols: list[str])
                         field.append(name)
                         word.append(w)
                         context.append(c)
-                        quoted.append(q)
+                        beside.append(q)
                         n.append(k)
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(row, pa.int64())), pa.array([sources[i] for i in row], pa.string()), pa.array(field, pa.string()),
-                 pa.array(word, pa.string()), pa.array(context, pa.string()), pa.array(quoted, pa.bool_()), pa.array(n, pa.int64())],
-                ["id", "source", "field", "word", "context", "quoted", "n"],
+                 pa.array(word, pa.string()), pa.array(context, pa.string()), pa.array(beside, pa.list_(pa.string())), pa.array(n, pa.int64())],
+                ["id", "source", "field", "word", "context", "beside", "n"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -93,7 +107,7 @@ def _tokens(docs: DataFrame, id_col: str, source_col: str, text_cols: list[str])
     rows = docs.filter(F.col(id_col).isNotNull() & other).select(
         F.col(id_col), F.coalesce(F.col(source_col).cast("string"), F.lit(_NO_SOURCE)).alias("source"), *text_cols
     )
-    return rows.mapInArrow(run, f"id {kind}, source string, field string, word string, context string, quoted boolean, n bigint")
+    return rows.mapInArrow(run, f"id {kind}, source string, field string, word string, context string, beside array<string>, n bigint")
 
 
 def _candidates(vocabulary: DataFrame, letters) -> DataFrame:
@@ -103,20 +117,23 @@ def _candidates(vocabulary: DataFrame, letters) -> DataFrame:
         score = _Letters(letters.value)
         for batch in batches:
             out: list[tuple] = []
-            for w, c, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own, lettered = score(w), any(x.isalpha() for x in w)
-                known: dict[str, float] = {}
-                for chain, restored, weight in chains.candidates(w):
-                    if restored is None and c == chains.QUOTED and not w.strip("\ufffd"):
-                        continue  # the replacement character itself, quoted
-                    if restored is None:
-                        out.append((w, c, n, chain, None, weight, own, 0.0))
-                        continue
-                    if restored not in known:
-                        # Letters tell nothing of a word without any, nor of plain text.
-                        known[restored] = score(restored) if lettered and not chain.startswith("utf-16") else own
-                    if known[restored] + weight > own - HOPELESS:
-                        out.append((w, c, n, chain, restored, weight, own, known[restored]))
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            for at in range(0, len(rows), SCORED):
+                piece = [(w, c, n, chains.candidates(w)) for w, c, n in rows[at : at + SCORED]]
+                # Letters tell nothing of a word without any, nor of plain text.
+                texts = {w for w, *_ in piece} | {r for w, _, _, found in piece if any(x.isalpha() for x in w) for chain, r, _ in found if r is not None and not chain.startswith("utf-16")}
+                known = dict(zip(order := list(texts), score.many(order).tolist(), strict=True))
+                for w, c, n, found in piece:
+                    own = known[w]
+                    lettered = any(x.isalpha() for x in w)
+                    for chain, restored, weight in found:
+                        if restored is None:
+                            if c != chains.QUOTED or w.strip("\ufffd"):  # else the replacement character itself, quoted
+                                out.append((w, c, n, chain, None, weight, own, 0.0))
+                            continue
+                        letters_ = known[restored] if lettered and not chain.startswith("utf-16") else own
+                        if letters_ + weight > own - HOPELESS:
+                            out.append((w, c, n, chain, restored, weight, own, letters_))
             cols = list(zip(*out, strict=True)) or [()] * 8
             kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -158,10 +175,8 @@ def _gains(candidates: DataFrame, counts: DataFrame, total: int) -> DataFrame:
 
 def _evidence(tokens: DataFrame, gains: DataFrame) -> DataFrame:
     """Words of records with their gains, but for garbled words that are quoted on purpose: beside their clean form, quoted too."""
-    every = tokens.join(gains, ["word", "context"])
-    clean = tokens.filter("quoted").select("id", "field", F.col("word").alias("restored")).distinct()
-    meant = every.filter("quoted").join(clean, ["id", "field", "restored"], "left_anti").select(every.columns)
-    return every.filter("NOT quoted").unionByName(meant)
+    meant = F.coalesce(F.array_contains("beside", F.col("restored")), F.lit(False))
+    return tokens.join(gains, ["word", "context"]).filter(~meant)
 
 
 def _posteriors(evidence: DataFrame, shares: DataFrame) -> DataFrame:
@@ -227,7 +242,7 @@ def find(
 
     Every word of every text is used; a word that comes n times in a record counts
     1 + ln n times. A word that fills a pair of quotes gives no evidence if its
-    restored form is quoted in the same record too, for then it is quoted on
+    restored form is quoted in the same line too, for then it is quoted on
     purpose. Defined results: NULL, empty and ASCII
     texts are never found; a NULL source is a source of its own; rows with a NULL
     id are left out; repeated texts are judged each; an empty table gives none.
@@ -299,11 +314,10 @@ def restore(docs: DataFrame, garbled: Garbled, id_col: str = "doc_id", text_col:
             fixed, complete = [], []
             for text, chain, known in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
                 new = {(x["word"], x["context"]): x["restored"] for x in known or []}
-                quoted = {w for w, _, _, _, q in chains.words(text) if q}
                 out, at, whole = [], 0, True
                 for w, c, a, b, q in chains.words(text):
                     fixed_word = new.get((w, c))
-                    if q and fixed_word in quoted:
+                    if q and fixed_word in q:
                         fixed_word = None  # quoted on purpose
                     if fixed_word is None:  # stays
                         fixed_word = w
