@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import broadcastable, lookup, materialise
+from ..session import BROADCAST_ROWS, broadcastable, materialise
 from ..sources.commits import CommitLog
-from ..sources.parts import KeyedParts
+from ..sources.parts import KeyedParts, to_merge, write_counted
 from . import mvcc
 
 PUT, DELETE = 2, 3
@@ -111,16 +111,21 @@ class DeleteVectorTable:
         # Repeated deliveries are appended too: all but one of them are dead rows.
         changes.select(*self._identity, *self.values).filter(need).write.parquet(f"{self.path}/images/{name}")
         new = self._changes([name])
-        if new.isEmpty():
+        first, last = new.agg(F.min("order"), F.max("order")).first()
+        if first is None:
             return version - 1
 
-        ranked = self.ranks.write(self._ranked(new, before["ranks"]), version)
+        ranked = self.ranks.write(self._ranked(new, before["ranks"], first, last), version)
         ranks = self.ranks.append(before["ranks"], ranked)
         entries = self.ranks.rows(ranked)
-        # Entries of which the batch holds several ranks, or a lower one than was known: mostly few.
-        contested, _ = lookup(entries.filter("low < top").select("group", "order", "top"), "contested")
-        best = self._best(self._holding(new.filter(self._effective()), contested))
-        again = self._outranked(entries, before["index"])
+        # Entries of which the batch holds several ranks, or a lower one than was known, and those
+        # that it outranks: mostly few, counted before they are broadcast (three numbers a row).
+        several, outranked = entries.agg(F.count_if(F.col("low") < F.col("top")), F.count_if(F.col("was") < F.col("top"))).first()
+        best = new.filter(self._effective())
+        if several:
+            best = self._holding(best, self._few(entries.filter("low < top"), several))
+        best = self._best(best)
+        again = self._outranked(self._few(entries.filter("was < top"), outranked), before["index"]) if outranked else None
         winners = self.index.write(self._winners(best, again, before, [*before["batches"], name], ranks), version)
         vector = self._vector(new, self.index.rows(winners), name)
         self.log.commit(
@@ -129,12 +134,16 @@ class DeleteVectorTable:
         )
         return version
 
-    def _ranked(self, new: DataFrame, parts: list[dict]) -> DataFrame:
+    @staticmethod
+    def _few(entries: DataFrame, n: int) -> DataFrame:
+        rows = entries.select("group", "order", "top")
+        return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+    def _ranked(self, new: DataFrame, parts: list[dict], first: int, last: int) -> DataFrame:
         """Per entry of the batch its highest rank ``top``, the lowest of the batch ``low`` and the highest before ``was``."""
         mine = new.groupBy("group", "order").agg(F.max("rank").alias("high"), F.min("rank").alias("low"))
         if not parts:
             return mine.select("group", "order", F.col("high").alias("top"), "low", F.lit(None).cast("bigint").alias("was"))
-        first, last = new.agg(F.min("order"), F.max("order")).first()
         none = F.lit(None).cast("bigint")
         known = self.ranks.read(parts).filter(F.col("order").between(first, last))
         both = mine.withColumn("was", none).unionByName(known.select("group", "order", none.alias("high"), none.alias("low"), F.col("top").alias("was")))
@@ -146,13 +155,8 @@ class DeleteVectorTable:
         joined = rows.join(tops, ["group", "order"], "left")
         return joined.filter(F.col("top").isNull() | (F.col("rank") == F.col("top"))).drop("top")
 
-    def _outranked(self, entries: DataFrame, parts: list[dict]) -> DataFrame | None:
+    def _outranked(self, raised: DataFrame, parts: list[dict]) -> DataFrame | None:
         """Keys whose newest change belonged to an entry that the batch has outranked; None if there are none."""
-        if not parts:
-            return None
-        raised, _ = lookup(entries.filter("was < top").select("group", "order", "top"), "raised")
-        if raised.isEmpty():
-            return None
         keys = self.index.read(parts).join(raised, ["group", "order"]).filter(F.col("rank") < F.col("top"))
         keys = materialise(keys.select("group", *self.keys, F.col("file").alias("was_file"), F.col("row").alias("was_row")), "outranked")
         return None if keys.isEmpty() else keys
@@ -198,8 +202,7 @@ class DeleteVectorTable:
         return self._write_masks(masks, name)
 
     def _write_masks(self, masks: DataFrame, name: str) -> dict:
-        masks.write.parquet(f"{self.path}/vectors/{name}")
-        return {"name": name, "rows": self.spark.read.parquet(f"{self.path}/vectors/{name}").count()}
+        return {"name": name, "rows": write_counted(masks, f"{self.path}/vectors/{name}")}
 
     def _folded(self, parts: list[dict]) -> DataFrame:
         """One mask per word from those of several versions: what a later one judges, it decides."""
@@ -218,10 +221,7 @@ class DeleteVectorTable:
         return wide.select("file", "word", judged.alias("judged"), alive.alias("alive"))
 
     def _append(self, parts: list[dict], new: dict) -> list[dict]:
-        merged, size, kept = [new], new["rows"], list(parts)
-        while kept and kept[-1]["rows"] <= 2 * size:
-            size += kept[-1]["rows"]
-            merged.insert(0, kept.pop())
+        kept, merged = to_merge(parts, new)
         return [*kept, self._write_masks(self._folded(merged), f"merged-{uuid.uuid4().hex}") if len(merged) > 1 else new]
 
     # -- read -----------------------------------------------------------------

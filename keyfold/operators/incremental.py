@@ -91,28 +91,32 @@ class IncrementalState:
 #: Log indexes per bucket of the commit lookup and microseconds per bucket of the run lookup.
 INDEX_BUCKET = 1 << 16
 TIME_BUCKET_US = 3_600_000_000
-#: Tasks over which the entries of one region and hour are spread: one per so many commands of the
+#: Tasks over which the entries of one region and hour are spread: one per so many arrivals of the
 #: whole log, within these bounds.
 SALTS, MOST_SALTS, SALT_ROWS = 8, 1024, 4_000_000
 
 
-def received_commands(log: DataFrame, messages: DataFrame) -> DataFrame:
-    """Distinct commands (region_id, idx, term, a, b) with ``us``, first received, and ``committed_us``.
+def arrivals(log: DataFrame, messages: DataFrame) -> DataFrame:
+    """What came in of each entry and when: (region_id, idx, term, us, a, b) with ``committed_us``.
 
-    ``a`` and ``b`` are row hashes of the command. ``committed_us`` is when first a
-    message told a commit index that covers the entry, NULL if none did. Rows
-    with a NULL region, index or term are left out; a NULL time is never.
+    ``a`` and ``b`` are sums of the row hashes of those distinct commands of the
+    entry that were received first at ``us``; an entry that came whole is one
+    row. ``committed_us`` is when first a message told a commit index that covers
+    the index, NULL if none did. Rows with a NULL region, index or term are left
+    out; a NULL time is never.
     """
     h1, h2 = digest("pos", "cmd_type", "cf", "key", "value")
     rows = log.select(
         "region_id", "idx", "term", F.unix_micros(F.col("received_at").cast("timestamp")).alias("us"), h1.alias("a"), h2.alias("b")
     ).filter("region_id IS NOT NULL AND idx IS NOT NULL AND term IS NOT NULL")
-    commands = rows.groupBy("region_id", "idx", "term", "a", "b").agg(F.min("us").alias("us"))
+    # One partitioning, by the entry's place in the log, for both aggregates and the lookup's probes.
+    commands = rows.repartition("region_id", "idx").groupBy("region_id", "idx", "term", "a", "b").agg(F.min("us").alias("us"))
+    came = commands.groupBy("region_id", "idx", "term", "us").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
     commits = messages.select(
         "region_id", "commit_index", F.unix_micros(F.col("received_at").cast("timestamp")).alias("told_us")
     ).filter("region_id IS NOT NULL AND commit_index IS NOT NULL AND told_us IS NOT NULL")
     return next_at_or_after(
-        commands,
+        materialise(came, "came"),
         commits,
         ["region_id"],
         "idx",
@@ -124,15 +128,15 @@ def received_commands(log: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
-def entries_at(commands: DataFrame, until_us: int) -> DataFrame:
+def entries_at(came: DataFrame, until_us: int) -> DataFrame:
     """The log as it stood at ``until_us``: per index received and committed by then its entry of the highest term.
 
     ``content_a`` and ``content_b`` are sums of the hashes of its distinct
     commands. ``due_us`` is when the entry was received first and known to be
     committed, ``whole_us`` when the last of its commands was.
     """
-    seen = commands.filter((F.col("us") <= until_us) & (F.col("committed_us") <= until_us))
-    # Both aggregates use this one partitioning; the commands are distinct already.
+    seen = came.filter((F.col("us") <= until_us) & (F.col("committed_us") <= until_us))
+    # Both aggregates use this one partitioning.
     per_term = seen.repartition("region_id", "idx").groupBy("region_id", "idx", "term").agg(
         F.min("us").alias("us"), F.max("us").alias("last_us"), F.bit_xor("a").alias("content_a"), F.bit_xor("b").alias("content_b"),
         F.min("committed_us").alias("committed_us"),
@@ -189,7 +193,7 @@ def process_runs(log: DataFrame, messages: DataFrame, reports: DataFrame, path:
     one. A failed run gets nothing: its entries stay pending for the next.
     """
     spark = log.sparkSession
-    commands = materialise(received_commands(log, messages), "received-commands")
+    came = materialise(arrivals(log, messages), "arrivals")
     runs = materialise(succeeded_runs(reports), "runs")
     low, high = runs.agg(F.min("started_us"), F.max("started_us")).first()
     state = IncrementalState(spark, path, ["region_id", "idx"], ["term", "content_a", "content_b"], carried=["term"], null_keys=False)
@@ -197,10 +201,10 @@ def process_runs(log: DataFrame, messages: DataFrame, reports: DataFrame, path:
     if low is None:
         return spark.createDataFrame([], _RAN)
     step = (high - low) // waves + 1
-    salts = min(MOST_SALTS, max(SALTS, commands.count() // SALT_ROWS))
+    salts = min(MOST_SALTS, max(SALTS, came.count() // SALT_ROWS))
     for w in range(len(outputs), waves):
         of_wave = runs.filter(F.floor((F.col("started_us") - F.lit(low)) / F.lit(step)) == w)
-        pending = state.pending(entries_at(commands, low + step * (w + 1) - 1))
+        pending = state.pending(entries_at(came, low + step * (w + 1) - 1))
         late = (F.col("change") == "changed") & (F.col("was_term") == F.col("term"))
         pending = pending.withColumn("due_us", F.when(late, F.col("whole_us")).otherwise(F.col("due_us")))
         name = f"{path}/runs/{uuid.uuid4().hex}"
