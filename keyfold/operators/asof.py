@@ -41,8 +41,7 @@ def next_at_or_after(
     p = probes.filter(F.col(probe_at).isNotNull()).withColumns({"__at": F.col(probe_at), "__bucket": bucket_of(F.col(probe_at))})
     p = p.withColumn("__salt", F.pmod(salt, F.lit(salts)).cast("int") if salts > 1 else F.lit(0))
 
-    best = F.struct("__at", "__payload")
-    least = F.min("__payload") if best_of_all else F.min(best)["__payload"]
+    least = F.min("__payload") if best_of_all else F.min_by("__payload", "__at")
     per_bucket = e.groupBy(*group, "__bucket").agg(least.alias("__payload"), F.min("__at").alias("__at"))
     # One row per bucket that holds an event; the carry of a probe's bucket is found with the probes' buckets mixed in.
     marks = per_bucket.select(*group, "__bucket", "__payload").unionByName(

@@ -207,6 +207,7 @@ def process_runs(log: DataFrame, messages: DataFrame, reports: DataFrame, path:
         pending = state.pending(entries_at(came, low + step * (w + 1) - 1))
         late = (F.col("change") == "changed") & (F.col("was_term") == F.col("term"))
         pending = pending.withColumn("due_us", F.when(late, F.col("whole_us")).otherwise(F.col("due_us")))
+        pending = materialise(pending, "pending")  # the lookup reads it twice
         name = f"{path}/runs/{uuid.uuid4().hex}"
         assign_to_runs(pending, of_wave, salts).write.parquet(name)
         outputs = [*outputs, name]
