@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,10 @@ def user_key(raw: Column, region_id: Column, cf: Column) -> Column:
     """The user key of a physical one under the prefix of region and family; NULL if it lies elsewhere."""
     prefix = physical_prefix(region_id, cf)
     return F.when(F.substring(raw, F.lit(1), F.length(prefix)) == prefix, F.substring(raw, F.length(prefix) + 1, F.length(raw)))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import fresh
 from ..schema import Corruption
 from ..session import ship_package
 from . import merge, mvcc, regions
@@ -119,9 +120,13 @@ def covered(rows: DataFrame, ranges: DataFrame, key_col: str) -> DataFrame:
     NULL keys are in no range, a range with a NULL bound holds nothing.
     """
     whole = ranges.filter(F.col("smallest").isNotNull() & F.col("largest").isNotNull())
+    if whole.limit(1).isEmpty():
+        return rows.withColumn("__covered", F.lit(False))
     found = regions.last_start(rows, whole.select(F.col("smallest").alias("__k"), "largest"), key_col, "largest", "__end")
-    inside = found.filter(F.col("__end") >= F.col("__k")).select("__k", F.lit(True).alias("__in"))
-    return rows.join(inside, F.col(key_col) == F.col("__k"), "left").withColumn("__covered", F.col("__in").isNotNull()).drop("__k", "__in")
+    k = fresh(rows, "__k")
+    inside = found.filter(F.col("__end") >= F.col("__k")).select(F.col("__k").alias(k), F.lit(True).alias("__covered"))
+    held = rows.drop("__covered").join(inside, F.col(key_col) == F.col(k), "left").drop(k)
+    return held.withColumn("__covered", F.col("__covered").isNotNull())
 
 
 def split_outputs(versions: DataFrame, key_cols: Sequence[str], seq_col: str, op_col: str, size: Column, target: int = OUTPUT_BYTES, parts: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import in_range
+from ..functions.exprs import fresh, in_range
 from ..schema import InvalidArgument
 from . import merge
 
@@ -122,11 +122,12 @@ def route(rows: DataFrame, regions: DataFrame, key_col: str, name: str = "region
     starts = bounds.select(
         F.col("start_key").alias("__k"), F.struct(F.col("start_key").alias("start"), F.col("end_key").alias("end"), F.col("region_id").cast("bigint").alias("id")).alias("__r")
     )
+    k, r = fresh(rows, "__k"), fresh(rows, f"{name}_found")
     found = last_start(rows, starts, key_col, "__r", "__r").select(
-        "__k", F.when((F.length("__r.end") == 0) | (F.col("__k") < F.col("__r.end")), F.col("__r.id")).alias("__region")
+        F.col("__k").alias(k), F.when((F.length("__r.end") == 0) | (F.col("__k") < F.col("__r.end")), F.col("__r.id")).alias(r)
     )
     # The keys found are distinct, so no key is multiplied; a hot one is a broadcast row or a split partition.
-    return rows.join(found, F.col(key_col) == F.col("__k"), "left").drop("__k").withColumnRenamed("__region", name)
+    return rows.join(found, F.col(key_col) == F.col(k), "left").withColumn(name, F.col(r)).drop(k, r)
 
 
 def batch_spans(routed: DataFrame, batch_col: str, region_col: str = "region_id") -> DataFrame:

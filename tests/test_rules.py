@@ -41,8 +41,9 @@ def test_overlapping_regions_are_refused(spark, count):
 def test_open_and_empty_ranges(spark, count):
     made = [(i, bytearray(b"m%04d" % (2 * i)), bytearray(b"m%04d" % (2 * i + 1))) for i in range(1, count)]
     table = spark.createDataFrame(made + [(500, None, bytearray(b"b")), (501, bytearray(b"z"), None), (502, bytearray(b"y"), bytearray(b"x"))], "region_id bigint, start_key binary, end_key binary")
-    df = spark.createDataFrame([(bytearray(k) if k is not None else None, "x") for k in (b"", b"a", b"b", b"m0002", b"m0003", b"y", b"zz", None)], "k binary, __r string")
+    df = spark.createDataFrame([(bytearray(k) if k is not None else None, "x") for k in (b"", b"a", b"b", b"m0002", b"m0003", b"y", b"zz", None)], "k binary, __k string").withColumns({"region_id_found": F.lit(1), "region_id": F.lit("clash")})
     got = rows(regions.route(df, table, "k"), "k", "region_id")
+    assert regions.route(df, table, "k").columns == ["k", "__k", "region_id_found", "region_id"]
     assert dict(got) == {b"": 500, b"a": 500, b"b": None, b"m0002": 1, b"m0003": None, b"y": None, b"zz": 501, None: None}
 
 
@@ -64,7 +65,8 @@ def test_carried_values(spark):
     assert got == want and merge.carried_max(df.limit(0), "o", "v", "m").count() == 0
 
 
-def test_dispatch(spark):
+@pytest.mark.parametrize("more", [0, 80])
+def test_dispatch(spark, more):
     b = lambda x: None if x is None else bytearray(x)
     data = [
         (1, 1, 2, "c", b"a", b"v", None), (1, 2, 2, "c", b"b", b"v", None), (1, 3, 2, "c", b"a", b"v", None),  # a batch, one command twice
@@ -73,7 +75,7 @@ def test_dispatch(spark):
         (7, 12, 4, "c", None, None, b"n"), (8, 13, 1, "c", None, None, None), (9, 14, 1, "c", b"q", None, None), (None, 15, 1, "c", b"a", None, None), (10, 16, 9, "c", b"a", None, None),
     ]
     df = spark.createDataFrame([(i, n, k, cf, b(key), b(v), b(s), None, "x") for i, n, k, cf, key, v, s in data], "batch_id bigint, req_no bigint, cmd_type int, cf string, key binary, value binary, start_key binary, scan_limit bigint, leader string")
-    table = spark.createDataFrame([(1, b(b""), b(b"m"), 7), (2, b(b"m"), b(b"p"), None), (3, b(b"x"), b(b""), 9)], "region_id bigint, start_key binary, end_key binary, leader bigint")
+    table = spark.createDataFrame([(1, b(b""), b(b"m"), 7), (2, b(b"m"), b(b"p"), None), (3, b(b"x"), b(b""), 9)] + [(100 + i, b(b"t%03d" % (2 * i)), b(b"t%03d" % (2 * i + 1)), 1) for i in range(more)], "region_id bigint, start_key binary, end_key binary, leader bigint")
     got = {r.batch_id: (r.results, r.error, r.region_id, r.leader) for r in dispatch.answers(df, table).collect()}
     assert got == {
         1: (2, None, 1, 7), 2: (0, dispatch.NOT_WRITES, 1, 7), 3: (0, dispatch.NOT_ALONE, 1, 7), 4: (0, dispatch.SPANS, 1, 7), 5: (0, dispatch.NO_VALUE, 1, 7),
