@@ -65,11 +65,12 @@ class SeenKeys:
     def checkpoint(self) -> str:
         return f"{self.path}/checkpoint"
 
-    def stream(self, table: str, order_col: str | None, where: str | None = None, batch_bytes: int = 2 << 30) -> DataFrame:
+    def stream(self, table: str, order_col: str | None, where: str | None = None, batch_bytes: int = 64 << 30) -> DataFrame:
         """A stream of (keys, order) from a Parquet table; without ``order_col`` its keys are known before all.
 
         Beside the records there is one row per file that names it, so that the
-        batch which reads a file says so.
+        batch which reads a file says so. ``batch_bytes`` bounds a micro-batch; its
+        records are combined by key and spill, so it may be many times a task's memory.
         """
         files = (
             self.spark.readStream.schema(self.spark.read.parquet(table).schema)
