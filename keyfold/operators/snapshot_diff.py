@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.exprs import digest
 from ..session import lookup, materialise
 
-#: Spread of one large snapshot when the snapshot list itself is too long to broadcast.
-SALTS = 32
+#: When the snapshot list is too long to broadcast: rows up to which a group stays together, and groups that are split at
+#: most (their list is broadcast).
+PART_ROWS, MAX_SPLIT = 250_000, 50_000
 
 
 def snapshot_changes(
@@ -27,7 +28,10 @@ def snapshot_changes(
     the following one; a single hash aggregation by (group, snapshot, key)
     compares the row hashes of both sides. The shuffle key holds the record key,
     so neither a large group nor a large snapshot lands in one task, and
-    repeated rows collapse before the shuffle. Only keys that a snapshot holds
+    repeated rows collapse before the shuffle. A snapshot list that is too long
+    to broadcast isn't joined: it goes with the rows into one shuffle by group
+    (large groups split by key), and a running window hands it to them; the
+    aggregation needs no further shuffle then. Only keys that a snapshot holds
     with several different values, which the aggregate detects, are decided by a
     second one over their distinct row hashes.
 
@@ -48,11 +52,12 @@ def snapshot_changes(
     rows = snapshots.select(*group, index_col, key_col, *value_cols).filter(present)
 
     order = Window.partitionBy(*group).orderBy(index_col)
-    steps = rows.select(*group, index_col).distinct().select(
+    steps = rows.groupBy(*group, index_col).agg(F.count(F.lit(1)).alias("__rows")).select(
         *group,
         index_col,
         F.lag(index_col).over(order).alias("__prev"),
         F.lead(index_col).over(order).alias("__next"),
+        "__rows",
     )
     steps, small = lookup(steps, "snapshot-steps")
 
@@ -60,20 +65,20 @@ def snapshot_changes(
     pairs = rows.filter(F.col(key_col).isNotNull()).select(
         *group, index_col, F.col(key_col).alias("__key"), h1.alias("__h1"), h2.alias("__h2")
     )
-    on = [*group, index_col]
-    if not small:
-        pairs = pairs.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)))
-        steps = steps.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-        on.append("__salt")
+    within = list(group)
+    if small:
+        pairs = pairs.join(steps, [*group, index_col])
+    else:
+        within.append("__part")
+        pairs = _beside_steps(pairs, steps, group, index_col)
     sides = F.array(
         F.when(F.col("__prev").isNotNull(), F.struct(F.col(index_col).alias("at"), F.lit(True).alias("new"))),
         F.when(F.col("__next").isNotNull(), F.struct(F.col("__next").alias("at"), F.lit(False).alias("new"))),
     )
     tagged = (
-        pairs.join(steps, on)
-        .select(*group, "__key", "__h1", "__h2", F.explode(sides).alias("__side"))
+        pairs.select(*within, "__key", "__h1", "__h2", F.explode(sides).alias("__side"))
         .filter(F.col("__side").isNotNull())
-        .select(*group, F.col("__side.at").alias("__at"), F.col("__side.new").alias("__new"), "__key", "__h1", "__h2")
+        .select(*within, F.col("__side.at").alias("__at"), F.col("__side.new").alias("__new"), "__key", "__h1", "__h2")
     )
 
     def side(new: bool, h: str):
@@ -86,7 +91,7 @@ def snapshot_changes(
             for name, f in (("lo", F.min), ("hi", F.max))
         ]
 
-    wide = tagged.groupBy(*group, "__at", "__key").agg(*both("__h1"), *both("__h2"))
+    wide = tagged.groupBy(*within, "__at", "__key").agg(*both("__h1"), *both("__h2"))
     same, several = F.lit(True), F.lit(False)
     for h in ("__h1", "__h2"):
         same = same & F.col(f"lo_{h}_n").eqNullSafe(F.col(f"lo_{h}_o"))
@@ -107,3 +112,30 @@ def snapshot_changes(
         exact = values.groupBy(*group, "__at", "__key").agg(F.max((F.col("n") != F.col("o")).cast("int")).alias("d")).filter("d = 1")
         found = found.filter("change <> 'several'").unionByName(exact.drop("d").withColumn("change", F.lit("changed")))
     return found.select(*group, F.col("__at").alias(index_col), F.col("__key").alias(key_col), "change")
+
+
+def _beside_steps(pairs: DataFrame, steps: DataFrame, group: list[str], index_col: str) -> DataFrame:
+    """The pairs with ``__prev`` and ``__next`` of their snapshot and the ``__part`` of their group,
+    a function of the key; partitioned by group and part."""
+    total = steps.agg(F.coalesce(F.sum("__rows"), F.lit(0))).first()[0]
+    most = max(PART_ROWS, total // MAX_SPLIT)
+    n, m = F.sum("__rows"), F.count(F.lit(1))
+    parts = F.least(F.ceil(n / most), F.ceil(n / m)).cast("bigint")  # copies of the list don't outnumber the rows
+    large = steps.groupBy(*group).agg(n.alias("__n"), parts.alias("__parts")).filter(F.col("__n") > most).drop("__n")
+    large = F.broadcast(materialise(large, "snapshot-large-groups"))
+    parts = F.coalesce("__parts", F.lit(1).cast("bigint"))
+
+    listed = steps.join(large, group, "left").select(
+        *group,
+        index_col,
+        F.struct("__prev", "__next").alias("__step"),
+        *(F.lit(None).cast(kind).alias(c) for c, kind in pairs.select("__key", "__h1", "__h2").dtypes),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("__part"),
+    )
+    held = pairs.join(large, group, "left").select(
+        *pairs.columns, F.lit(None).cast(listed.schema["__step"].dataType).alias("__step"), F.pmod(F.xxhash64("__key"), parts).alias("__part")
+    )
+    first = F.col("__step").isNull()  # a snapshot's step before its pairs
+    so_far = Window.partitionBy(*group, "__part").orderBy(index_col, first).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beside = listed.unionByName(held).withColumn("__step", F.last("__step", ignorenulls=True).over(so_far))
+    return beside.filter(F.col("__key").isNotNull()).select(*pairs.columns, "__part", "__step.__prev", "__step.__next")

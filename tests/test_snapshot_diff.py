@@ -5,7 +5,7 @@ import random
 import pytest
 
 from keyfold.operators import snapshot_diff
-from keyfold.session import lookup
+from keyfold.session import lookup, materialise
 
 from .conftest import rows
 
@@ -74,3 +74,37 @@ def test_each_of_several_values_counts(spark):
     data += make(8, 1, range(8)) + make(8, 2, range(7, -1, -1)) + make(8, 2, [3, 3])
     got = snapshot_diff.snapshot_changes(spark.createDataFrame(data, SCHEMA))
     assert rows(got, "region_id", "change") == [(g, "changed") for g in range(8)]
+
+
+def subtrees(plan, name):
+    """The parts of a printed plan below the nodes of that name."""
+    lines = plan.split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if line.lstrip(" :+-").startswith(name):
+            end = next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))
+            yield "\n".join(lines[i + 1 : end])
+
+
+@pytest.mark.parametrize("part_rows", [250_000, 40])
+def test_a_long_snapshot_list_is_neither_multiplied_nor_broadcast(spark, monkeypatch, part_rows):
+    rng, data = random.Random(3), []
+    for g, snaps, keys in ((1, 200, 3), (2, 5, 90), (3, 1, 50), (4, 40, 4)):
+        for i in rng.sample(range(1000), snaps):
+            data += [(g, i, bytearray([k]), rng.choice([None, bytearray(b""), bytearray(b"a")]), "x", 1) for k in range(keys) if rng.random() < 0.8]
+            data.append((g, i, None, None, "x", 1))
+    rng.shuffle(data)
+    plans = []
+
+    def stored(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, label)
+
+    monkeypatch.setattr(snapshot_diff, "lookup", lambda df, label: lookup(df, label, 100))
+    monkeypatch.setattr(snapshot_diff, "materialise", stored)
+    monkeypatch.setattr(snapshot_diff, "PART_ROWS", part_rows, raising=False)
+    got = snapshot_diff.snapshot_changes(spark.createDataFrame(data, SCHEMA))
+    assert rows(got, "region_id", "snap_index", "key", "change") == brute(data)
+    sent = [x for plan in plans for x in subtrees(plan, "BroadcastExchange")]
+    assert not [x for x in sent if "explode" in x or "snap_index" in x]
+    assert plans[-1].count("Exchange hashpartitioning") == 1
